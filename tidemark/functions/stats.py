@@ -8,6 +8,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def half_up(x: Column, digits: int) -> Column:
+    """Round half up in plain double arithmetic, so that every engine breaks exact ties alike."""
+    scale = float(10 ** digits)
+    return F.floor(x * scale + 0.5) / scale
+
+
 def x_log_y(x: Column, y: Column) -> Column:
     """x * ln(y) with 0 * ln(0) = 0 (F2)."""
     return F.when(x == 0, F.lit(0.0)).otherwise(x * F.ln(y))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tidemark.functions.stats import half_up
+
 # The named entities that occur in filings, and their characters.
 ENTITIES = (("&nbsp;", " "), ("&#160;", " "), ("&#xa0;", " "), ("&mdash;", "—"), ("&#8212;", "—"),
             ("&ndash;", "–"), ("&#8211;", "–"), ("&rsquo;", "’"), ("&#8217;", "’"),
@@ -34,7 +36,7 @@ def all_matches(text: Column, pattern: str, group: int = 0) -> Column:
 
 def amount(x: Column, decimals: int) -> Column:
     """Fixed decimals, no grouping."""
-    return F.format_string(f"%.{decimals}f", F.round(x, decimals))
+    return F.format_string(f"%.{decimals}f", half_up(x, decimals))
 
 
 def signed_amount(x: Column, decimals: int) -> Column:

@@ -27,9 +27,11 @@ def scenario_cube(book: DataFrame, scenarios: DataFrame, groups: list[str], wind
     instrument with the window as a residual; instruments are summed before anything is sorted.
     Scenarios are laid out by ``s`` first: when the book side is small enough to be broadcast, all
     instruments of a scenario meet in one task and the sum needs no further shuffle; otherwise the join
-    shuffles by instrument and the partial sums shrink the (k, s) shuffle.
+    shuffles by instrument and the partial sums shrink the (k, s) shuffle. The number of tasks is given
+    because the input is small for the work it causes: sized by bytes it would run in one task.
     """
-    laid_out = scenarios.repartition("s")
+    tasks = int(scenarios.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    laid_out = scenarios.repartition(tasks, "s")
     inside = F.col("s").between(window_start(F.col("k"), window_days), F.col("k"))
     keys = list(dict.fromkeys([*groups, "k", "s"]))
     return (laid_out.join(book, "instrument_id").filter(inside)

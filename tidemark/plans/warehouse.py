@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions.stats import half_up
+
 RUN_ID = "run-1"
 
 
@@ -74,9 +76,9 @@ def daily_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mark(tag: str) -> Column:
     """Price, yield or FX level of one group of line items, by the instrument's quote."""
-    return (F.when(F.col("quote") == "price", F.round(F.col(f"unit_{tag}"), 6))
-            .when(F.col("quote") == "yield_pct", F.round(1 + 100 * F.col(f"tax_{tag}"), 6))
-            .otherwise(F.round(0.5 + 10 * F.col(f"disc_{tag}"), 6)))
+    return (F.when(F.col("quote") == "price", half_up(F.col(f"unit_{tag}"), 6))
+            .when(F.col("quote") == "yield_pct", half_up(1 + 100 * F.col(f"tax_{tag}"), 6))
+            .otherwise(half_up(0.5 + 10 * F.col(f"disc_{tag}"), 6)))
 
 
 def market_data(marks: DataFrame, dim: DataFrame, tag: str = "all") -> DataFrame:
@@ -93,8 +95,8 @@ def raw_quotes(marks: DataFrame, dim: DataFrame) -> DataFrame:
     """
     rows = marks.join(dim, "instrument_id")
     fetch = F.concat(F.lit("src-"), F.col("status_max")).alias("fetch_id")
-    level = F.round(mark("all") / F.col("price_scale"), 6)
-    paid = F.when((F.col("asset_class") == "equity") & (F.col("disc_max") >= 0.1), F.round(0.01 * level, 6)).otherwise(0.0)
+    level = half_up(mark("all") / F.col("price_scale"), 6)
+    paid = F.when((F.col("asset_class") == "equity") & (F.col("disc_max") >= 0.1), half_up(0.01 * level, 6)).otherwise(0.0)
     own = rows.select("source", "ticker", "date", level.alias("close"), level.alias("adj_close"), paid.alias("dividend"),
                       fetch, F.lit(1).alias("load_seq"))
     return own
@@ -147,10 +149,10 @@ def disclosed(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").select("o_custkey", quarter_end(F.to_date("o_orderdate")).alias("period_end"), "o_totalprice")
     customers = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment")
     wide = orders.join(customers, "o_custkey").groupBy("period_end").agg(*[
-        F.round(F.avg(F.when(F.col("c_mktsegment") == seg, F.col("o_totalprice"))) / 1e4).alias(cat)
+        half_up(F.avg(F.when(F.col("c_mktsegment") == seg, F.col("o_totalprice"))) / 1e4, 0).alias(cat)
         for seg, cat in names.items()])
     parts = sum((F.col(c) for c in names.values()), F.lit(0.0))
-    div = -F.round(parts * 0.4)
+    div = -half_up(parts * 0.4, 0)
     return (wide.withColumn("diversification", div).withColumn("total", parts + F.col("diversification"))
             .filter(F.col("total").isNotNull()))
 
@@ -160,7 +162,7 @@ def benchmarks(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").select(
         F.to_date("o_orderdate").alias("date"), F.substring("o_orderpriority", 1, 1).alias("p"), "o_totalprice")
     return (orders.filter(F.col("p") <= "4").groupBy("date", F.concat(F.lit("B"), F.col("p")).alias("ticker"))
-            .agg(F.round(F.avg("o_totalprice") / 1e4, 6).alias("close")))
+            .agg(half_up(F.avg("o_totalprice") / 1e4, 6).alias("close")))
 
 
 # Fixed mapping of benchmark ticker to category.
