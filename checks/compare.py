@@ -64,7 +64,7 @@ def compare(spark, con, sf_dir: str, key: str, fn, sql: str | None) -> tuple[boo
 
 def main() -> None:
     from checks.oracles import ORACLES
-    from tidemark.plans.queries import QUERIES
+    from tidemark.plans.registry import QUERIES
     from tidemark.session import build_session
 
     sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"

@@ -161,8 +161,8 @@ oracle("stress_top3", f"""
 SELECT scenario, rank::INT AS rank, instrument_id, {M('pnl')} AS pnl FROM (
   SELECT *, row_number() OVER (PARTITION BY scenario ORDER BY pnl, instrument_id) AS rank FROM stress_pos_t) WHERE rank <= 3""")
 oracle("shock_guards", """
-SELECT 'bad_unit' AS scenario, 0::INT AS shock, 'pct shock on a yield, use pp' AS error, 1::BIGINT AS n FROM dim_t WHERE asset_class = 'rates' GROUP BY ALL
-UNION ALL SELECT 'bad_unit', 1, 'pp shock on a price', 1 FROM dim_t WHERE asset_class = 'equity' GROUP BY ALL
+SELECT 'bad_unit' AS scenario, 0::INT AS shock, 'pct shock on a yield, use pp' AS error, 1::BIGINT AS n WHERE EXISTS (SELECT 1 FROM dim_t WHERE asset_class = 'rates')
+UNION ALL SELECT 'bad_unit', 1, 'pp shock on a price', 1 WHERE EXISTS (SELECT 1 FROM dim_t WHERE asset_class = 'equity')
 UNION ALL SELECT 'bad_selector', 0, 'selects no instruments', 1 WHERE (SELECT count(*) FROM dim_t WHERE desk = 'No such desk') = 0""")
 
 
@@ -230,11 +230,11 @@ def outliers(market: str) -> str:
 
 
 def gaps(have: str, lookback: int) -> str:
-    since = f"(SELECT min(date) FROM (SELECT date FROM week_t ORDER BY date DESC LIMIT {lookback}))"
+    since = f"coalesce((SELECT date FROM week_t ORDER BY date DESC LIMIT 1 OFFSET {lookback}), DATE '1900-01-01')"
     return f"""
     SELECT s.instrument_id, s.date, p.n / (m.n - 1) AS share FROM (
       SELECT instrument_id, source, currency, x.date FROM (SELECT h.instrument_id, source, currency, min(h.date) AS lo, max(h.date) AS hi FROM ({have}) h JOIN dim_t USING (instrument_id)
-        WHERE h.date >= {since} AND h.date <= {RUN_D} GROUP BY 1, 2, 3 HAVING count(*) >= 2), week_t x WHERE x.date BETWEEN lo AND hi) s
+        WHERE h.date > {since} AND h.date <= {RUN_D} GROUP BY 1, 2, 3 HAVING count(*) >= 2), week_t x WHERE x.date BETWEEN lo AND hi) s
     JOIN (SELECT source, currency, count(*) AS n FROM dim_t GROUP BY 1, 2) m USING (source, currency)
     JOIN (SELECT source, currency, h.date, count(*) AS n FROM ({have}) h JOIN dim_t USING (instrument_id) GROUP BY 1, 2, 3) p
       ON p.source = s.source AND p.currency = s.currency AND p.date = s.date

@@ -29,6 +29,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
 def query(fn: Callable[[DailyRun], DataFrame]) -> Callable[[DailyRun], DataFrame]:
+    """Register a function of a daily run under its own name."""
     QUERIES[fn.__name__] = lambda spark, sf_dir: fn(daily_run(spark, sf_dir))
     return fn
 
@@ -593,7 +594,7 @@ for _name in ("raw_duplicates", "invalid_values", "missing_prices", "stale_price
 def ctl_reporting_sla(run: DailyRun) -> DataFrame:
     """Every event as a run finished at its time, reporting on three days before."""
     events = wh.table(run.spark, run.sf_dir, "events").select(
-        F.col("event_id").alias("run_id"), F.date_sub(F.to_date("ts"), F.pmod("event_id", F.lit(3)).cast("int")).alias("as_of"), F.col("ts").alias("finished"))
+        F.col("event_id").alias("run_id"), F.date_sub(F.to_date("ts"), F.pmod("event_id", F.lit(3)).cast("int")).alias("as_of"), F.col("ts").cast("timestamp").alias("finished"))
     return C.reporting_sla(events, run.cfg.controls)
 
 
