@@ -63,7 +63,7 @@ def compare(spark, con, sf_dir: str, key: str, fn, sql: str | None) -> tuple[boo
 
 
 def main() -> None:
-    from checks.oracles import ORACLES
+    from checks.all_oracles import ORACLES
     from tidemark.plans.registry import QUERIES
     from tidemark.session import build_session
 

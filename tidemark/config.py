@@ -53,7 +53,7 @@ class PastWindow:
 METHODS = (
     Method("hs_equal", "Historical simulation, equal weights", "history", None),
     Method("hs_weighted", "Historical simulation, age-weighted", "history", 0.995),
-    Method("parametric", "Parametric (delta-normal)", "normal", 0.94),
+    Method("parametric", "Parametric (delta-normal, EWMA)", "normal", 0.94),
 )
 
 
