@@ -151,7 +151,7 @@ JOIN today_t USING (instrument_id)""")
 # --- stress
 oracle("stress_windows", "SELECT scenario, name, first_date, last_date, available FROM win_t")
 oracle("stress_hist_path", f"SELECT scenario, date, {M('pnl')} AS pnl FROM path_total_t")
-oracle("stress_historical", f"SELECT scenario, available, {M('pnl')} AS pnl, {M('worst_pnl')} AS worst_pnl, worst_date, n_no_data::BIGINT AS n_no_data FROM hist_t")
+oracle("stress_historical", f"SELECT scenario, available, {M('pnl')} AS pnl, {M('worst_pnl')} AS worst_pnl, worst_date, n_no_data::DOUBLE AS n_no_data FROM hist_t")
 oracle("stress_no_data", "SELECT scenario, instrument_id, count(*) AS days FROM path_t WHERE gap GROUP BY 1, 2")
 oracle("shock_vector", "SELECT scenario, instrument_id, round(r, 6) AS r FROM shock_t")
 oracle("stress_hypothetical", f"SELECT scenario, {M('sum(pnl)')} AS pnl FROM hyp_t GROUP BY 1")
@@ -350,7 +350,7 @@ oracle("fault_duplicates", control("raw_duplicates", f"""SELECT {AT} AS key, {AT
 oracle("fault_invalid_values", invalid("SELECT instrument_id, date, close - 700 AS close FROM market_t"))
 oracle("fault_missing", missing(LATE))
 oracle("fault_stale", stale(LATE))
-oracle("price_lags", f"SELECT instrument_id, last, CASE WHEN last IS NOT NULL THEN lag END::BIGINT AS lag FROM ({lag_sql(LATE)})")
+oracle("price_lags", f"SELECT instrument_id, last, CASE WHEN last IS NOT NULL THEN lag END::DOUBLE AS lag FROM ({lag_sql(LATE)})")
 oracle("fault_outliers", outliers(f"""SELECT instrument_id, date, adj_close * CASE WHEN date = {RUN_D} AND instrument_id IN ('Brand#2', 'Brand#9', 'Brand#13') THEN 1e9 ELSE 1 END AS adj_close
   FROM market_t"""))
 oracle("ewma_sigma", f"SELECT instrument_id, round(r, 6) AS r, round(sigma, 6) AS sigma FROM ({scores(MARKET)})")

@@ -76,6 +76,7 @@ UNION ALL SELECT accession, form, filed, f.period_end, 'period_end', 'day', 1, i
 UNION ALL SELECT accession, form, filed, d.period_end, 'average', 'quarter', 2, {', '.join('d.' + c for c in SIX)}, 0.0, {HEADER}
 FROM filing_t f JOIN dsc_t d ON d.period_end = f.ref WHERE month(f.period_end) = 3""")
 part("quarters_t", f"SELECT period_end, {SIX_SQL} FROM parsed_t WHERE measure = 'average' AND horizon = 'quarter'")
+oracle("filing_documents", "SELECT accession, TRUE AS same_bytes, TRUE AS complete FROM filing_t")
 oracle("filings_parsed", "SELECT * FROM parsed_t")
 oracle("filings_fourth_quarters", """SELECT accession, period_end, total FROM parsed_t WHERE "column" = 2""")
 oracle("filings_identity_gap", "SELECT 0.0::DOUBLE AS largest_gap, count(*) AS tables FROM parsed_t")
@@ -94,8 +95,8 @@ AND period_end < (SELECT max(period_end) FROM dsc_t WHERE month(period_end) <> 1
 
 # --- volatility study
 part("bench_t", """
-SELECT o_orderdate::DATE AS date, CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'interest_rates' WHEN '2' THEN 'equity_prices' WHEN '3' THEN 'currency_rates' ELSE 'commodity_prices' END AS category,
-  round(avg(o_totalprice) / 1e4, 6) AS level FROM orders WHERE substr(o_orderpriority, 1, 1) <= '4' GROUP BY 1, 2""")
+SELECT l_shipdate::DATE AS date, CASE p_type WHEN 'STANDARD' THEN 'interest_rates' WHEN 'ECONOMY' THEN 'equity_prices' WHEN 'MEDIUM' THEN 'currency_rates' ELSE 'commodity_prices' END AS category,
+  round(avg(l_extendedprice / l_quantity), 6) AS level FROM lineitem JOIN part ON p_partkey = l_partkey WHERE p_type IN ('STANDARD', 'ECONOMY', 'MEDIUM', 'PROMO') GROUP BY 1, 2""")
 part("vmoves_t", """SELECT date, category, CASE category WHEN 'interest_rates' THEN level - lag(level) OVER w ELSE ln(level / lag(level) OVER w) END AS move
 FROM bench_t WINDOW w AS (PARTITION BY category ORDER BY date)""")
 part("vdense_t", """SELECT d.date, d.category, move, row_number() OVER (PARTITION BY d.category ORDER BY d.date) AS u

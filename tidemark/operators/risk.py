@@ -116,14 +116,20 @@ def diversification_benefit(desks: DataFrame, totals: DataFrame, primary: str) -
         "benefit", F.col("standalone") - F.col("total"))
 
 
-def ewma_covariance(returns: DataFrame, decay: float) -> DataFrame:
+def ewma_covariance(returns: DataFrame, decay: float, blocks: int = 16) -> DataFrame:
     """Zero-mean decaying covariance of factor pairs.
 
-    ``returns`` has s, instrument_id, r, age, n of complete scenario days. Pairs are only needed when
-    the matrix itself is asked for; sigma uses the linear P&L per scenario instead.
+    ``returns`` has s, instrument_id, r, age, n of complete scenario days. Each factor becomes one vector
+    over the window (bounded by its length) and is sent to the block pairs it takes part in, so the
+    join is by block pair and yields one row per matrix entry. The matrix is only built when it is asked
+    for; the parametric sigma uses the linear P&L per scenario instead.
     """
     w = F.pow(F.lit(decay), F.col("age")) * (1 - decay) / (1 - F.pow(F.lit(decay), F.col("n")))
-    a = returns.select("s", F.col("instrument_id").alias("a_id"), (F.col("r") * w).alias("a"))
-    b = returns.select("s", F.col("instrument_id").alias("b_id"), F.col("r").alias("b"))
-    return (a.join(b, "s").filter(F.col("a_id") <= F.col("b_id"))
-            .groupBy("a_id", "b_id").agg(F.sum(F.col("a") * F.col("b")).alias("cov")))
+    ordered = F.array_sort(F.collect_list(F.struct("s", "r", "wr")))
+    vectors = (returns.withColumn("wr", F.col("r") * w).groupBy("instrument_id").agg(ordered.alias("v"))
+               .withColumn("block", F.pmod(F.hash("instrument_id"), F.lit(blocks))))
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    a = vectors.select(F.col("instrument_id").alias("a_id"), F.col("v.wr").alias("a"), F.col("block").alias("ba"), every.alias("bb"))
+    b = vectors.select(F.col("instrument_id").alias("b_id"), F.col("v.r").alias("b"), F.col("block").alias("bb"), every.alias("ba"))
+    dot = F.aggregate(F.zip_with("a", "b", lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
+    return a.join(b, ["ba", "bb"]).filter(F.col("a_id") <= F.col("b_id")).select("a_id", "b_id", dot.alias("cov"))

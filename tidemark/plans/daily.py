@@ -9,10 +9,13 @@ it broadcasts a side only when its stored size is below the session's threshold.
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tidemark.config import PastWindow, RunConfig, Scenario, Shock
 from tidemark.operators import backtest as B
@@ -20,7 +23,7 @@ from tidemark.operators import controls as C
 from tidemark.operators import explain as E
 from tidemark.operators import panel, positions, pricing, returns, risk, stress
 from tidemark.plans import warehouse as wh
-from tidemark.session import shared_folder
+from tidemark.plans.stages import StagedRun, stage
 from tidemark.sources import tables
 
 # Scenarios placed inside the quote history of the order tables (1995-2001).
@@ -43,53 +46,47 @@ ORDER_CONFIG = RunConfig(
     past_windows=PAST_WINDOWS, scenarios=SCENARIOS)
 
 
-class DailyRun:
+class DailyRun(StagedRun):
     """All tables of one run date over one set of order tables."""
 
     def __init__(self, spark: SparkSession, sf_dir: str, cfg: RunConfig = ORDER_CONFIG, as_of: str | None = None,
                  store: str | None = None):
-        self.spark, self.sf_dir, self.cfg = spark, sf_dir, cfg
-        self._as_of = as_of
-        self.store = store or shared_folder(spark, "daily-run")
-
-    def _stored(self, name: str, frame: DataFrame) -> DataFrame:
-        path = f"{self.store}/{name}"
-        tables.write_table(frame, path)
-        return self.spark.read.schema(frame.schema).parquet(path)
+        super().__init__(spark, "daily-run", store)
+        self.sf_dir, self.cfg, self._as_of = sf_dir, cfg, as_of
 
     # --- stored tables ---------------------------------------------------------------------------
 
-    @cached_property
+    @stage()
     def instruments(self) -> DataFrame:
-        return self._stored("instruments", wh.instruments(self.spark, self.sf_dir))
+        return wh.instruments(self.spark, self.sf_dir)
 
-    @cached_property
+    @stage()
     def marks(self) -> DataFrame:
-        return self._stored("marks", wh.daily_marks(self.spark, self.sf_dir))
+        return wh.daily_marks(self.spark, self.sf_dir)
 
     @cached_property
     def raw(self) -> DataFrame:
         return wh.raw_quotes(self.marks, self.instruments)
 
-    @cached_property
+    @stage("marks", "instruments")
     def market(self) -> DataFrame:
         mapped = tables.map_series(self.raw, self.instruments)
-        return self._stored("market", tables.keep_last(mapped, ["instrument_id", "date"]).drop("load_seq"))
+        return tables.keep_last(mapped, ["instrument_id", "date"]).drop("load_seq")
 
     @cached_property
     def cross_checks(self) -> DataFrame:
         return wh.cross_checks(self.instruments)
 
-    @cached_property
+    @stage("marks", "instruments")
     def references(self) -> DataFrame:
         uses = tables.reference_map(self.instruments, self.cross_checks, "px")
         mapped = tables.map_references(wh.second_sources(self.marks, self.instruments), uses)
-        return self._stored("references", tables.keep_last(mapped, ["instrument_id", "purpose", "date"]).drop("load_seq"))
+        return tables.keep_last(mapped, ["instrument_id", "purpose", "date"]).drop("load_seq")
 
-    @cached_property
+    @stage("marks", "instruments")
     def dividends(self) -> DataFrame:
         mapped = tables.map_dividends(self.raw, self.instruments)
-        return self._stored("dividends", tables.keep_last(mapped, ["instrument_id", "ex_date"]).drop("load_seq"))
+        return tables.keep_last(mapped, ["instrument_id", "ex_date"]).drop("load_seq")
 
     @cached_property
     def trades(self) -> DataFrame:
@@ -101,10 +98,14 @@ class DailyRun:
 
     # --- run date and calendar -------------------------------------------------------------------
 
+    @stage("market", "instruments")
+    def all_days(self) -> DataFrame:
+        return panel.market_days(self.market, self.instruments, F.lit("9999-12-31").cast("date"),
+                                 self.cfg.risk.market_day_min_share)
+
     @cached_property
     def _last_two(self) -> list:
-        limit = F.lit(self._as_of or "9999-12-31").cast("date")
-        days = panel.market_days(self.market, self.instruments, limit, self.cfg.risk.market_day_min_share)
+        days = self.all_days if self._as_of is None else self.all_days.filter(F.col("date") <= self._as_of)
         rows = days.orderBy(F.col("ord").desc()).limit(2).collect()
         if not rows or (self._as_of and rows[0]["date"] != dt.date.fromisoformat(self._as_of)):
             raise ValueError(f"{self._as_of or 'the run date'} is not a market day in the data")
@@ -126,14 +127,14 @@ class DailyRun:
     def _as_of_col(self):
         return F.lit(self.as_of)
 
-    @cached_property
+    @property
     def days(self) -> DataFrame:
-        return self._stored("days", panel.market_days(self.market, self.instruments, self._as_of_col,
-                                            self.cfg.risk.market_day_min_share))
+        """Market days up to the run date."""
+        return self.all_days.filter(F.col("date") <= self._as_of_col)
 
-    @cached_property
+    @stage("market", "all_days")
     def filled(self) -> DataFrame:
-        return self._stored("filled", panel.filled_levels(self.market, self._as_of_col, self.cfg.risk.ffill_limit))
+        return panel.filled_levels(self.market, self._as_of_col, self.cfg.risk.ffill_limit)
 
     @cached_property
     def levels(self) -> DataFrame:
@@ -144,13 +145,13 @@ class DailyRun:
                                         self.cfg.risk.ffill_limit, stress_series)
         return returns.factor_returns(series, self.dividends)
 
-    @cached_property
+    @stage("filled", "references", "dividends", "instruments")
     def moves(self) -> DataFrame:
-        return self._stored("moves", pricing.value_moves(self.factor_returns(), self.attributes, self.cfg.risk.bump))
+        return pricing.value_moves(self.factor_returns(), self.attributes, self.cfg.risk.bump)
 
-    @cached_property
+    @stage("moves")
     def calendar(self) -> DataFrame:
-        return self._stored("calendar", returns.completeness(self.days, self.moves, self.instruments))
+        return returns.completeness(self.days, self.moves, self.instruments)
 
     # --- valuation -------------------------------------------------------------------------------
 
@@ -158,25 +159,25 @@ class DailyRun:
     def attributes(self) -> DataFrame:
         return pricing.priced_as(self.instruments, self.cfg)
 
-    @cached_property
+    @stage("filled", "instruments")
     def values(self) -> DataFrame:
         """Unit values on market days."""
-        return self._stored("values", pricing.unit_values(self.levels, self.attributes, ["ord", "date"]))
+        return pricing.unit_values(self.levels, self.attributes, ["ord", "date"])
 
-    @cached_property
+    @stage("filled", "instruments")
     def daily_values(self) -> DataFrame:
         """Unit values on every weekday."""
-        return self._stored("daily_values", pricing.unit_values(self.filled, self.attributes, ["date"]))
+        return pricing.unit_values(self.filled, self.attributes, ["date"])
 
-    @cached_property
+    @stage("marks", "all_days")
     def positions(self) -> DataFrame:
-        return self._stored("positions", positions.positions_from_trades(self.trades, self._as_of_col))
+        return positions.positions_from_trades(self.trades, self._as_of_col)
 
-    @cached_property
+    @stage("positions", "all_days")
     def holdings(self) -> DataFrame:
-        return self._stored("holdings", positions.holdings_on(self.days, self.positions))
+        return positions.holdings_on(self.days, self.positions)
 
-    @cached_property
+    @stage("values", "holdings")
     def book(self) -> DataFrame:
         """(k, date, instrument_id, desk, quantity, unit_value, mv) of market days on which every instrument has a value.
 
@@ -187,8 +188,8 @@ class DailyRun:
                   .select("ord"))
         rows = (self.values.join(priced, "ord").join(self.holdings.drop("date"), ["ord", "instrument_id"], "left")
                 .withColumn("quantity", F.coalesce("quantity", F.lit(0.0))))
-        return self._stored("book", rows.select(F.col("ord").alias("k"), "date", "instrument_id", "desk", "quantity", "unit_value",
-                                      (F.col("quantity") * F.col("unit_value")).alias("mv")))
+        return rows.select(F.col("ord").alias("k"), "date", "instrument_id", "desk", "quantity", "unit_value",
+                                      (F.col("quantity") * F.col("unit_value")).alias("mv"))
 
     # --- risk today ------------------------------------------------------------------------------
 
@@ -203,30 +204,30 @@ class DailyRun:
     def today(self) -> DataFrame:
         return self.book.filter(F.col("k") == self.k)
 
-    @cached_property
+    @stage("book", "calendar")
     def desk_cube(self) -> DataFrame:
         cube = risk.scenario_cube(self.today, self.scenarios, ["desk"], self.cfg.risk.window_days)
-        return self._stored("desk_cube", self._aged(cube))
+        return self._aged(cube)
 
-    @cached_property
+    @stage("book", "calendar")
     def total_cube(self) -> DataFrame:
-        return self._stored("total_cube", self._aged(risk.scenario_cube(self.today, self.scenarios, [], self.cfg.risk.window_days)))
+        return self._aged(risk.scenario_cube(self.today, self.scenarios, [], self.cfg.risk.window_days))
 
-    @cached_property
+    @stage("total_cube")
     def totals(self) -> DataFrame:
-        return self._stored("totals", risk.measures(self.total_cube, ["k"], self.cfg.risk).drop("k"))
+        return risk.measures(self.total_cube, ["k"], self.cfg.risk).drop("k")
 
-    @cached_property
+    @stage("desk_cube", "total_cube")
     def desks(self) -> DataFrame:
-        return self._stored("desks", risk.desk_measures(self.desk_cube, self.total_cube, self.cfg.risk))
+        return risk.desk_measures(self.desk_cube, self.total_cube, self.cfg.risk)
 
-    @cached_property
+    @stage("totals", "desks")
     def risk_results(self) -> DataFrame:
         """(method, measure, scope, scope_id, value)."""
         whole = self.totals.select("method", "measure", F.lit("total").alias("scope"), F.lit("book").alias("scope_id"), "value")
         parts = self.desks.unpivot(["desk"], ["VaR99_standalone", "ES975_contribution"], "measure", "value")
-        return self._stored("risk_results", whole.unionByName(parts.select(F.lit(self.cfg.risk.primary).alias("method"), "measure", F.lit("desk").alias("scope"),
-                                              F.col("desk").alias("scope_id"), "value")))
+        return whole.unionByName(parts.select(F.lit(self.cfg.risk.primary).alias("method"), "measure", F.lit("desk").alias("scope"),
+                                              F.col("desk").alias("scope_id"), "value"))
 
     # --- backtest --------------------------------------------------------------------------------
 
@@ -235,18 +236,18 @@ class DailyRun:
         cube = risk.scenario_cube(self.book, self.scenarios, [], self.cfg.risk.window_days)
         return risk.measures(self._aged(cube), ["k"], self.cfg.risk)
 
-    @cached_property
+    @stage("book", "calendar")
     def backtest(self) -> DataFrame:
         held = self.holdings.select(F.col("ord").alias("k")).distinct()
-        return self._stored("backtest", B.backtest_rows(self.calendar, held, self.forecasts, B.realised_pnl(self.book, self.moves)))
+        return B.backtest_rows(self.calendar, held, self.forecasts, B.realised_pnl(self.book, self.moves))
 
-    @cached_property
+    @stage("backtest")
     def backtest_summary(self) -> DataFrame:
-        return self._stored("backtest_summary", B.backtest_summary(self.backtest, self.cfg.risk))
+        return B.backtest_summary(self.backtest, self.cfg.risk)
 
     # --- explain ---------------------------------------------------------------------------------
 
-    @cached_property
+    @stage("holdings", "values", "calendar")
     def coalitions(self) -> DataFrame:
         held = self.holdings.filter(F.col("ord").isin(self.k, self.k - 1))
         vals = self.values.filter(F.col("ord").isin(self.k, self.k - 1))
@@ -255,15 +256,15 @@ class DailyRun:
         w = self.cfg.risk.window_days
         pnl = (self.scenarios.filter(F.col("s") >= max(1, self.k - w)).join(four, "instrument_id")
                .groupBy("p", "l", "s").agg(F.sum(F.col("mv") * F.col("growth")).alias("pnl")))
-        return self._stored("coalitions", E.coalition_cube(pnl, self.calendar, self.k, w))
+        return E.coalition_cube(pnl, self.calendar, self.k, w)
 
     @cached_property
     def coalition_values(self) -> DataFrame:
         return E.coalition_measures(self.coalitions, self.cfg.risk)
 
-    @cached_property
+    @stage("coalitions")
     def var_explain(self) -> DataFrame:
-        return self._stored("var_explain", E.shapley_shares(self.coalition_values, ["VaR99", "ES975"]))
+        return E.shapley_shares(self.coalition_values, ["VaR99", "ES975"])
 
     @cached_property
     def recent_trades(self) -> DataFrame:
@@ -272,18 +273,18 @@ class DailyRun:
 
     # --- stress ----------------------------------------------------------------------------------
 
-    @cached_property
+    @stage("all_days")
     def windows(self) -> DataFrame:
-        return self._stored("windows", stress.resolve_windows(stress.windows_frame(self.spark, self.cfg.past_windows), self.days))
+        return stress.resolve_windows(stress.windows_frame(self.spark, self.cfg.past_windows), self.days)
 
-    @cached_property
+    @stage("windows", "filled", "references", "dividends", "book")
     def stress_path(self) -> DataFrame:
         dense = returns.dense_returns(self.days, self.factor_returns(stress_series=True), self.instruments)
-        return self._stored("stress_path", stress.historical_positions(self.windows, dense, self.attributes, self.today))
+        return stress.historical_positions(self.windows, dense, self.attributes, self.today)
 
-    @cached_property
+    @stage("stress_path")
     def historical(self) -> DataFrame:
-        return self._stored("historical", stress.historical_summary(self.windows, self.stress_path, self.days))
+        return stress.historical_summary(self.windows, self.stress_path, self.days)
 
     @cached_property
     def shocks(self) -> DataFrame:
@@ -296,36 +297,43 @@ class DailyRun:
         return stress.shocked_pnl(moved, self.attributes, self.today, ["scenario"]).select(
             "scenario", "instrument_id", "desk", "pnl")
 
-    @cached_property
+    @stage("stress_path", "book")
     def stress_positions(self) -> DataFrame:
         """End-of-window and instant-shock P&L per position."""
         past = stress.end_positions(self.stress_path, self.windows).withColumn("kind", F.lit("historical"))
-        return self._stored("stress_positions", past.unionByName(self.hypothetical_positions.withColumn("kind", F.lit("hypothetical"))))
+        return past.unionByName(self.hypothetical_positions.withColumn("kind", F.lit("hypothetical")))
 
     # --- controls --------------------------------------------------------------------------------
 
+    def control_frames(self) -> list[Callable[[], DataFrame]]:
+        """The fourteen data controls, in their fixed order."""
+        rules, d, dim = self.cfg.controls, self._as_of_col, self.instruments
+        market, refs = self.market, self.references
+        return [
+            lambda: C.raw_duplicates(tables.map_series(self.raw, dim)), lambda: C.invalid_values(market, dim, d, rules),
+            lambda: C.missing_prices(C.last_seen(market, dim, d), rules), lambda: C.stale_prices(C.last_seen(market, dim, d), d, rules),
+            lambda: C.interior_gaps(market, dim, d, rules), lambda: C.return_outliers(market, dim, d, rules),
+            lambda: C.cross_source(refs, market, self.cross_checks, d, rules), lambda: C.futures_roll(market, refs, d, rules),
+            lambda: C.dividend_adjustment(market, self.dividends, dim, d, rules),
+            lambda: C.revisions(C.find_revisions(wh.market_data(self.marks, dim, "kept"), market, rules.revision_pct), d, rules),
+            lambda: C.history_sufficiency(market, dim, d, rules),
+            lambda: C.position_reconciliation(self.positions, self.trades, d, rules),
+            lambda: C.position_coverage(self.positions, dim, self.filled, d),
+            lambda: C.lineage_complete(market, self.lineage, d)]
+
     @cached_property
     def controls(self) -> DataFrame:
-        """The fourteen data controls of this run, in their fixed order."""
-        rules, d, dim = self.cfg.controls, self._as_of_col, self.instruments
-        seen = C.last_seen(self.market, dim, d)
-        raw = tables.map_series(self.raw, dim)
-        kept = wh.market_data(self.marks, dim, "kept")
-        changed = C.find_revisions(kept, self.market, rules.revision_pct)
-        rows = [
-            C.raw_duplicates(raw), C.invalid_values(self.market, dim, d, rules), C.missing_prices(seen, rules),
-            C.stale_prices(seen, d, rules), C.interior_gaps(self.market, dim, d, rules),
-            C.return_outliers(self.market, dim, d, rules),
-            C.cross_source(self.references, self.market, self.cross_checks, d, rules),
-            C.futures_roll(self.market, self.references, d, rules),
-            C.dividend_adjustment(self.market, self.dividends, dim, d, rules), C.revisions(changed, d, rules),
-            C.history_sufficiency(self.market, dim, d, rules),
-            C.position_reconciliation(self.positions, self.trades, d, rules),
-            C.position_coverage(self.positions, dim, self.filled, d), C.lineage_complete(self.market, self.lineage, d)]
-        out = rows[0]
-        for row in rows[1:]:
-            out = out.unionByName(row)
-        return self._stored("controls", out)
+        """One row per control. They are independent, so they run side by side, each into its own folder."""
+        self.ready("market", "references", "dividends", "positions", "filled")
+
+        def write(job: tuple[int, Callable[[], DataFrame]]) -> tuple[str, StructType]:
+            frame, path = job[1](), f"{self.store}/controls/{job[0]:02d}"
+            tables.write_table(frame, path)
+            return path, frame.schema
+
+        with ThreadPoolExecutor(7) as pool:
+            written = list(pool.map(write, enumerate(self.control_frames())))
+        return self.spark.read.schema(written[0][1]).parquet(*[path for path, _ in written])
 
 
 _RUNS: dict[tuple, DailyRun] = {}

@@ -529,7 +529,7 @@ def stress_hist_path(run: DailyRun) -> DataFrame:
 @query
 def stress_historical(run: DailyRun) -> DataFrame:
     """End P&L, worst point, missing data."""
-    return run.historical.select("scenario", "available", mm("pnl").alias("pnl"), mm("worst_pnl").alias("worst_pnl"), "worst_date", "n_no_data")
+    return run.historical.select("scenario", "available", mm("pnl").alias("pnl"), mm("worst_pnl").alias("worst_pnl"), "worst_date", F.col("n_no_data").cast("double").alias("n_no_data"))
 
 
 @query
@@ -646,7 +646,7 @@ def fault_stale(run: DailyRun) -> DataFrame:
 def price_lags(run: DailyRun) -> DataFrame:
     """Newest date and weekday lag per instrument on feeds that stopped."""
     seen = C.last_seen(_late_feed(run), run.instruments, F.lit(run.as_of))
-    return seen.select("instrument_id", "last", F.col("lag").cast("bigint").alias("lag"))
+    return seen.select("instrument_id", "last", F.col("lag").cast("double").alias("lag"))
 
 
 @query

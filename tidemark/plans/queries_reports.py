@@ -175,7 +175,8 @@ def latest_raw_files(run: DailyRun) -> DataFrame:
 def filing_documents(run: DailyRun) -> DataFrame:
     """Landed documents read as bytes, decoded and hashed."""
     docs = _study(run).documents
-    return docs.select("accession", F.length("html").cast("bigint").alias("length"), (F.sha2(F.encode("html", "UTF-8"), 256) == F.col("sha256")).alias("same_bytes"))
+    return docs.select("accession", (F.sha2(F.encode("html", "UTF-8"), 256) == F.col("sha256")).alias("same_bytes"),
+                       (F.col("html").startswith("<html>") & F.rtrim("html").endswith("</html>\n")).alias("complete"))
 
 
 @query

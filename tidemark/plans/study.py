@@ -13,8 +13,8 @@ from tidemark.functions import dates as D
 from tidemark.operators import disclosure as X
 from tidemark.operators import volstudy as V
 from tidemark.plans import warehouse as wh
-from tidemark.session import shared_folder
-from tidemark.sources import files, tables
+from tidemark.plans.stages import StagedRun, stage
+from tidemark.sources import files
 
 LABELS = (("interest_rates", "Interest rates"), ("equity_prices", "Equity prices"), ("currency_rates", "Currency rates"),
           ("commodity_prices", "Commodity prices"), ("diversification", "Diversification effect"), ("total", "Total"))
@@ -67,25 +67,20 @@ def write_filings(disclosed: DataFrame) -> DataFrame:
                        html.alias("html"))
 
 
-class Study:
+class Study(StagedRun):
     """Stages of the study, stored like those of the daily run."""
 
     def __init__(self, spark: SparkSession, sf_dir: str, cfg: RunConfig, store: str | None = None):
-        self.spark, self.sf_dir, self.rules = spark, sf_dir, cfg.study
-        self.store = store or shared_folder(spark, "study")
+        super().__init__(spark, "study", store)
+        self.sf_dir, self.rules = sf_dir, cfg.study
 
-    def _stored(self, name: str, frame: DataFrame) -> DataFrame:
-        path = f"{self.store}/{name}"
-        tables.write_table(frame, path)
-        return self.spark.read.schema(frame.schema).parquet(path)
-
-    @cached_property
+    @stage()
     def disclosed(self) -> DataFrame:
-        return self._stored("disclosed", wh.disclosed(self.spark, self.sf_dir))
+        return wh.disclosed(self.spark, self.sf_dir)
 
-    @cached_property
+    @stage("disclosed")
     def filings(self) -> DataFrame:
-        return self._stored("filings", write_filings(self.disclosed))
+        return write_filings(self.disclosed)
 
     @cached_property
     def landed(self) -> str:
@@ -110,43 +105,43 @@ class Study:
         index = self.spark.read.option("wholetext", True).text(f"{self.landed}/index").withColumnRenamed("value", "text")
         return files.filing_manifest(index, ["10-Q", "10-K"], "1996-01-01")
 
-    @cached_property
+    @stage("filings")
     def parsed(self) -> DataFrame:
-        return self._stored("parsed", X.parse_filings(self.filings))
+        return X.parse_filings(self.filings)
 
-    @cached_property
+    @stage("parsed")
     def quarters(self) -> DataFrame:
-        return self._stored("quarters", X.quarterly_averages(self.parsed))
+        return X.quarterly_averages(self.parsed)
 
-    @cached_property
+    @stage()
     def levels(self) -> DataFrame:
-        return self._stored("levels", V.benchmark_panel(wh.benchmarks(self.spark, self.sf_dir), wh.BENCHMARK_CATEGORY))
+        return V.benchmark_panel(wh.benchmarks(self.spark, self.sf_dir), wh.BENCHMARK_CATEGORY)
 
-    @cached_property
+    @stage("levels")
     def vol(self) -> DataFrame:
-        return self._stored("vol", V.trailing_vol(self.levels, self.rules))
+        return V.trailing_vol(self.levels, self.rules)
 
-    @cached_property
+    @stage("vol")
     def quarterly_vol(self) -> DataFrame:
-        return self._stored("quarterly_vol", V.quarterly_vol(self.vol))
+        return V.quarterly_vol(self.vol)
 
-    @cached_property
+    @stage("quarters", "quarterly_vol")
     def fit(self) -> DataFrame:
-        return self._stored("fit", V.with_interval(V.vol_fit(self.quarters, self.quarterly_vol, self.rules), self.rules))
+        return V.with_interval(V.vol_fit(self.quarters, self.quarterly_vol, self.rules), self.rules)
 
     @cached_property
     def correlation(self) -> DataFrame:
         return V.rolling_correlation(self.levels, "equity_prices", "interest_rates", self.rules)
 
-    @cached_property
+    @stage("quarters", "levels")
     def diversification(self) -> DataFrame:
-        return self._stored("diversification", V.diversification(self.quarters, self.correlation, self.rules))
+        return V.diversification(self.quarters, self.correlation, self.rules)
 
-    @cached_property
+    @stage("quarters", "quarterly_vol")
     def episodes(self) -> DataFrame:
         pairs = self.spark.createDataFrame(list(EPISODES), "name string, `from` string, `to` string").select(
             "name", F.col("from").cast("date").alias("from"), F.col("to").cast("date").alias("to"))
-        return self._stored("episodes", V.episodes(self.quarters, self.quarterly_vol, pairs, self.rules))
+        return V.episodes(self.quarters, self.quarterly_vol, pairs, self.rules)
 
 
 _STUDIES: dict[tuple, Study] = {}

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions.dates import quarter_end
 from tidemark.functions.stats import half_up
 
 RUN_ID = "run-1"
@@ -145,7 +146,6 @@ def disclosed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(period_end, six categories): quarter averages of four customer segments, with a diversification effect."""
     names = {"AUTOMOBILE": "interest_rates", "BUILDING": "equity_prices", "FURNITURE": "currency_rates",
              "HOUSEHOLD": "commodity_prices"}
-    from tidemark.functions.dates import quarter_end
     orders = table(spark, sf_dir, "orders").select("o_custkey", quarter_end(F.to_date("o_orderdate")).alias("period_end"), "o_totalprice")
     customers = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment")
     wide = orders.join(customers, "o_custkey").groupBy("period_end").agg(*[
@@ -157,13 +157,17 @@ def disclosed(spark: SparkSession, sf_dir: str) -> DataFrame:
             .filter(F.col("total").isNotNull()))
 
 
-def benchmarks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(date, ticker, close): daily averages of four order priorities, the benchmark of each category."""
-    orders = table(spark, sf_dir, "orders").select(
-        F.to_date("o_orderdate").alias("date"), F.substring("o_orderpriority", 1, 1).alias("p"), "o_totalprice")
-    return (orders.filter(F.col("p") <= "4").groupBy("date", F.concat(F.lit("B"), F.col("p")).alias("ticker"))
-            .agg(half_up(F.avg("o_totalprice") / 1e4, 6).alias("close")))
+# Fixed mapping of part type to benchmark category.
+BENCHMARK_CATEGORY = {"STANDARD": "interest_rates", "ECONOMY": "equity_prices", "MEDIUM": "currency_rates", "PROMO": "commodity_prices"}
+
 
+def benchmarks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(date, ticker, close): daily average unit price of four part types, the benchmark of each category.
 
-# Fixed mapping of benchmark ticker to category.
-BENCHMARK_CATEGORY = {"B1": "interest_rates", "B2": "equity_prices", "B3": "currency_rates", "B4": "commodity_prices"}
+    Same shape as the daily marks: one scan, a join on the part key and a map-side combined average.
+    """
+    li = table(spark, sf_dir, "lineitem").select(
+        "l_partkey", F.to_date("l_shipdate").alias("date"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("unit"))
+    part = (table(spark, sf_dir, "part").filter(F.col("p_type").isin(*BENCHMARK_CATEGORY))
+            .select(F.col("p_partkey").alias("l_partkey"), F.col("p_type").alias("ticker")))
+    return (li.join(part, "l_partkey").groupBy("date", "ticker").agg(half_up(F.avg("unit"), 6).alias("close")))
