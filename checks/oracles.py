@@ -61,7 +61,7 @@ oracle("complete_scenario_days", "SELECT date, complete, c::BIGINT AS c FROM cal
 
 # --- valuation and positions
 oracle("unit_values", "SELECT date, instrument_id, round(unit_value, 6) AS unit_value FROM daily_values_t WHERE unit_value IS NOT NULL")
-oracle("value_moves", "SELECT date, instrument_id, round(x, 6) AS x, round(exp(x) - 1, 6) AS growth FROM moves_t WHERE x IS NOT NULL")
+oracle("value_moves", "SELECT date, instrument_id, round(x, 6) AS x FROM moves_t WHERE x IS NOT NULL")
 oracle("shocked_levels", """
 SELECT m.date, m.instrument_id, round(CASE WHEN quote = 'yield_pct' THEN level + r ELSE level * exp(r) END, 4) AS level
 FROM rets_t m JOIN dim_t USING (instrument_id) JOIN (SELECT instrument_id, level FROM levels_t WHERE ord = (SELECT k FROM run_t)) USING (instrument_id)""")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from checks.oracles import ALL_CONTROLS, M, RUN_D, oracle, signed
-from checks.parts import chi2_1, part
+from checks.parts import chi2_1, mean_units, part
 
 CATS = ("interest_rates", "equity_prices", "currency_rates", "commodity_prices")
 SIX = (*CATS, "diversification", "total")
@@ -94,9 +94,9 @@ SELECT period_end FROM dsc_t WHERE month(period_end) = 12 AND period_end > (SELE
 AND period_end < (SELECT max(period_end) FROM dsc_t WHERE month(period_end) <> 12)""")
 
 # --- volatility study
-part("bench_t", """
+part("bench_t", f"""
 SELECT l_shipdate::DATE AS date, CASE p_type WHEN 'STANDARD' THEN 'interest_rates' WHEN 'ECONOMY' THEN 'equity_prices' WHEN 'MEDIUM' THEN 'currency_rates' ELSE 'commodity_prices' END AS category,
-  round(avg(l_extendedprice / l_quantity), 6) AS level FROM lineitem JOIN part ON p_partkey = l_partkey WHERE p_type IN ('STANDARD', 'ECONOMY', 'MEDIUM', 'PROMO') GROUP BY 1, 2""")
+  round({mean_units('l_extendedprice / l_quantity', 4)}, 6) AS level FROM lineitem JOIN part ON p_partkey = l_partkey WHERE p_type IN ('STANDARD', 'ECONOMY', 'MEDIUM', 'PROMO') GROUP BY 1, 2""")
 part("vmoves_t", """SELECT date, category, CASE category WHEN 'interest_rates' THEN level - lag(level) OVER w ELSE ln(level / lag(level) OVER w) END AS move
 FROM bench_t WINDOW w AS (PARTITION BY category ORDER BY date)""")
 part("vdense_t", """SELECT d.date, d.category, move, row_number() OVER (PARTITION BY d.category ORDER BY d.date) AS u

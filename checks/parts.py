@@ -91,16 +91,20 @@ SELECT p_brand AS instrument_id, 'Instrument ' || n AS name,
   CASE WHEN n BETWEEN 21 AND 23 OR n <= 10 OR n BETWEEN 16 AND 18 THEN NULL ELSE 'Brand#21' END AS fx_id, n
 FROM (SELECT DISTINCT p_brand, split_part(p_brand, '#', 2)::INT AS n FROM part)""")
 
-part("marks_t", """
-SELECT p_brand AS instrument_id, l_shipdate::DATE AS date,
-  avg(l_extendedprice / l_quantity) AS unit_all, avg(l_tax) AS tax_all, avg(l_discount) AS disc_all,
-  avg(l_extendedprice / l_quantity) FILTER (l_linestatus = 'O') AS unit_o, avg(l_tax) FILTER (l_linestatus = 'O') AS tax_o,
-  avg(l_discount) FILTER (l_linestatus = 'O') AS disc_o,
-  avg(l_extendedprice / l_quantity) FILTER (l_linestatus = 'F') AS unit_f, avg(l_tax) FILTER (l_linestatus = 'F') AS tax_f,
-  avg(l_discount) FILTER (l_linestatus = 'F') AS disc_f,
-  avg(l_extendedprice / l_quantity) FILTER (l_returnflag <> 'A') AS unit_kept, avg(l_tax) FILTER (l_returnflag <> 'A') AS tax_kept,
-  avg(l_discount) FILTER (l_returnflag <> 'A') AS disc_kept,
-  max(l_discount) AS disc_max, max(l_linestatus) AS status_max,
+def mean_units(x: str, digits: int, only: str = "") -> str:
+    """Exact mean: whole units of the last kept digit are summed as integers."""
+    keep = f" FILTER ({only})" if only else ""
+    return f"sum(floor(({x}) * 1e{digits} + 0.5)::BIGINT){keep}::DOUBLE / count(*){keep} / 1e{digits}"
+
+
+def means(tag: str, only: str = "") -> str:
+    return (f"{mean_units('l_extendedprice / l_quantity', 4, only)} AS unit_{tag}, {mean_units('l_tax', 2, only)} AS tax_{tag}, "
+            f"{mean_units('l_discount', 2, only)} AS disc_{tag}")
+
+
+part("marks_t", f"""
+SELECT p_brand AS instrument_id, l_shipdate::DATE AS date, {means('all')}, {means('o', "l_linestatus = 'O'")}, {means('f', "l_linestatus = 'F'")},
+  {means('kept', "l_returnflag <> 'A'")}, max(l_discount) AS disc_max, max(l_linestatus) AS status_max,
   sum(CASE WHEN l_returnflag = 'R' THEN -l_quantity ELSE l_quantity END) AS traded
 FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1, 2""")
 

@@ -213,8 +213,8 @@ def unit_values(run: DailyRun) -> DataFrame:
 
 @query
 def value_moves(run: DailyRun) -> DataFrame:
-    """Log value move and growth per scenario day and instrument."""
-    return run.moves.filter("x is not null").select("date", "instrument_id", ratio("x").alias("x"), ratio("growth").alias("growth"))
+    """Log value move per scenario day and instrument."""
+    return run.moves.filter("x is not null").select("date", "instrument_id", ratio("x").alias("x"))
 
 
 @query

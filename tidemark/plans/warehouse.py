@@ -20,6 +20,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _units(x: Column, digits: int) -> Column:
+    """Whole units of the last kept digit, so that sums are exact in any order."""
+    return F.floor(x * 10.0 ** digits + 0.5)
+
+
+def _mean(units: Column, digits: int) -> Column:
+    return F.sum(units) / F.count(units) / 10.0 ** digits
+
+
 def instruments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fixed mapping of brand number to desk, currency, quote and proxies."""
     n = F.col("n")
@@ -57,14 +66,14 @@ def daily_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     brands x dates, so the second shuffle is tiny whatever the input size.
     """
     li = table(spark, sf_dir, "lineitem").select(
-        "l_partkey", F.to_date("l_shipdate").alias("date"), "l_quantity", "l_discount", "l_tax", "l_returnflag",
-        "l_linestatus", (F.col("l_extendedprice") / F.col("l_quantity")).alias("unit"))
+        "l_partkey", F.to_date("l_shipdate").alias("date"), "l_quantity", "l_discount", "l_returnflag", "l_linestatus",
+        _units(F.col("l_extendedprice") / F.col("l_quantity"), 4).alias("unit"), _units(F.col("l_tax"), 2).alias("tax"),
+        _units(F.col("l_discount"), 2).alias("disc"))
     part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("instrument_id"))
 
     def averages(tag: str, keep: Column | None) -> list[Column]:
         pick = (lambda c: F.col(c)) if keep is None else (lambda c: F.when(keep, F.col(c)))
-        return [F.avg(pick("unit")).alias(f"unit_{tag}"), F.avg(pick("l_tax")).alias(f"tax_{tag}"),
-                F.avg(pick("l_discount")).alias(f"disc_{tag}")]
+        return [_mean(pick("unit"), 4).alias(f"unit_{tag}"), _mean(pick("tax"), 2).alias(f"tax_{tag}"), _mean(pick("disc"), 2).alias(f"disc_{tag}")]
 
     return (li.join(part, "l_partkey").groupBy("instrument_id", "date")
             .agg(*averages("all", None), *averages("o", F.col("l_linestatus") == "O"),
@@ -167,7 +176,7 @@ def benchmarks(spark: SparkSession, sf_dir: str) -> DataFrame:
     Same shape as the daily marks: one scan, a join on the part key and a map-side combined average.
     """
     li = table(spark, sf_dir, "lineitem").select(
-        "l_partkey", F.to_date("l_shipdate").alias("date"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("unit"))
+        "l_partkey", F.to_date("l_shipdate").alias("date"), _units(F.col("l_extendedprice") / F.col("l_quantity"), 4).alias("unit"))
     part = (table(spark, sf_dir, "part").filter(F.col("p_type").isin(*BENCHMARK_CATEGORY))
             .select(F.col("p_partkey").alias("l_partkey"), F.col("p_type").alias("ticker")))
-    return (li.join(part, "l_partkey").groupBy("date", "ticker").agg(half_up(F.avg("unit"), 6).alias("close")))
+    return (li.join(part, "l_partkey").groupBy("date", "ticker").agg(half_up(_mean(F.col("unit"), 4), 6).alias("close")))

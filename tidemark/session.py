@@ -22,7 +22,7 @@ def build_session(app: str = "tidemark", master: str | None = None, shuffle_part
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     for key, value in extra.items():
-        builder = builder.config(key.replace("__", "."), value)
+        builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
@@ -34,7 +34,7 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     The cluster names it in ``spark.checkpoint.dir``. Only a local master may fall back to a
     temporary folder of this machine.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
