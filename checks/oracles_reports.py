@@ -51,8 +51,8 @@ oracle("csv_long_dividends", "SELECT ticker, date, round(level, 6) AS close, rou
 oracle("csv_long_without_dividends", "SELECT ticker, count(*) AS n, 0.0::DOUBLE AS dividend FROM raw_t WHERE source = 'px' GROUP BY 1")
 oracle("csv_two_level_header", "SELECT ticker, date, round(level, 6) AS close, round(dividend, 6) AS dividend FROM raw_t WHERE source = 'px'")
 oracle("raw_lineage", """
-SELECT source, count(*) FILTER (date < DATE '2000-01-01') AS n_rows, TRUE AS hashed, TRUE AS named FROM raw_t GROUP BY 1
-UNION ALL SELECT source, count(*), TRUE, TRUE FROM raw_t GROUP BY 1""")
+SELECT '20010101T000000' AS stamp, source, 'unknown' AS request, count(*) FILTER (date < DATE '2000-01-01') AS n_rows, TRUE AS hashed, TRUE AS named FROM raw_t GROUP BY source
+UNION ALL SELECT '20011105T000000', source, 'unknown', count(*), TRUE, TRUE FROM raw_t GROUP BY source""")
 oracle("latest_raw_files", "SELECT ticker, count(*) AS n, max(date) AS last FROM raw_t GROUP BY 1")
 
 # --- filings
@@ -236,3 +236,9 @@ for key, column in (("disclosed_total", "total"), ("disclosed_interest_rates", "
     oracle(f"measure_{key}", f"SELECT period_end, sum({column}) AS value FROM quarters_t GROUP BY 1")
 oracle("measure_latest_quarter_total", "SELECT sum(total) AS value FROM quarters_t WHERE period_end = (SELECT max(period_end) FROM quarters_t)")
 oracle("measure_quarters_published", "SELECT count(*) AS value FROM quarters_t")
+
+# --- the stored run
+COUNTS = {"risk_results": "SELECT count(*) FROM risk_t", "backtest": "SELECT count(*) FROM bt_t", "stress_results": "SELECT count(*) FROM stressfact_t",
+          "var_explain": "SELECT count(*) FROM explain_t", "control_results": "SELECT count(*) + 1 FROM controls_t"}
+oracle("daily_pipeline", " UNION ALL ".join(f"SELECT '{n}' AS stored, ({s})::VARCHAR AS value" for n, s in COUNTS.items()) + """
+UNION ALL SELECT 'status', CASE max(CASE status WHEN 'FAIL' THEN 2 WHEN 'WARN' THEN 1 ELSE 0 END) WHEN 2 THEN 'FAIL' WHEN 1 THEN 'WARN' ELSE 'PASS' END FROM controls_t""")

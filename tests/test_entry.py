@@ -6,6 +6,8 @@ import pytest
 
 import __spark_entry__ as contract
 from checks.compare import compare, connect
+from tidemark.plans import pipeline
+from tidemark.plans.daily import DailyRun
 
 SF = "/root/testdata/sf0.01"
 KEYS = ("market_data_daily", "proxy_panel", "asof_positions", "run_log_status", "ctl_reporting_sla", "filings_parsed", "best_window")
@@ -27,3 +29,12 @@ def test_flagship_query(spark):
     rows = {(r.method, r.measure): r.value for r in contract.entry(spark).collect()}
     assert len(rows) == 9
     assert all(0 < rows[m, "VaR95"] < rows[m, "VaR99"] for m in ("hs_equal", "hs_weighted", "parametric"))
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the given tables")
+def test_run_date_must_be_a_market_day_and_errors_are_logged(spark, tmp_path):
+    run = DailyRun(spark, SF, as_of="2001-11-04")
+    with pytest.raises(ValueError, match="not a market day"):
+        pipeline.execute(run, "r9", str(tmp_path / "results"))
+    log = pipeline.run_log(spark, str(tmp_path / "results")).first()
+    assert (log.run_id, log.status) == ("r9", "ERROR") and log.finished_at is not None

@@ -49,7 +49,7 @@ def test_missing_moves_count_as_zero_and_are_reported(spark, instruments):
     dense = spark.createDataFrame([(k, i, moves.get((i, k))) for k in range(4) for i in ("X", "Y", "B", "USD")], "ord int, instrument_id string, r double")
     book = spark.createDataFrame([("X", 100.0), ("Y", 200.0), ("B", 50.0), ("USD", 10.0)], "instrument_id string, mv double")
     windows = stress.resolve_windows(stress.windows_frame(spark, (PastWindow("w", "w", "w", "2020-01-06", end="2020-01-09"),)), days)
-    path = stress.historical_positions(windows, dense, pricing.priced_as(instruments, cfg), book)
+    path = stress.historical_positions(stress.path_moves(windows, dense), pricing.priced_as(instruments, cfg), book)
     got = stress.historical_summary(windows, path, days).first()
     flat = 200 * np.expm1(-0.01) + 10 * np.expm1(-0.01)
     assert got.pnl == pytest.approx(100 * np.expm1(-0.05) + flat) and got.worst_pnl == pytest.approx(100 * np.expm1(-0.10) + flat)
@@ -102,13 +102,19 @@ def test_long_csv_without_and_with_dividends(spark, tmp_path):
 
 
 def test_fingerprints_are_of_the_bytes_on_disk(spark, tmp_path):
-    folder = tmp_path / "20260929T000000" / "px.csv"
-    folder.mkdir(parents=True)
-    (folder / "part-0.csv").write_bytes(b"ticker,date,close\r\nA,2026-09-24,1\r\n")
-    row = files.fingerprints(spark, str(tmp_path)).first()
-    sha = hashlib.sha256((folder / "part-0.csv").read_bytes()).hexdigest()
-    assert (row.source, row.sha256, row.fetch_id) == ("px", sha, f"px-{sha[:12]}")
-    assert files.rows_per_file(spark, str(tmp_path)).first().n_rows == 1
+    for stamp, line in (("20260928T000000", b""), ("20260929T000000", b"A,2026-09-24,1\r\n")):
+        folder = tmp_path / stamp
+        folder.mkdir()
+        (folder / "px.csv").write_bytes(b"ticker,date,close\r\n" + line)
+    (folder / "px.request.txt").write_text("series=A")
+    got = {r.n_rows: r for r in files.lineage_records(spark, str(tmp_path)).collect()}
+    sha = hashlib.sha256((folder / "px.csv").read_bytes()).hexdigest()
+    assert (got[1].source, got[1].sha256, got[1].fetch_id, got[1].request) == ("px", sha, f"px-{sha[:12]}", "series=A")
+    assert got[0].request == "unknown"
+    names = files.file_names(spark, str(tmp_path))
+    assert files.newest_files(names, str(tmp_path), ["px"]).first().path.endswith("20260929T000000/px.csv")
+    with pytest.raises(Exception, match="no landed raw data for cb"):
+        files.newest_files(names, str(tmp_path), ["px", "cb"]).collect()
 
 
 def test_keep_last_upsert_and_range_replacement(spark):

@@ -70,6 +70,7 @@ class RiskRules:
     methods: tuple[Method, ...] = METHODS
     primary: str = "hs_equal"
     traffic_light_days: int = 250
+    backtest_start: str | None = None  # first tested date; None tests every day that has a forecast
     bump: float = 1e-4
     concentration_share: float = 0.10
     var_move_share: float = 0.10

@@ -69,9 +69,9 @@ def shocked_pnl(path: DataFrame, attributes: DataFrame, book: DataFrame, on: lis
             .withColumn("pnl", F.coalesce(F.col("mv"), F.lit(0.0)) * F.col("growth") + 0.0))
 
 
-def historical_positions(resolved: DataFrame, dense: DataFrame, attributes: DataFrame, book: DataFrame) -> DataFrame:
+def historical_positions(path: DataFrame, attributes: DataFrame, book: DataFrame) -> DataFrame:
     """(scenario, ord, instrument_id, desk, pnl, gap) along every path day."""
-    return (shocked_pnl(path_moves(resolved, dense), attributes, book, ["scenario", "ord"])
+    return (shocked_pnl(path, attributes, book, ["scenario", "ord"])
             .select("scenario", "ord", "instrument_id", "desk", "pnl", "gap"))
 
 

@@ -140,14 +140,24 @@ class DailyRun(StagedRun):
     def levels(self) -> DataFrame:
         return panel.on_market_days(self.filled, self.days)
 
-    def factor_returns(self, stress_series: bool = False) -> DataFrame:
+    def _returns(self, stress_series: bool) -> DataFrame:
         series = returns.driving_series(self.levels, self.references, self.instruments, self.days, self._as_of_col,
                                         self.cfg.risk.ffill_limit, stress_series)
         return returns.factor_returns(series, self.dividends)
 
     @stage("filled", "references", "dividends", "instruments")
+    def factor_moves(self) -> DataFrame:
+        """Factor returns; stored because attaching the FX factor reads them twice."""
+        return self._returns(stress_series=False)
+
+    @stage("filled", "references", "dividends", "instruments")
+    def stress_moves(self) -> DataFrame:
+        """Factor returns with stress proxies taking precedence."""
+        return self._returns(stress_series=True)
+
+    @stage("factor_moves", "instruments")
     def moves(self) -> DataFrame:
-        return pricing.value_moves(self.factor_returns(), self.attributes, self.cfg.risk.bump)
+        return pricing.value_moves(self.factor_moves, self.attributes, self.cfg.risk.bump)
 
     @stage("moves")
     def calendar(self) -> DataFrame:
@@ -239,7 +249,8 @@ class DailyRun(StagedRun):
     @stage("book", "calendar")
     def backtest(self) -> DataFrame:
         held = self.holdings.select(F.col("ord").alias("k")).distinct()
-        return B.backtest_rows(self.calendar, held, self.forecasts, B.realised_pnl(self.book, self.moves))
+        return B.backtest_rows(self.calendar, held, self.forecasts, B.realised_pnl(self.book, self.moves),
+                               self.cfg.risk.backtest_start)
 
     @stage("backtest")
     def backtest_summary(self) -> DataFrame:
@@ -277,10 +288,15 @@ class DailyRun(StagedRun):
     def windows(self) -> DataFrame:
         return stress.resolve_windows(stress.windows_frame(self.spark, self.cfg.past_windows), self.days)
 
-    @stage("windows", "filled", "references", "dividends", "book")
+    @stage("windows", "stress_moves")
+    def stress_factors(self) -> DataFrame:
+        """Cumulative factor moves along every window."""
+        dense = returns.dense_returns(self.days, self.stress_moves, self.instruments)
+        return stress.path_moves(self.windows, dense)
+
+    @stage("stress_factors", "book")
     def stress_path(self) -> DataFrame:
-        dense = returns.dense_returns(self.days, self.factor_returns(stress_series=True), self.instruments)
-        return stress.historical_positions(self.windows, dense, self.attributes, self.today)
+        return stress.historical_positions(self.stress_factors, self.attributes, self.today)
 
     @stage("stress_path")
     def historical(self) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from functools import cached_property
 
 from pyspark.sql import DataFrame
@@ -131,9 +132,10 @@ class Marts:
              "fact_stress", "fact_var_explain", "fact_controls", "fact_disclosed_var", "fact_benchmark_vol")
 
     def export(self, folder: str) -> None:
-        """Write every mart as CSV."""
-        for name in self.NAMES:
-            files.export_csv(getattr(self, name), f"{folder}/{name}")
+        """Write every mart as CSV, side by side."""
+        frames = [(name, getattr(self, name)) for name in self.NAMES]
+        with ThreadPoolExecutor(6) as pool:
+            list(pool.map(lambda item: files.export_csv(item[1], f"{folder}/{item[0]}"), frames))
 
     def load_exported(self, folder: str, name: str) -> DataFrame:
         """Read one exported mart with its own schema."""

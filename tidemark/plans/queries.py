@@ -166,13 +166,13 @@ def dividend_panel(run: DailyRun) -> DataFrame:
 @query
 def factor_returns(run: DailyRun) -> DataFrame:
     """R5, P10, W3."""
-    return run.moves.select("date", "instrument_id", ratio("r").alias("r"))
+    return run.factor_moves.select("date", "instrument_id", ratio("r").alias("r"))
 
 
 @query
 def stress_factor_returns(run: DailyRun) -> DataFrame:
     """R5 with stress proxies taking precedence."""
-    return run.factor_returns(stress_series=True).select("date", "instrument_id", ratio("r").alias("r"))
+    return run.stress_moves.select("date", "instrument_id", ratio("r").alias("r"))
 
 
 @query

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from tidemark.operators import disclosure as X
 from tidemark.operators import exposure
 from tidemark.operators import stress
 from tidemark.operators import volstudy as V
+from tidemark.plans import pipeline
 from tidemark.plans.daily import DailyRun
 from tidemark.plans.marts import Marts
 from tidemark.plans.measures import MEASURES
@@ -144,30 +147,28 @@ def _landed(run: DailyRun) -> str:
         for stamp, keep in (("20010101T000000", F.col("date") < "2000-01-01"), ("20011105T000000", F.lit(True))):
             for source in ("px", "cb", "fed"):
                 rows = run.raw.filter((F.col("source") == source) & keep)
-                rows.select("ticker", "date", "close", "adj_close", "dividend").coalesce(1).write.option("header", True).csv(f"{root}/{stamp}/{source}.csv")
+                rows.select("ticker", "date", "close", "adj_close", "dividend").repartition(2, "ticker").write.option("header", True).csv(f"{root}/{stamp}/{source}.csv")
         run._landing = root
     return run._landing
 
 
 @query
 def raw_lineage(run: DailyRun) -> DataFrame:
-    """Hash, fetch id and rows of every landed file."""
-    root = _landed(run)
-    prints = files.fingerprints(run.spark, root, "part-*.csv")
-    rows = files.rows_per_file(run.spark, root, "part-*.csv")
-    name = F.regexp_extract("path", r"([^/]+)$", 1)
-    both = prints.withColumn("name", name).drop("path").join(rows.withColumn("name", name).drop("path"), "name")
-    return both.select("source", "n_rows", (F.length("sha256") == 64).alias("hashed"),
-                       (F.col("fetch_id") == F.concat("source", F.lit("-"), F.substring("sha256", 1, 12))).alias("named"))
+    """Hash, fetch id and rows of the landed files, per folder and source."""
+    records = files.lineage_records(run.spark, _landed(run), "part-*.csv")
+    stamp = F.regexp_extract("raw_path", r"/([^/]+)/[^/]+\.csv/", 1)
+    whole = records.groupBy(stamp.alias("stamp"), "source", "request").agg(
+        F.sum("n_rows").alias("n_rows"), F.min(F.length("sha256") == 64).alias("hashed"),
+        F.min(F.col("fetch_id") == F.concat("source", F.lit("-"), F.substring("sha256", 1, 12))).alias("named"))
+    return whole
 
 
 @query
 def latest_raw_files(run: DailyRun) -> DataFrame:
     """The newest folder per source, parsed."""
     root = _landed(run)
-    newest = files.newest_folders(files.file_names(run.spark, root, "part-*.csv"), root)
-    folders = [r["folder"] for r in newest.collect()]
-    rows = files.read_long(run.spark, folders)
+    newest = files.newest_files(files.file_names(run.spark, root, "part-*.csv"), root, ["px", "cb", "fed"])
+    rows = files.read_long(run.spark, [r["path"] for r in newest.collect()])
     return rows.groupBy("ticker").agg(F.count(F.lit(1)).alias("n"), F.max("date").alias("last"))
 
 
@@ -205,6 +206,19 @@ def export_round_trip(run: DailyRun) -> DataFrame:
     return marts.load_exported(folder, "fact_risk").select("date", "method", "measure", "scope", "scope_id", mm("value_base").alias("value"))
 
 
+@query
+def daily_pipeline(run: DailyRun) -> DataFrame:
+    """A whole run stored under a run id; rows per stored table, and its status."""
+    finished = dt.datetime.combine(run.as_of, dt.time(23, 0), tzinfo=dt.timezone.utc)
+    done = pipeline.execute(run, "run-1", shared_folder(run.spark, "results"), clock=lambda: finished)
+    out = None
+    for name in pipeline.TABLES:
+        rows = run.spark.read.parquet(f"{done.store}/{name}").filter(F.col("run_id") == "run-1")
+        one = rows.agg(F.lit(name).alias("stored"), F.count(F.lit(1)).cast("string").alias("value"))
+        out = one if out is None else out.unionByName(one)
+    return out.unionByName(pipeline.run_log(run.spark, done.store).select(F.lit("status").alias("stored"), F.col("status").alias("value")))
+
+
 # --- Filings (X1-X7, X19, X21) -----------------------------------------------------------------------
 
 

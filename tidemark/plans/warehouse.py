@@ -62,26 +62,27 @@ def instruments(spark: SparkSession, sf_dir: str) -> DataFrame:
 def daily_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(instrument_id, date, ...) from one scan of the line items.
 
-    The join shuffles by part key (AQE splits a hot part); the aggregation is combined map-side into
-    brands x dates, so the second shuffle is tiny whatever the input size.
+    The join shuffles by part key (AQE splits a hot part). The first aggregation has few buffers per row
+    and is combined map-side into brands x dates x four kinds of line; the second one spreads the kinds
+    into columns and works on that small table only.
     """
     li = table(spark, sf_dir, "lineitem").select(
-        "l_partkey", F.to_date("l_shipdate").alias("date"), "l_quantity", "l_discount", "l_returnflag", "l_linestatus",
+        "l_partkey", F.to_date("l_shipdate").alias("date"), F.col("l_linestatus").alias("status"), (F.col("l_returnflag") != "A").alias("kept"),
+        F.when(F.col("l_returnflag") == "R", -F.col("l_quantity")).otherwise(F.col("l_quantity")).alias("traded"), "l_discount",
         _units(F.col("l_extendedprice") / F.col("l_quantity"), 4).alias("unit"), _units(F.col("l_tax"), 2).alias("tax"),
         _units(F.col("l_discount"), 2).alias("disc"))
     part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("instrument_id"))
+    kinds = (li.join(part, "l_partkey").groupBy("instrument_id", "date", "status", "kept")
+             .agg(F.count(F.lit(1)).alias("n"), F.sum("unit").alias("unit"), F.sum("tax").alias("tax"), F.sum("disc").alias("disc"),
+                  F.max("l_discount").alias("disc_max"), F.sum("traded").alias("traded")))
 
-    def averages(tag: str, keep: Column | None) -> list[Column]:
-        pick = (lambda c: F.col(c)) if keep is None else (lambda c: F.when(keep, F.col(c)))
-        return [_mean(pick("unit"), 4).alias(f"unit_{tag}"), _mean(pick("tax"), 2).alias(f"tax_{tag}"), _mean(pick("disc"), 2).alias(f"disc_{tag}")]
-
-    return (li.join(part, "l_partkey").groupBy("instrument_id", "date")
-            .agg(*averages("all", None), *averages("o", F.col("l_linestatus") == "O"),
-                 *averages("f", F.col("l_linestatus") == "F"), *averages("kept", F.col("l_returnflag") != "A"),
-                 F.max("l_discount").alias("disc_max"), F.max("l_linestatus").alias("status_max"),
-                 F.count(F.lit(1)).alias("rows"), F.count(F.when(F.col("l_linestatus") == "O", 1)).alias("rows_o"),
-                 F.sum(F.when(F.col("l_returnflag") == "R", -F.col("l_quantity")).otherwise(F.col("l_quantity")))
-                 .alias("traded")))
+    def means(tag: str, keep: Column) -> list[Column]:
+        total = lambda c: F.sum(F.when(keep, F.col(c)))
+        return [(total(c) / total("n") / 10.0 ** digits).alias(f"{c}_{tag}") for c, digits in (("unit", 4), ("tax", 2), ("disc", 2))]
+
+    return kinds.groupBy("instrument_id", "date").agg(
+        *means("all", F.lit(True)), *means("o", F.col("status") == "O"), *means("f", F.col("status") == "F"), *means("kept", F.col("kept")),
+        F.max("disc_max").alias("disc_max"), F.max("status").alias("status_max"), F.sum("traded").alias("traded"))
 
 
 def mark(tag: str) -> Column:

@@ -63,28 +63,50 @@ def read_two_level(spark: SparkSession, path: str, separator: str = "|") -> Data
             .filter("close is not null").select("ticker", "date", "close", "adj_close", F.coalesce("dividend", F.lit(0.0)).alias("dividend")))
 
 
-def file_names(spark: SparkSession, root: str, glob: str) -> DataFrame:
+# <stamp>/<source>.csv, either one file or a folder of parts.
+_LANDED = r"/([^/]+)/([^/]+?)\.csv(?:/[^/]+)?$"
+
+
+def file_names(spark: SparkSession, root: str, glob: str = "*.csv") -> DataFrame:
     """(path, stamp, source) of landed files in dated folders; contents are not read."""
     return (spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root)
-            .select("path", F.regexp_extract("path", r"/([^/]+)/([^/]+?)(?:\.csv)?/[^/]+$", 1).alias("stamp"),
-                    F.regexp_extract("path", r"/([^/]+)/([^/]+?)(?:\.csv)?/[^/]+$", 2).alias("source")))
+            .select("path", F.regexp_extract("path", _LANDED, 1).alias("stamp"), F.regexp_extract("path", _LANDED, 2).alias("source")))
 
 
-def newest_folders(names: DataFrame, root: str) -> DataFrame:
-    """(source, folder): the folder with the newest stamp per source."""
-    return names.groupBy("source").agg(F.max("stamp").alias("stamp")).select(
-        "source", F.concat(F.lit(root), F.lit("/"), F.col("stamp"), F.lit("/"), F.col("source"), F.lit(".csv")).alias("folder"))
+def newest_files(names: DataFrame, root: str, expected: list[str]) -> DataFrame:
+    """(source, path): the landed file or folder with the newest stamp per source (S6); a source without one fails."""
+    wanted = names.sparkSession.createDataFrame([(s,) for s in expected], "source string")
+    newest = names.groupBy("source").agg(F.max("stamp").alias("stamp"))
+    none = F.raise_error(F.concat(F.lit("no landed raw data for "), F.col("source"))).cast("string")
+    return wanted.join(newest, "source", "left").select(
+        "source", F.concat(F.lit(root), F.lit("/"), F.coalesce("stamp", none), F.lit("/"), F.col("source"), F.lit(".csv")).alias("path"))
 
 
 def fingerprints(spark: SparkSession, root: str, glob: str = "*.csv") -> DataFrame:
-    """(path, source, sha256, fetch_id): hash of the exact bytes of every landed file."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root)
-    source = F.regexp_extract("path", r"/([^/]+?)(?:\.csv)?/[^/]+$", 1)
-    sha = F.sha2("content", 256)
-    return files.select("path", source.alias("source"), sha.alias("sha256"),
+    """(path, stamp, source, fetched_at, sha256, fetch_id): hash of the exact bytes of every landed file."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root)
+    source, sha = F.regexp_extract("path", _LANDED, 2), F.sha2("content", 256)
+    return found.select("path", F.regexp_extract("path", _LANDED, 1).alias("stamp"), source.alias("source"),
+                        F.col("modificationTime").alias("fetched_at"), sha.alias("sha256"),
                         F.concat(source, F.lit("-"), F.substring(sha, 1, 12)).alias("fetch_id"))
 
 
+def lineage_records(spark: SparkSession, root: str, glob: str = "*.csv") -> DataFrame:
+    """(fetch_id, source, request, fetched_at, raw_path, sha256, n_rows) of every landed file.
+
+    The request is the text kept beside the file as <source>.request.txt, or 'unknown'.
+    """
+    notes = (spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.request.txt").text(root)
+             .select(F.col("value").alias("request"), F.col("_metadata.file_path").alias("note")))
+    asked = notes.select("request", F.regexp_extract("note", r"/([^/]+)/([^/]+)\.request\.txt$", 1).alias("stamp"),
+                         F.regexp_extract("note", r"/([^/]+)/([^/]+)\.request\.txt$", 2).alias("source"))
+    name = F.regexp_extract("path", r"([^/]+/[^/]+)$", 1).alias("name")
+    rows = rows_per_file(spark, root, glob).select(name, "n_rows")
+    both = fingerprints(spark, root, glob).select("*", name).join(rows, "name", "left").join(asked, ["stamp", "source"], "left")
+    return both.select("fetch_id", "source", F.coalesce("request", F.lit("unknown")).alias("request"), "fetched_at",
+                       F.col("path").alias("raw_path"), "sha256", F.coalesce("n_rows", F.lit(0)).alias("n_rows"))
+
+
 def rows_per_file(spark: SparkSession, root: str, glob: str = "*.csv") -> DataFrame:
     """(path, n_rows): data rows of every landed CSV, header excluded."""
     lines = (spark.read.option("header", False).option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(root)

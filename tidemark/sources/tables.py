@@ -78,12 +78,12 @@ def append_table(frame: DataFrame, path: str, partition: str | None = None) -> N
 def run_log(events: DataFrame) -> DataFrame:
     """One row per run from its appended events: the newest status and its time.
 
-    ``events``: run_id, as_of, status, at. A row update becomes an appended event.
+    ``events``: run_id, as_of, status, at. A row update becomes an appended event; any outcome follows a start.
     """
     return events.groupBy("run_id").agg(
         F.max("as_of").alias("as_of"), F.min("at").alias("started_at"),
         F.max(F.when(F.col("status") != "STARTED", F.col("at"))).alias("finished_at"),
-        F.max(F.struct("at", "status")).alias("_last")).select(
+        F.max(F.struct((F.col("status") != "STARTED").alias("over"), "at", "status")).alias("_last")).select(
         "run_id", "as_of", "started_at", "finished_at", F.col("_last.status").alias("status"))
 
 
