@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field, replace  # noqa: F401  (replace is re-exported for callers)
+from dataclasses import dataclass, field
 from statistics import NormalDist
 
 
@@ -116,7 +116,6 @@ class StudyRules:
     min_quarters: int = 8
     correlation_rows: int = 250
     correlation_min_rows: int = 225
-    reprint_years: int = 1
     interval_z: float = 1.96
 
 

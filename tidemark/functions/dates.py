@@ -52,8 +52,3 @@ def quarter_end(d: Column) -> Column:
 def previous_quarter_end(d: Column) -> Column:
     """Last calendar quarter end strictly before ``d``."""
     return F.date_sub(F.trunc(d, "quarter"), 1)
-
-
-def quarter_end_before(d: Column) -> Column:
-    """Like :func:`previous_quarter_end`; named for use on filing dates."""
-    return previous_quarter_end(d)

@@ -21,7 +21,7 @@ from tidemark.operators import explain as E
 from tidemark.operators import panel, positions, pricing, returns, risk, stress
 from tidemark.operators import tail as T
 from tidemark.plans import warehouse as wh
-from tidemark.plans.daily import ORDER_CONFIG, DailyRun, daily_run
+from tidemark.plans.daily import DailyRun, daily_run
 from tidemark.session import shared_folder
 from tidemark.sources import tables
 
