@@ -16,3 +16,36 @@ judged AS (SELECT doc_id, pos, line, s.last IS NOT NULL AND s.last <> doc_id AS
 SELECT doc_id, count(*) AS n_lines, CAST(sum(CASE WHEN gone THEN 1 ELSE 0 END) AS BIGINT) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
 FROM judged GROUP BY doc_id"""
+
+ORACLES["op10_decontaminate"] = f"""
+WITH item_words AS (
+  SELECT item_id, regexp_extract_all({ASCII_LOWER.format("coalesce(text, '')")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark WHERE item_id IS NOT NULL),
+windows AS (
+  SELECT DISTINCT item_id, list_slice(w, i, i + least(len(w), 10) - 1) AS win
+  FROM (SELECT item_id, w, unnest(generate_series(1, greatest(len(w) - 9, 1))) AS i FROM item_words WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT len(win) AS size FROM windows),
+doc_words AS (
+  SELECT doc_id, regexp_extract_all({ASCII_LOWER.format("coalesce(text, '')")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+places AS (
+  SELECT doc_id, size, unnest(generate_series(1, len(w) - size + 1)) AS i, w FROM doc_words, sizes WHERE len(w) >= size),
+found AS (SELECT doc_id, i, size, item_id FROM places JOIN windows ON list_slice(w, i, i + size - 1) = win),
+hits AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(generate_series(i, i + size - 1)) AS p FROM found) GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS names
+          FROM (SELECT DISTINCT doc_id, item_id FROM found) GROUP BY doc_id)
+SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AS contaminated
+FROM doc_words d LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id)"""
+
+ORACLES["op2_url_rules"] = f"""
+WITH parts AS (
+  SELECT page_id, CASE WHEN url LIKE '%://%' THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+split AS (
+  SELECT page_id, {ASCII_LOWER.format("regexp_extract(rest, '^[^/?#]*')")} AS host,
+         regexp_extract(substr(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1), '^[^?#]*') AS path FROM parts),
+rules(action, h, p) AS (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
+fit AS (
+  SELECT page_id, arg_max(h || p, length(h || p)) AS rule, arg_max(action, length(h || p)) AS action
+  FROM split JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY page_id)
+SELECT s.page_id, host, path, rule,
+       coalesce(action, CASE WHEN regexp_matches({ASCII_LOWER.format("host || path")}, '(^|[^a-z0-9])(adserver|adult|ads|betting|bets|bet|casino|casinos|clickbait|escort|escorts|gambling|hentai|keygen|lottery|nude|nudes|payday|poker|porn|popunder|sex|sexy|slots|spam|torrent|torrents|track|tracker|tracking|viagra|warez|webcam|xxx)([^a-z0-9]|$)') THEN 'block' ELSE 'allow' END) AS verdict
+FROM split s LEFT JOIN fit USING (page_id)"""
