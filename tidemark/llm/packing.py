@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -31,19 +32,19 @@ class ChunkEncoder:
     Texts repeat their chunks: each distinct one is encoded once and remembered, up to ``remember`` of them.
     """
 
-    def __init__(self, path: str, remember: int = 200_000):
+    def __init__(self, path: str, remember: int = 400_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model, self.remember, self.known = self.tokenizer.model, remember, {}
 
-    def encode_chunk(self, chunk: bytes) -> np.ndarray:
+    def encode_chunk(self, chunk: bytes) -> bytes:
         text = chunk.decode()
         if PLAIN.fullmatch(text) and "<|" not in text:
             ids = [t.id for part in PRETOKEN.findall(text.lower()) for t in self.model.tokenize(part.encode().decode("latin-1").translate(BYTE_NAME))]
         else:
             ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-        return np.array(ids, dtype="<u4")
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Each text's ids."""
@@ -57,8 +58,8 @@ class ChunkEncoder:
             if (own := self.known.get(chunk)) is None:
                 own = self.known[chunk] = self.encode_chunk(chunk)
             ids.append(own)
-        sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
-        pool = np.concatenate(ids) if ids else np.zeros(0, dtype="<u4")
+        sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
+        pool = np.frombuffer(b"".join(ids), dtype="<u4")
         starts = np.cumsum(sizes) - sizes
         each = sizes[codes]
         ends = np.cumsum(each)
@@ -125,51 +126,59 @@ def best_fit(lengths: np.ndarray, limit: int) -> list[list[int]]:
     return bins
 
 
-def _exchange(mine: list[int], other: list[int], lengths: np.ndarray, room: int) -> tuple[list[int], list[int]] | None:
-    """What the receiver gives (none or one) and takes (one or two) so that it grows most, by at most ``room``."""
+def _best_exchange(sizes: np.ndarray, home: np.ndarray, fill: np.ndarray, donor: int, limit: int) -> tuple[int, list[int], int] | None:
+    """(bin, items it takes, item it gives or -1) of the exchange with ``donor`` that moves most tokens to a bin as full or fuller."""
+    own = np.flatnonzero(home == donor)
+    room = limit - fill
+    open_bins = np.flatnonzero((room > 0) & (fill >= fill[donor]) & (np.arange(len(fill)) != donor))
+    if not len(open_bins):
+        return None
+    may = np.zeros(len(fill), dtype=bool)
+    may[open_bins] = True
+    others = np.flatnonzero(may[home])
+    gives = np.concatenate([np.zeros(len(open_bins), dtype=np.int64), sizes[others]])
+    bins, rooms = np.concatenate([open_bins, home[others]]), np.concatenate([room[open_bins], room[home[others]]])
+    takes = [[a] for a in own] + [[a, b] for i, a in enumerate(own) for b in own[:i]]
     best, gain = None, 0
-    have = lengths[mine] if mine else np.zeros(0, dtype=np.int64)
-    gives = np.concatenate([[0], have])
-    singles = lengths[other]
-    takes = [(int(s), [i]) for s, i in zip(singles, other)]
-    takes += [(int(singles[a] + singles[b]), [other[a], other[b]]) for a in range(len(other)) for b in range(a)]
-    for size, items in takes:
-        grow = size - gives
-        grow[(grow > room) | (grow <= 0)] = 0
+    for items in takes:
+        grow = int(sizes[items].sum()) - gives
+        grow[grow > rooms] = 0
         k = int(np.argmax(grow))
         if grow[k] > gain:
-            gain, best = int(grow[k]), ([] if k == 0 else [mine[k - 1]], items)
+            gain, best = int(grow[k]), (int(bins[k]), items, -1 if k < len(open_bins) else int(others[k - len(open_bins)]))
     return best
 
 
-def improve(bins: list[list[int]], lengths: np.ndarray, limit: int, tries: int = 64) -> list[list[int]]:
+def improve(bins: list[list[int]], lengths: np.ndarray, limit: int, tries: int = 16) -> list[list[int]]:
     """Local search: the emptiest bin gives to fuller ones by moves, one-for-one and two-for-one swaps until it is empty.
 
     An exchange moves net tokens to a bin that is at least as full, so the sum of squared fills grows with
-    each and the search ends. It stops after ``tries`` bins in a row that cannot be emptied.
+    each and the search ends: at the least number of bins that can hold the tokens, or after ``tries`` bins that
+    cannot be emptied.
     """
-    fill = np.array([int(lengths[b].sum()) for b in bins], dtype=np.int64)
-    stuck: set[int] = set()
-    while len(stuck) < tries:
-        live = [b for b in np.argsort(fill, kind="stable") if fill[b] and b not in stuck]
+    sizes = np.asarray(lengths, dtype=np.int64)
+    home = np.empty(len(sizes), dtype=np.int64)
+    for b, items in enumerate(bins):
+        home[items] = b
+    fill = np.bincount(home, weights=sizes, minlength=len(bins)).astype(np.int64)
+    least, stuck = -(-int(sizes.sum()) // limit), np.zeros(len(bins), dtype=bool)
+    while stuck.sum() < tries and (fill > 0).sum() > least:
+        live = np.flatnonzero((fill > 0) & ~stuck)
         if len(live) < 2:
             break
-        donor = int(live[0])
-        for b in np.argsort(-fill, kind="stable"):
-            if not bins[donor]:
-                break
-            if b == donor or not limit > fill[b] >= fill[donor]:
-                continue
-            while bins[donor] and fill[b] >= fill[donor] and (deal := _exchange(bins[b], bins[donor], lengths, int(limit - fill[b]))):
-                gives, takes = deal
-                net = int(lengths[takes].sum() - (lengths[gives].sum() if gives else 0))
-                bins[b] = [i for i in bins[b] if i not in gives] + takes
-                bins[donor] = [i for i in bins[donor] if i not in takes] + gives
-                fill[b] += net
-                fill[donor] -= net
-        if bins[donor]:
-            stuck.add(donor)
-    return [b for b in bins if b]
+        donor = int(live[np.argmin(fill[live])])
+        while fill[donor] and (deal := _best_exchange(sizes, home, fill, donor, limit)):
+            b, takes, give = deal
+            home[takes] = b
+            net = int(sizes[takes].sum())
+            if give >= 0:
+                home[give] = donor
+                net -= int(sizes[give])
+            fill[b] += net
+            fill[donor] -= net
+        stuck[donor] = fill[donor] > 0
+    order = np.argsort(home, kind="stable")
+    return [part.tolist() for part in np.split(order, np.flatnonzero(np.diff(home[order])) + 1)]
 
 
 def _pack(limit: int):
