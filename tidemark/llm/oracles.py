@@ -49,3 +49,18 @@ fit AS (
 SELECT s.page_id, host, path, rule,
        coalesce(action, CASE WHEN regexp_matches({ASCII_LOWER.format("host || path")}, '(^|[^a-z0-9])(adserver|adult|ads|betting|bets|bet|casino|casinos|clickbait|escort|escorts|gambling|hentai|keygen|lottery|nude|nudes|payday|poker|porn|popunder|sex|sexy|slots|spam|torrent|torrents|track|tracker|tracking|viagra|warez|webcam|xxx)([^a-z0-9]|$)') THEN 'block' ELSE 'allow' END) AS verdict
 FROM split s LEFT JOIN fit USING (page_id)"""
+
+ORACLES["op7_lsh_forest"] = f"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all({ASCII_LOWER.format("coalesce(text, '')")}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, hash(list_slice(w, i, i + least(len(w), 5) - 1)) AS s
+  FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(len(w) - 4, 1))) AS i FROM words WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS shared FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT x, y FROM pairs JOIN sizes m ON m.doc_id = x JOIN sizes n ON n.doc_id = y WHERE 100 * shared >= 75 * (m.n + n.n - shared)),
+ways AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach(x, y) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.x, w.y FROM reach r JOIN ways w ON r.y = w.x),
+roots AS (SELECT x, min(y) AS component_id FROM reach GROUP BY x)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id, component_id = d.doc_id AS kept
+FROM documents d JOIN roots ON x = d.doc_id LEFT JOIN sizes USING (doc_id)"""
