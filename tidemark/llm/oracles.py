@@ -64,3 +64,23 @@ reach(x, y) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.x, w.y FROM
 roots AS (SELECT x, min(y) AS component_id FROM reach GROUP BY x)
 SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id, component_id = d.doc_id AS kept
 FROM documents d JOIN roots ON x = d.doc_id LEFT JOIN sizes USING (doc_id)"""
+
+ORACLES["op8_line_quality"] = f"""
+WITH docs AS (SELECT doc_id, coalesce(source, '') AS host, coalesce(text, '') AS t FROM documents),
+words AS (SELECT doc_id, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS w FROM docs),
+windows AS (SELECT doc_id, i, w[i] || chr(0) || w[i + 1] || chr(0) || w[i + 2] AS g FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 2)) AS i FROM words WHERE len(w) > 2)),
+twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM windows) WHERE n > 1),
+rep AS (SELECT doc_id, count(DISTINCT p) AS n_repeat FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM twice) GROUP BY doc_id),
+lines AS (SELECT doc_id, host, line FROM (SELECT doc_id, host, unnest(string_split(t, chr(10))) AS line FROM docs) WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]')),
+dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup FROM lines GROUP BY doc_id),
+keyed AS (SELECT doc_id, host, {ASCII_LOWER.format(f"trim(line, {WHITE})")} AS k, len(regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+')) AS n FROM lines),
+hosts AS (SELECT host, count(DISTINCT doc_id) AS every FROM docs GROUP BY host),
+common AS (SELECT host, k FROM (SELECT host, k, count(DISTINCT doc_id) AS c FROM keyed GROUP BY host, k) JOIN hosts USING (host) WHERE c >= 10 AND c > every * 0.1),
+gone AS (SELECT doc_id, CAST(sum(n) AS BIGINT) AS lost FROM keyed JOIN common USING (host, k) GROUP BY doc_id),
+figures AS (
+  SELECT d.doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+         coalesce(n_dup, 0) AS n_dup_lines, coalesce(n_repeat, 0) AS n_repeat_words, coalesce(lost, 0) AS n_removed_words
+  FROM docs d JOIN words USING (doc_id) LEFT JOIN rep USING (doc_id) LEFT JOIN dup USING (doc_id) LEFT JOIN gone USING (doc_id))
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 2 * n_removed_words <= n_words AS kept
+FROM figures"""
