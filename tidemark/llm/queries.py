@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, line_dedup, line_quality, lsh_forest, packing, quality_gam, url_rules
+from tidemark.llm import decontaminate, line_dedup, line_quality, lsh_forest, packing, quality_gam, secret_crf, url_rules
 from tidemark.llm.common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -42,6 +42,11 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+@query
+def op6_secret_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_crf.find_secrets(table(spark, sf_dir, "documents"))
+
+
 @query
 def op7_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lsh_forest.near_duplicates(table(spark, sf_dir, "documents"))
