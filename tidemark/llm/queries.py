@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, line_dedup, line_quality, lsh_forest, packing, quality_gam, secret_crf, url_rules
+from tidemark.llm import decontaminate, html_template, line_dedup, line_quality, lsh_forest, packing, quality_gam, secret_crf, url_rules
 from tidemark.llm.common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -25,6 +25,11 @@ def tokenizer_path() -> str:
     return public_tokenizers.path(TOKENIZER)
 
 
+@query
+def op1_html_template(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_template.main_texts(table(spark, sf_dir, "pages"))
+
+
 @query
 def op2_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge_urls(table(spark, sf_dir, "pages"))
