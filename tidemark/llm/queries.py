@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, html_template, line_dedup, line_quality, lsh_forest, packing, quality_gam, secret_crf, url_rules
+from tidemark.llm import decontaminate, html_template, line_dedup, line_quality, lsh_forest, packing, pii_boost, quality_gam, secret_crf, url_rules
 from tidemark.llm.common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -47,6 +47,13 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+@query
+def op5_pii_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii_boost.find_personal(table(spark, sf_dir, "documents"))
+    counts = [pii_boost.count_of(F.col("base"), kind).alias(f"n_{kind}") for kind in pii_boost.KINDS]
+    return found.select("doc_id", *counts, F.sha2(pii_boost.joined(F.col("base")), 256).alias("base_sha256"), pii_boost.joined(F.col("spans")).alias("spans"))
+
+
 @query
 def op6_secret_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_crf.find_secrets(table(spark, sf_dir, "documents"))
