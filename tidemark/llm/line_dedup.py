@@ -48,7 +48,7 @@ def drop_shared_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, i
     shared = stored(hashed.groupBy("h1", "h2").agg(F.count_distinct("id").alias("n"), F.max("id").alias("last"))
                     .filter(F.col("n") >= min_docs).select("h1", "h2", "last"), "shared-lines")
     drops = (hashed.join(shared, ["h1", "h2"]).filter(~F.col("id").eqNullSafe(F.col("last")))
-             .groupBy("id", "row").agg(F.collect_list("pos").alias("gone")))
+             .groupBy("id", "row").agg(F.collect_set("pos").alias("gone")))
     d, g = docs.alias("d"), drops.alias("g")
     joined = d.join(g, F.col(f"d.{id_col}").eqNullSafe(F.col("g.id")) & (F.xxhash64(text_of(f"d.{text_col}")) == F.col("g.row")), "left")
     own = text_of(f"d.{text_col}")
