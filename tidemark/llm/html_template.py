@@ -38,7 +38,7 @@ BLOCKS = {"address", "article", "blockquote", "body", "caption", "center", "dd",
 #: A start tag of these ends an open paragraph; of these, an open one of the same kind.
 ENDS_P = BLOCKS - {"td", "th", "tr", "tbody", "caption", "label", "button", "html", "body"}
 ENDS_SAME = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "tr": {"table", "tbody", "thead", "tfoot"}, "option": {"select"}}
-PROSE = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre"}
+PROSE = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "li", "dd", "dt", "td", "th", "caption", "figcaption"}
 HOLDERS = {"article", "main"}
 
 
