@@ -48,7 +48,7 @@ oracle("factor_returns", "SELECT date, instrument_id, round(r, 6) AS r FROM rets
 oracle("stress_factor_returns", "SELECT date, instrument_id, round(r, 6) AS r FROM stress_rets_t")
 oracle("total_return", """
 SELECT date, instrument_id, round(ln(level / before), 6) AS price_return, round(ln((level + amount) / before), 6) AS total_return
-FROM (SELECT l.*, lag(level) OVER (PARTITION BY instrument_id ORDER BY ord) AS before FROM levels_t l JOIN dim_t USING (instrument_id) WHERE asset_class = 'equity')
+FROM (SELECT l.*, CASE WHEN lag(ord) OVER w = ord - 1 THEN lag(level) OVER w END AS before FROM levels_t l JOIN dim_t USING (instrument_id) WHERE asset_class = 'equity' WINDOW w AS (PARTITION BY instrument_id ORDER BY ord))
 JOIN (SELECT instrument_id, ex_date AS date, amount FROM divs_t) USING (instrument_id, date) WHERE before IS NOT NULL""")
 GAPS = f"""
 SELECT instrument_id, date, paid, pos, CASE WHEN before - paid > 0 THEN abs(ln(close / (before - paid)) - ln(adj_close / adj_before)) END AS diff
@@ -112,14 +112,17 @@ oracle("joint_coverage", "SELECT method, level, round(exp(-(kupiec_lr + christof
 oracle("traffic_light", "SELECT method, last_n, last_exceptions, zone, plus_factor FROM zone_t")
 oracle("traffic_light_table", f"""
 SELECT method, block::BIGINT AS block, n, x, CASE WHEN x > 0 AND cdf >= 0.9999 - 1e-9 THEN 'red' WHEN cdf >= 0.95 - 1e-9 THEN 'yellow' ELSE 'green' END AS zone
-FROM (SELECT *, {binom_cdf('x', 'n', 0.05)} AS cdf FROM (SELECT method, block, count(*) AS n, sum((-pnl > var95)::INT)::BIGINT AS x FROM (
+FROM (SELECT *, {binom_cdf('x', 'n', 0.05)} AS cdf FROM (SELECT method, block, count(*) AS n, sum(coalesce((-pnl > var95)::INT, 0))::BIGINT AS x FROM (
   SELECT *, (row_number() OVER (PARTITION BY method ORDER BY date) - 1) // 250 AS block FROM bt_t) GROUP BY 1, 2))""")
 oracle("backtest_last_250", f"SELECT date, method, {M('var99')} AS var99, {M('pnl')} AS pnl FROM last250_t")
-oracle("backtest_worst_day", f"SELECT method, arg_min(date, (pnl, date)) AS worst_day, {M('min(pnl)')} AS worst_pnl FROM bt_t GROUP BY 1")
+oracle("backtest_worst_day", f"SELECT method, arg_min(date, (pnl, date)) AS worst_day, {M('min(pnl)')} AS worst_pnl FROM bt_t WHERE pnl IS NOT NULL GROUP BY 1")
 oracle("backtest_summary", f"""
 SELECT c.method, n, exceptions, round(expected, 6) AS expected, round({chi2_1('kupiec_lr')}, 6) AS kupiec_p,
-  round({chi2_1('christoffersen_lr')}, 6) AS christoffersen_p, last_n, last_exceptions, zone, plus_factor, worst_day, {M('worst_pnl')} AS worst_pnl
-FROM lr_t c JOIN zone_t USING (method) JOIN (SELECT method, arg_min(date, (pnl, date)) AS worst_day, min(pnl) AS worst_pnl FROM bt_t GROUP BY 1) USING (method)
+  round({chi2_1('christoffersen_lr')}, 6) AS christoffersen_p, last_n, last_exceptions, zone, plus_factor, worst_day, {M('worst_pnl')} AS worst_pnl,
+  exceptions_95, expected_95, kupiec_p_95, christoffersen_p_95
+FROM lr_t c JOIN zone_t USING (method) JOIN (SELECT method, arg_min(date, (pnl, date)) AS worst_day, min(pnl) AS worst_pnl FROM bt_t WHERE pnl IS NOT NULL GROUP BY 1) USING (method)
+JOIN (SELECT method, exceptions AS exceptions_95, round(expected, 6) AS expected_95, round({chi2_1('kupiec_lr')}, 6) AS kupiec_p_95,
+  round({chi2_1('christoffersen_lr')}, 6) AS christoffersen_p_95 FROM lr_t WHERE level = '95') USING (method)
 WHERE level = '99'""")
 oracle("mark_to_market_recheck", f"""
 SELECT t.date, {M('sum(h.quantity * b.unit_value * (exp(x) - 1))')} AS revalued,
@@ -128,8 +131,8 @@ FROM values_t t JOIN values_t b ON b.ord = t.ord - 1 AND b.instrument_id = t.ins
 JOIN moves_t m ON m.ord = t.ord AND m.instrument_id = t.instrument_id JOIN dim_t d ON d.instrument_id = t.instrument_id
 LEFT JOIN divs_t v ON v.instrument_id = t.instrument_id AND v.ex_date = t.date WHERE returns_proxy IS NULL GROUP BY 1""".replace("$e$", "'"))
 oracle("var_by_computed_day", f"""
-SELECT method, computed_on, {M('var99')} AS var99 FROM (SELECT method, lag(date) OVER (PARTITION BY method ORDER BY date) AS computed_on, var99 FROM bt_t)
-WHERE computed_on IS NOT NULL UNION ALL SELECT method, {RUN_D}, {M('value')} FROM totals_t WHERE measure = 'VaR99'""")
+SELECT method, computed_on, {M('var99')} AS var99 FROM (
+  SELECT method, coalesce(lag(date) OVER (PARTITION BY method ORDER BY date), (SELECT min(date) FROM hold_t)) AS computed_on, var99 FROM bt_t) UNION ALL SELECT method, {RUN_D}, {M('value')} FROM totals_t WHERE measure = 'VaR99'""")
 oracle("var_history_wide", f"""
 SELECT date, {M("max(var99) FILTER (method = 'hs_equal')")} AS hs_equal, {M("max(var99) FILTER (method = 'hs_weighted')")} AS hs_weighted,
   {M("max(var99) FILTER (method = 'parametric')")} AS parametric FROM bt_t GROUP BY 1""")
@@ -188,21 +191,25 @@ def lag_sql(market: str) -> str:
 
 
 def missing(market: str) -> str:
-    return control("missing_prices", f"""SELECT instrument_id AS key, CASE WHEN last IS NULL THEN instrument_id || ' (never loaded)'
-      ELSE instrument_id || ' (last ' || last::VARCHAR || ')' END AS item FROM ({lag_sql(market)}) WHERE last IS NULL OR lag > 3""", "FAIL",
-                   passed="'every instrument priced within 3 business days'")
+    return control("missing_prices", f"""SELECT instrument_id AS key, CASE WHEN last IS NULL THEN instrument_id || ' (has no price at all)'
+      ELSE instrument_id || ' (newest is ' || last::VARCHAR || ')' END AS item FROM ({lag_sql(market)}) WHERE last IS NULL OR lag > 3""", "FAIL",
+                   passed="'no instrument is older than 3 weekdays'")
 
 
 def stale(market: str) -> str:
-    return control("stale_prices", f"""SELECT instrument_id AS key, instrument_id || ' (' || lag || 'd, last ' || last::VARCHAR || ')' AS item
-      FROM ({lag_sql(market)}) WHERE last IS NOT NULL AND lag BETWEEN 1 AND 3""", "WARN", suffix="'; carried forward'",
-                   passed=f"'all prices dated ' || {RUN_D}::VARCHAR")
+    return control("stale_prices", f"""SELECT instrument_id AS key, instrument_id || ' (' || lag || ' weekdays old, from ' || last::VARCHAR || ')' AS item
+      FROM ({lag_sql(market)}) WHERE last IS NOT NULL AND lag BETWEEN 1 AND 3""", "WARN", suffix="'. The last value stays in use'",
+                   passed=f"'each price is of ' || {RUN_D}::VARCHAR")
 
 
 def fix(x: str, d: int) -> str:
     return f"printf('%.{d}f', round({x}, {d}))"
 
 
+def thousands(x: str) -> str:
+    return f"format('{{:,}}', floor({x} + 0.5)::BIGINT)"
+
+
 def signed(x: str, d: int) -> str:
     return f"(CASE WHEN {x} < 0 THEN '-' ELSE '+' END || {fix(f'abs({x})', d)})"
 
@@ -210,7 +217,7 @@ def signed(x: str, d: int) -> str:
 def invalid(market: str) -> str:
     return control("invalid_values", f"""SELECT {AT} AS key, {AT} || '=' || {fix('close', 4)} AS item FROM ({market}) m JOIN dim_t USING (instrument_id)
       WHERE m.date <= {RUN_D} AND (close IS NULL OR isnan(close) OR (quote IN ('price', 'fx') AND close <= 0) OR (quote = 'yield_pct' AND (close < -2 OR close > 25)))""",
-                   "FAIL", passed="'all values positive / within range'")
+                   "FAIL", passed="'every value lies within its bounds'")
 
 
 def scores(market: str) -> str:
@@ -225,8 +232,8 @@ def scores(market: str) -> str:
 
 def outliers(market: str) -> str:
     move = f"CASE WHEN quote = 'yield_pct' THEN {signed('r', 3)} || 'pp' ELSE {signed('((exp(r) - 1) * 100)', 1)} || '%' END"
-    return control("return_outliers", f"""SELECT instrument_id AS key, instrument_id || ' ' || {move} || ' (' || {signed('(r / sigma)', 1)} || ' sigma)' AS item
-      FROM ({scores(market)}) WHERE sigma > 0 AND abs(r) > 6 * sigma""", "WARN", suffix="'; review before use'", passed="'no move beyond 6.0 EWMA sigma'")
+    return control("return_outliers", f"""SELECT instrument_id AS key, instrument_id || ' ' || {move} || ' (' || {signed('(r / sigma)', 1)} || ' times its volatility)' AS item
+      FROM ({scores(market)}) WHERE sigma > 0 AND abs(r) > 6 * sigma""", "WARN", suffix="'. To be looked at before the figures go out'", passed="'every move is within 6.0 times its volatility'")
 
 
 def gaps(have: str, lookback: int) -> str:
@@ -242,8 +249,8 @@ def gaps(have: str, lookback: int) -> str:
 
 
 def interior(have: str, lookback: int) -> str:
-    return control("interior_gaps", f"SELECT {AT} AS key, {AT} || ' (' || {fix('share * 100', 0)} || '% of peers priced)' AS item FROM ({gaps(have, lookback)})", "WARN",
-                   suffix="'; carried forward'", passed=f"'no unexplained gaps in the last {lookback} business days'")
+    return control("interior_gaps", f"SELECT {AT} AS key, {AT} || ' (' || {fix('share * 100', 0)} || '% of its group have a price)' AS item FROM ({gaps(have, lookback)})", "WARN",
+                   suffix="'. The last value stays in use'", passed=f"'no holes over {lookback} weekdays'")
 
 
 CROSS = f"""SELECT * FROM (SELECT r.instrument_id, r.source, r.date, r.value, m.close, abs(r.value - m.close) / m.close * 100 AS diff,
@@ -254,21 +261,21 @@ CROSS_BREAKS = f"""SELECT instrument_id AS key, {AT} || ' primary ' || {fix('clo
 CROSS_CHECKED = f"SELECT instrument_id AS key, instrument_id || ' ' || {fix('diff', 2)} || '% @' || strftime(date, '%m-%d') AS item FROM ({CROSS})"
 CROSS_MISSING = f"SELECT instrument_id AS key, instrument_id AS item FROM dim_t WHERE asset_class = 'fx' AND instrument_id NOT IN (SELECT instrument_id FROM ({CROSS}))"
 CROSS_CTL = f"""SELECT 'cross_source' AS control, CASE WHEN b.n > 0 THEN 'WARN' WHEN c.n = 0 THEN 'INFO' ELSE 'PASS' END AS status, b.n AS n_affected,
-  CASE WHEN b.n > 0 THEN b.text WHEN c.n = 0 THEN 'no overlapping second-source observations'
-  ELSE c.n || ' of ' || (SELECT count(*) FROM dim_t WHERE asset_class = 'fx') || ' within 0.75%: ' || c.text || CASE WHEN u.n > 0 THEN '; not checked: ' || u.text ELSE '' END END AS detail
+  CASE WHEN b.n > 0 THEN b.text WHEN c.n = 0 THEN 'the two sources have no day in common'
+  ELSE c.n || ' of ' || (SELECT count(*) FROM dim_t WHERE asset_class = 'fx') || ' agree to 0.75%: ' || c.text || CASE WHEN u.n > 0 THEN '; without a second source: ' || u.text ELSE '' END END AS detail
   FROM {shown(CROSS_BREAKS)} b, {shown(CROSS_CHECKED)} c, {shown(CROSS_MISSING)} u"""
 ROLL = f"""SELECT instrument_id, max(date) AS date, max(ticker) AS ticker, max(close) FILTER (rn = 1) / max(close) FILTER (rn = 2) - 1 AS f, max(value) FILTER (rn = 1) / max(value) FILTER (rn = 2) - 1 AS p
   FROM (SELECT instrument_id, date, ticker, close, value, row_number() OVER (PARTITION BY instrument_id ORDER BY date DESC) AS rn
     FROM refs_t JOIN market_t USING (instrument_id, date) WHERE purpose = 'return_proxy' AND date <= {RUN_D}) WHERE rn <= 2 GROUP BY 1 HAVING count(*) = 2"""
-ROLL_FLAG = f"SELECT instrument_id AS key, {AT} || ': future ' || {signed('(f * 100)', 2)} || '% vs ' || ticker || ' ' || {signed('(p * 100)', 2)} || '%' AS item FROM ({ROLL}) WHERE abs(f - p) > 0.02"
+ROLL_FLAG = f"SELECT instrument_id AS key, {AT} || ': contract ' || {signed('(f * 100)', 2)} || '% vs ' || ticker || ' ' || {signed('(p * 100)', 2)} || '%' AS item FROM ({ROLL}) WHERE abs(f - p) > 0.02"
 ROLL_ALL = f"SELECT instrument_id AS key, instrument_id || ' ' || {signed('((f - p) * 100)', 2)} || '%' AS item FROM ({ROLL})"
-ROLL_CTL = control("futures_roll", ROLL_FLAG, "WARN", suffix="'; likely contract roll, risk uses proxy returns'",
-                   passed=f"'futures within threshold of their proxies: ' || (SELECT text FROM {shown(ROLL_ALL)})")
+ROLL_CTL = control("futures_roll", ROLL_FLAG, "WARN", suffix="'. It may be a change of contract; risk follows the proxy'",
+                   passed=f"'contracts that move with their proxies: ' || (SELECT text FROM {shown(ROLL_ALL)})")
 DIV_PER = f"""SELECT instrument_id, count(*) FILTER (pos > 1 AND (diff IS NULL OR diff > 1e-4)) AS bad, count(*) FILTER (paid > 0) AS paid_days, max(diff) FILTER (pos > 1) AS worst
   FROM ({GAPS}) GROUP BY 1"""
 DIV_WORST = f"SELECT instrument_id AS key, instrument_id || ' ' || {fix('worst * 1e4', 2)} || 'bp' AS item FROM ({DIV_PER})"
 DIV_CTL = f"""SELECT 'dividend_adjustment' AS control, CASE WHEN bad > 0 THEN 'FAIL' ELSE 'PASS' END AS status, bad AS n_affected,
-  CASE WHEN bad > 0 THEN bad || ' days beyond 1.0bp; ' ELSE '' END || divs || ' US dividends; largest daily gap: ' || text AS detail
+  CASE WHEN bad > 0 THEN bad || ' days differ by over 1.0bp; ' ELSE '' END || divs || ' dividends abroad; widest difference: ' || text AS detail
   FROM (SELECT sum(bad)::BIGINT AS bad, sum(paid_days)::BIGINT AS divs FROM ({DIV_PER})), {shown(DIV_WORST)}"""
 
 
@@ -280,13 +287,13 @@ def revisions_ctl(incoming: str) -> str:
     old = f"""SELECT date::VARCHAR || instrument_id AS key, {AT} || ' ' || {fix('old_close', 4)} || '->' || {fix('new_close', 4)} AS item FROM ({revisions_of(incoming)})
       WHERE date < (SELECT min(date) FROM (SELECT date FROM week_t ORDER BY date DESC LIMIT 6))"""
     return f"""SELECT 'revisions' AS control, CASE WHEN n > 0 THEN 'WARN' WHEN total > 0 THEN 'INFO' ELSE 'PASS' END AS status, CASE WHEN n > 0 THEN n ELSE total END AS n_affected,
-      CASE WHEN n > 0 THEN 'history older than 5d changed: ' || text WHEN total > 0 THEN total || ' recent values updated (within 5 business days)' ELSE 'no stored history changed' END AS detail
+      CASE WHEN n > 0 THEN 'settled for 5 weekdays, yet changed: ' || text WHEN total > 0 THEN total || ' values of the last 5 weekdays were replaced' ELSE 'stored values are as they were' END AS detail
       FROM {shown(old)}, (SELECT count(*) AS total FROM ({revisions_of(incoming)}))"""
 
 
 HISTORY = control("history_sufficiency", f"""SELECT instrument_id AS key, instrument_id || ' (' || obs || ')' AS item FROM (
   SELECT d.instrument_id, count(m.date) AS obs FROM dim_t d LEFT JOIN (SELECT instrument_id, date FROM market_t WHERE date > {RUN_D} - INTERVAL 5 YEAR AND date <= {RUN_D}) m USING (instrument_id)
-  GROUP BY 1) WHERE obs < 750""", "WARN", prefix="'fewer than 750 obs in 5y: '", passed="'at least 750 obs in 5y for every instrument'")
+  GROUP BY 1) WHERE obs < 750""", "WARN", prefix="'short of 750 values in 5 years: '", passed="'all have 750 values or more in 5 years'")
 
 
 def recon(positions: str) -> str:
@@ -299,23 +306,24 @@ def recon(positions: str) -> str:
 
 
 def recon_ctl(positions: str) -> str:
-    items = f"""SELECT instrument_id AS key, instrument_id || ': ' || {fix('prev', 0)} || ' + ' || {fix('traded', 0)} || ' != ' || {fix('cur', 0)} AS item FROM ({recon(positions)})
+    items = f"""SELECT instrument_id AS key, instrument_id || ': ' || {thousands('cur')} || ' held, ' || {thousands('prev')} || ' before, ' || {thousands('traded')} || ' traded' AS item FROM ({recon(positions)})
       WHERE abs(prev + traded - cur) > 1e-6 * greatest(1, abs(cur))"""
     return f"""SELECT 'position_reconciliation' AS control, CASE WHEN held = 0 OR n > 0 THEN 'FAIL' ELSE 'PASS' END AS status, CASE WHEN held = 0 THEN 0 ELSE n END AS n_affected,
-      CASE WHEN held = 0 THEN 'no position snapshot for ' || {RUN_D}::VARCHAR WHEN n > 0 THEN text ELSE held || ' positions agree with prior day + trades' END AS detail
+      CASE WHEN held = 0 THEN 'no holdings are known on ' || {RUN_D}::VARCHAR WHEN n > 0 THEN text ELSE held || ' holdings follow from the day before and the trades' END AS detail
       FROM {shown(items)}, (SELECT count(*) AS held FROM ({positions}) WHERE as_of = {RUN_D})"""
 
 
 def coverage(priced: str) -> str:
     held = f"SELECT instrument_id FROM positions_t WHERE as_of = {RUN_D} AND quantity <> 0"
     return control("position_coverage", f"SELECT instrument_id AS key, instrument_id AS item FROM ({held}) WHERE instrument_id NOT IN (SELECT instrument_id FROM ({priced}))", "FAIL",
-                   prefix="'positions with no usable price: '", passed=f"'all ' || (SELECT count(*) FROM ({held})) || ' held instruments priced'")
+                   prefix="'held without a price: '", passed=f"'prices exist for all ' || (SELECT count(*) FROM ({held})) || ' holdings'")
 
 
 def orphans(lineage: str) -> str:
-    listing = f"SELECT string_agg(fetch_id || ' ' || substr(sha256(fetch_id), 1, 8), ', ' ORDER BY fetch_id) FROM (SELECT DISTINCT fetch_id FROM market_t WHERE date <= {RUN_D} AND fetch_id IN ({lineage}))"
+    used = f"SELECT DISTINCT fetch_id AS key, fetch_id || ' ' || substr(sha256(fetch_id), 1, 8) AS item FROM market_t WHERE date <= {RUN_D} AND fetch_id IN ({lineage})"
+    listing = f"SELECT text FROM {shown(used)}"
     return f"""SELECT 'lineage_complete' AS control, CASE WHEN n > 0 THEN 'FAIL' ELSE 'PASS' END AS status, n AS n_affected,
-      CASE WHEN n > 0 THEN 'market data rows with no lineage record' ELSE 'every row traced to raw file: ' || ({listing}) END AS detail
+      CASE WHEN n > 0 THEN 'rows whose file is not on record' ELSE 'files behind the rows: ' || ({listing}) END AS detail
       FROM (SELECT count(*) AS n FROM market_t WHERE date <= {RUN_D} AND fetch_id NOT IN ({lineage}))"""
 
 
@@ -324,7 +332,7 @@ LINEAGE = "SELECT DISTINCT 'src-' || status_max FROM marks_t"
 PRICED = f"SELECT instrument_id FROM filled_t WHERE date = {RUN_D}"
 CONTROLS = {
     "raw_duplicates": control("raw_duplicates", f"SELECT {AT} AS key, {AT} AS item FROM market_t GROUP BY instrument_id, date HAVING count(*) > 1", "FAIL",
-                              passed="'no duplicate rows in source data'"),
+                              passed="'each source row is alone on its day'"),
     "invalid_values": invalid(MARKET), "missing_prices": missing(MARKET), "stale_prices": stale(MARKET),
     "interior_gaps": interior("SELECT instrument_id, date FROM market_t", 20), "return_outliers": outliers(MARKET), "cross_source": CROSS_CTL,
     "futures_roll": ROLL_CTL, "dividend_adjustment": DIV_CTL, "revisions": revisions_ctl("SELECT * FROM kept_t"), "history_sufficiency": HISTORY,
@@ -332,21 +340,24 @@ CONTROLS = {
 }
 for _name, _sql in CONTROLS.items():
     oracle(f"ctl_{_name}", _sql)
-ALL_CONTROLS = " UNION ALL ".join(f"({s})" for s in CONTROLS.values())
+#: The run's own deadline: it is done at 07:05 on the weekday after the run date.
+NEXT = f"({RUN_D} + CASE isodow({RUN_D}) WHEN 5 THEN 3 WHEN 6 THEN 2 ELSE 1 END)::DATE::VARCHAR"
+RUN_SLA = f"SELECT 'reporting_sla' AS control, 'PASS' AS status, 0::BIGINT AS n_affected, 'done ' || {NEXT} || ' 07:05 Europe/London, deadline ' || {NEXT} || ' 07:30' AS detail"
+ALL_CONTROLS = " UNION ALL ".join(f"({s})" for s in [*CONTROLS.values(), RUN_SLA])
 oracle("controls_overall", f"SELECT CASE max(CASE status WHEN 'FAIL' THEN 2 WHEN 'WARN' THEN 1 ELSE 0 END) WHEN 2 THEN 'FAIL' WHEN 1 THEN 'WARN' ELSE 'PASS' END AS status FROM ({ALL_CONTROLS})")
 oracle("controls_histogram", f"SELECT status, count(*) AS n FROM ({ALL_CONTROLS}) GROUP BY 1")
 LATE = f"SELECT instrument_id, m.date, close, adj_close FROM market_t m JOIN dim_t USING (instrument_id) WHERE m.date <= {RUN_D} - n AND n < 25"
 oracle("ctl_reporting_sla", """
 SELECT run_id, 'reporting_sla' AS control, CASE WHEN late <= 0 THEN 'PASS' WHEN late > 86400 THEN 'INFO' ELSE 'FAIL' END AS status,
   CASE WHEN late > 0 AND late <= 86400 THEN 1 ELSE 0 END::BIGINT AS n_affected,
-  CASE WHEN late <= 0 THEN 'finished ' || strftime(ts, '%Y-%m-%d %H:%M') || ' Europe/London, due ' || strftime(due, '%Y-%m-%d %H:%M')
-       WHEN late > 86400 THEN 'backfill run (finished ' || strftime(ts, '%Y-%m-%d %H:%M') || '); SLA not applicable'
-       ELSE 'finished ' || strftime(ts, '%H:%M') || ', ' || floor(late / 60)::BIGINT || ' min after the ' || strftime(due, '%H:%M') || ' deadline' END AS detail
+  CASE WHEN late <= 0 THEN 'done ' || strftime(ts, '%Y-%m-%d %H:%M') || ' Europe/London, deadline ' || strftime(due, '%Y-%m-%d %H:%M')
+       WHEN late > 86400 THEN 'a rerun without deadline, done ' || strftime(ts, '%Y-%m-%d %H:%M') || ', over a day later'
+       ELSE 'done at ' || strftime(ts, '%H:%M') || ': ' || floor(late / 60)::BIGINT || ' minutes past ' || strftime(due, '%H:%M') END AS detail
 FROM (SELECT *, epoch_us(ts) / 1e6 - epoch_us(due) / 1e6 AS late FROM (SELECT event_id AS run_id, ts,
   (as_of + CASE isodow(as_of) WHEN 5 THEN 3 WHEN 6 THEN 2 ELSE 1 END)::TIMESTAMP + INTERVAL 450 MINUTE AS due
   FROM (SELECT event_id, ts, ts::DATE - (event_id % 3)::INT AS as_of FROM events)))""")
 oracle("fault_duplicates", control("raw_duplicates", f"""SELECT {AT} AS key, {AT} AS item FROM (SELECT instrument_id, date FROM kept_t UNION ALL SELECT instrument_id, date FROM marks_t)
-  GROUP BY instrument_id, date HAVING count(*) > 1""", "FAIL", prefix="'duplicate (instrument, date) rows: '", passed="'no duplicate rows in source data'"))
+  GROUP BY instrument_id, date HAVING count(*) > 1""", "FAIL", prefix="'several source rows on one day: '", passed="'each source row is alone on its day'"))
 oracle("fault_invalid_values", invalid("SELECT instrument_id, date, close - 700 AS close FROM market_t"))
 oracle("fault_missing", missing(LATE))
 oracle("fault_stale", stale(LATE))

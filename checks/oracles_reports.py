@@ -163,18 +163,19 @@ SELECT s.*, coalesce(l, 'none') AS largest_loss FROM (
   SELECT scenario, short AS scenario_name, name AS description, 'Historical' AS kind, strftime(first_date, '%d %b %Y') || ' to ' || strftime(last_date, '%d %b %Y') AS "window", pnl AS pnl_base,
     worst_pnl AS worst_point_base FROM hist_t WHERE available
   UNION ALL SELECT h.scenario, short, name, 'Hypothetical', 'Instant shock', pnl, NULL FROM (SELECT scenario, sum(pnl) AS pnl FROM hyp_t GROUP BY 1) h JOIN (VALUES
-    ('equities_down_15', 'All equities -15%', 'Equities -15%'), ('rates_up_100bp', 'All yields +100bp', 'Yields +100bp'),
-    ('home_down_10', 'Home currency -10% against every currency', 'Home currency -10%'),
-    ('home_crisis', 'Home crisis (yields +150bp, currency -8%, equities -10%)', 'Home crisis (combined)')) n(scenario, name, short) USING (scenario)) s LEFT JOIN loss2_t USING (scenario)""")
+    ('curve_falls', 'Every yield falls by 40 basis points', 'Yields 40bp lower'),
+    ('supply_squeeze', 'Commodities gain 30% while long yields rise by 25 basis points', 'Supply squeeze'),
+    ('overseas_slump', 'Equities abroad lose 22%, foreign currencies gain 3%', 'Slump abroad'),
+    ('one_name', 'A single equity loses half of its value', 'One name halves')) n(scenario, name, short) USING (scenario)) s LEFT JOIN loss2_t USING (scenario)""")
 part("posfact_t", """SELECT p.as_of AS date, p.instrument_id, quantity, unit_value, quantity * unit_value AS mv FROM positions_t p
   LEFT JOIN daily_values_t v ON v.date = p.as_of AND v.instrument_id = p.instrument_id""")
-part("btfact_t", "SELECT date, method, var95, var99, pnl, (-pnl > var99)::INT AS exception_99, (-pnl > var95)::INT AS exception_95 FROM bt_t")
+part("btfact_t", "SELECT date, method, var95, var99, pnl, coalesce((-pnl > var99)::INT, 0) AS exception_99, coalesce((-pnl > var95)::INT, 0) AS exception_95 FROM bt_t")
 part("stressfact_t", """SELECT scenario, kind, desk, pnl FROM (SELECT scenario, kind, desk, sum(pnl) AS pnl FROM stress_pos_t GROUP BY ALL
   UNION ALL SELECT scenario, kind, 'total', sum(pnl) FROM stress_pos_t GROUP BY ALL)""")
 LABELS = {"raw_duplicates": "Duplicate source rows", "invalid_values": "Invalid values", "missing_prices": "Missing prices", "stale_prices": "Stale prices",
           "interior_gaps": "Gaps inside series", "futures_roll": "Futures roll check", "dividend_adjustment": "Dividend adjustment check",
           "return_outliers": "Unusual moves", "cross_source": "Cross-source check", "revisions": "Historical revisions", "history_sufficiency": "History for VaR",
-          "position_reconciliation": "Position reconciliation", "position_coverage": "Positions priced", "lineage_complete": "Data lineage recorded"}
+          "position_reconciliation": "Position reconciliation", "position_coverage": "Positions priced", "lineage_complete": "Data lineage recorded", "reporting_sla": "Reporting SLA"}
 LABEL_CASE = "CASE control " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in LABELS.items()) + " ELSE control END"
 MARTS = {
     "dim_instrument": "SELECT instrument_id, name, asset_class, desk, currency, quote, source, ticker, tenor_years FROM dim_t",

@@ -225,9 +225,11 @@ SELECT ord, d.date, p.instrument_id, p.quantity FROM (
   SELECT ord, date, (SELECT max(as_of) FROM positions_t WHERE as_of <= date) AS as_of FROM days_t) d JOIN positions_t p USING (as_of)""")
 
 part("book_t", """
-SELECT ord AS k, v.date, instrument_id, desk, coalesce(quantity, 0) AS quantity, unit_value, coalesce(quantity, 0) * unit_value AS mv
-FROM values_t v LEFT JOIN (SELECT ord, instrument_id, quantity FROM hold_t) USING (ord, instrument_id)
-WHERE ord IN (SELECT ord FROM values_t GROUP BY ord HAVING count(unit_value) = (SELECT count(*) FROM dim_t))""")
+SELECT ord AS k, g.date, instrument_id, g.desk, coalesce(quantity, 0) AS quantity, unit_value,
+  CASE WHEN coalesce(quantity, 0) = 0 THEN 0 ELSE quantity * unit_value END AS mv
+FROM (SELECT ord, date, instrument_id, desk FROM days_t, dim_t WHERE date <= (SELECT d FROM run_t)) g
+LEFT JOIN (SELECT ord, instrument_id, quantity FROM hold_t) USING (ord, instrument_id)
+LEFT JOIN (SELECT ord, instrument_id, unit_value FROM values_t) USING (ord, instrument_id)""")
 
 part("scen_t", "SELECT m.ord AS s, m.date, instrument_id, exp(x) - 1 AS growth, linear, r FROM moves_t m JOIN cal_t USING (ord) WHERE complete")
 
@@ -235,16 +237,16 @@ part("today_t", "SELECT * FROM book_t WHERE k = (SELECT k FROM run_t)")
 
 part("desk_cube_t", """
 SELECT k, desk, s, date, pnl, linear, row_number() OVER (PARTITION BY desk ORDER BY s DESC) - 1 AS age, count(*) OVER (PARTITION BY desk) AS n
-FROM (SELECT t.k, desk, s, min(sc.date) AS date, sum(mv * growth) AS pnl, sum(mv * linear) AS linear
+FROM (SELECT t.k, desk, s, min(sc.date) AS date, CASE WHEN count(mv) = count(*) THEN sum(mv * growth) END AS pnl, CASE WHEN count(mv) = count(*) THEN sum(mv * linear) END AS linear
       FROM today_t t JOIN scen_t sc USING (instrument_id) WHERE s BETWEEN greatest(1, t.k - 1259) AND t.k GROUP BY ALL)""")
 
 part("total_cube_t", """
 SELECT s, date, pnl, linear, row_number() OVER (ORDER BY s DESC) - 1 AS age FROM (
-  SELECT s, min(date) AS date, sum(pnl) AS pnl, sum(linear) AS linear FROM desk_cube_t GROUP BY s)""")
+  SELECT s, min(date) AS date, CASE WHEN count(pnl) = count(*) THEN sum(pnl) END AS pnl, CASE WHEN count(pnl) = count(*) THEN sum(linear) END AS linear FROM desk_cube_t GROUP BY s)""")
 
 part("cube_t", """
 SELECT k, s, pnl, linear, row_number() OVER (PARTITION BY k ORDER BY s DESC) - 1 AS age FROM (
-  SELECT b.k, s, sum(mv * growth) AS pnl, sum(mv * linear) AS linear
+  SELECT b.k, s, CASE WHEN count(mv) = count(*) THEN sum(mv * growth) END AS pnl, CASE WHEN count(mv) = count(*) THEN sum(mv * linear) END AS linear
   FROM book_t b JOIN scen_t sc ON sc.instrument_id = b.instrument_id AND s BETWEEN greatest(1, b.k - 1259) AND b.k GROUP BY 1, 2)""")
 
 
@@ -295,12 +297,12 @@ UNION ALL SELECT 'hs_equal', 'ES975_contribution', 'desk', desk, "ES975_contribu
 part("bt_t", """
 SELECT d.date, f.method, max(value) FILTER (measure = 'VaR95') AS var95, max(value) FILTER (measure = 'VaR99') AS var99, min(p.pnl) AS pnl
 FROM cal_t d JOIN forecast_t f ON f.k = d.ord - 1
-JOIN (SELECT m.ord, sum(mv * (exp(x) - 1)) AS pnl FROM book_t b JOIN moves_t m ON m.ord = b.k + 1 AND m.instrument_id = b.instrument_id GROUP BY 1) p
+JOIN (SELECT m.ord, CASE WHEN count(mv) = count(*) THEN sum(mv * (exp(x) - 1)) END AS pnl FROM book_t b JOIN moves_t m ON m.ord = b.k + 1 AND m.instrument_id = b.instrument_id GROUP BY 1) p
   ON p.ord = d.ord
 WHERE d.complete AND d.ord - 1 IN (SELECT ord FROM hold_t) GROUP BY 1, 2""")
 
 part("exc_t", """
-SELECT method, date, pnl, var95, var99, level, p, (-pnl > CASE level WHEN '99' THEN var99 ELSE var95 END)::INT AS e
+SELECT method, date, pnl, var95, var99, level, p, coalesce((-pnl > CASE level WHEN '99' THEN var99 ELSE var95 END)::INT, 0) AS e
 FROM bt_t, (VALUES ('99', 0.01::DOUBLE), ('95', 0.05::DOUBLE)) l(level, p)""")
 
 part("counts_t", """
@@ -342,10 +344,10 @@ SELECT method, last_n, last_exceptions, zone, CASE WHEN last_n = 250 THEN CASE z
   ELSE CASE last_exceptions WHEN 5 THEN 0.40 WHEN 6 THEN 0.50 WHEN 7 THEN 0.65 WHEN 8 THEN 0.75 WHEN 9 THEN 0.85 END END END::DOUBLE AS plus_factor
 FROM (SELECT *, CASE WHEN last_exceptions > 0 AND cdf >= 0.9999 - 1e-9 THEN 'red' WHEN cdf >= 0.95 - 1e-9 THEN 'yellow' ELSE 'green' END AS zone
   FROM (SELECT *, {binom_cdf('last_exceptions', 'last_n')} AS cdf FROM (
-    SELECT method, count(*) AS last_n, sum((-pnl > var99)::INT)::BIGINT AS last_exceptions FROM last250_t GROUP BY 1)))""")
+    SELECT method, count(*) AS last_n, sum(coalesce((-pnl > var99)::INT, 0))::BIGINT AS last_exceptions FROM last250_t GROUP BY 1)))""")
 
 part("books4_t", """
-SELECT p, l, instrument_id, (CASE p WHEN 1 THEN q1 ELSE q0 END) * (CASE l WHEN 1 THEN v1 ELSE v0 END) AS mv
+SELECT p, l, instrument_id, CASE WHEN (CASE p WHEN 1 THEN q1 ELSE q0 END) = 0 THEN 0 ELSE (CASE p WHEN 1 THEN q1 ELSE q0 END) * (CASE l WHEN 1 THEN v1 ELSE v0 END) END AS mv
 FROM (SELECT d.instrument_id,
    coalesce((SELECT quantity FROM hold_t h WHERE h.instrument_id = d.instrument_id AND h.ord = (SELECT k FROM run_t)), 0) AS q1,
    coalesce((SELECT quantity FROM hold_t h WHERE h.instrument_id = d.instrument_id AND h.ord = (SELECT k - 1 FROM run_t)), 0) AS q0,
@@ -354,7 +356,7 @@ FROM (SELECT d.instrument_id,
  FROM dim_t d), (VALUES (0), (1)) a(p), (VALUES (0), (1)) b(l)""")
 
 part("coal_t", """
-SELECT p, l, w, s, sc.date, sum(mv * growth) AS pnl
+SELECT p, l, w, s, sc.date, CASE WHEN count(mv) = count(*) THEN sum(mv * growth) END AS pnl
 FROM books4_t JOIN scen_t sc USING (instrument_id), (VALUES (0), (1)) c(w)
 WHERE s BETWEEN greatest(1, (SELECT k FROM run_t) - 1 + w - 1259) AND (SELECT k FROM run_t) - 1 + w GROUP BY ALL""")
 
@@ -382,7 +384,7 @@ SELECT measure, component, value FROM (
 
 part("win_t", """
 SELECT scenario, name, short, f.ord AS first_ord, f.date AS first_date, e.ord AS last_ord, e.date AS last_date,
-  f.ord IS NOT NULL AND e.date IS NOT NULL AS available
+  f.ord IS NOT NULL AND e.date IS NOT NULL AND e.ord > f.ord AS available
 FROM (SELECT *, (SELECT max(ord) FROM days_t WHERE date <= start_date) AS fo,
         CASE WHEN end_date IS NOT NULL THEN (SELECT max(ord) FROM days_t WHERE date <= end_date)
              ELSE (SELECT max(ord) FROM days_t WHERE date <= start_date) + market_days END AS eo
@@ -405,7 +407,7 @@ SELECT a.scenario, a.ord, a.instrument_id, d.desk, a.gap, mv * (exp(CASE quote W
 FROM path_t a JOIN dim_t d USING (instrument_id) LEFT JOIN path_t f ON f.scenario = a.scenario AND f.ord = a.ord AND f.instrument_id = fx_id
 JOIN (SELECT instrument_id, mv FROM today_t) t ON t.instrument_id = a.instrument_id""")
 
-part("path_total_t", "SELECT scenario, p.ord, d.date, sum(pnl) AS pnl FROM path_pnl_t p JOIN days_t d USING (ord) GROUP BY 1, 2, 3")
+part("path_total_t", "SELECT scenario, p.ord, d.date, CASE WHEN count(pnl) = count(*) THEN sum(pnl) END AS pnl FROM path_pnl_t p JOIN days_t d USING (ord) GROUP BY 1, 2, 3")
 
 part("hist_t", """
 SELECT w.scenario, w.name, w.short, available, first_date, last_date, e.pnl, worst.pnl AS worst_pnl, worst.date AS worst_date,
@@ -417,12 +419,11 @@ LEFT JOIN (SELECT scenario, count(DISTINCT instrument_id) AS n FROM path_pnl_t W
 
 part("shock_t", """
 SELECT scenario, instrument_id,
-  CASE scenario WHEN 'equities_down_15' THEN CASE WHEN asset_class = 'equity' THEN ln(0.85) ELSE 0 END
-    WHEN 'rates_up_100bp' THEN CASE WHEN asset_class = 'rates' THEN 1.0 ELSE 0 END
-    WHEN 'home_down_10' THEN CASE WHEN asset_class = 'fx' THEN ln(0.90) ELSE 0 END
-    ELSE CASE WHEN instrument_id IN ('Brand#16', 'Brand#17', 'Brand#18') THEN 1.5 ELSE 0 END
-       + CASE WHEN asset_class = 'fx' THEN ln(0.92) ELSE 0 END + CASE WHEN desk = 'UK Equities' THEN ln(0.90) ELSE 0 END END::DOUBLE AS r
-FROM dim_t, (VALUES ('equities_down_15'), ('rates_up_100bp'), ('home_down_10'), ('home_crisis')) s(scenario)""")
+  CASE scenario WHEN 'curve_falls' THEN CASE WHEN asset_class = 'rates' THEN -0.4 ELSE 0 END
+    WHEN 'supply_squeeze' THEN CASE WHEN asset_class = 'commodity' THEN ln(1.3) WHEN instrument_id IN ('Brand#17', 'Brand#20') THEN 0.25 ELSE 0 END
+    WHEN 'overseas_slump' THEN CASE WHEN desk = 'US Equities' THEN ln(0.78) WHEN asset_class = 'fx' THEN ln(1.03) ELSE 0 END
+    ELSE CASE WHEN instrument_id = 'Brand#11' THEN ln(0.5) ELSE 0 END END::DOUBLE AS r
+FROM dim_t, (VALUES ('curve_falls'), ('supply_squeeze'), ('overseas_slump'), ('one_name')) s(scenario)""")
 
 part("hyp_t", """
 SELECT a.scenario, a.instrument_id, d.desk, mv * (exp(CASE quote WHEN 'price' THEN a.r WHEN 'yield_pct' THEN -a.r * tenor_years / 100 ELSE -a.r END

@@ -97,6 +97,7 @@ class ControlRules:
     yield_range: tuple[float, float] = (-2.0, 25.0)
     reconciliation_tolerance: float = 1e-6
     sla_deadline: str = "07:30"
+    finished_at: str = "07:05"  # local time at which a run counts as done when it is not told
     sla_zone: str = "Europe/London"
     gap_lookback_bdays: int = 20
     gap_min_peers: int = 3

@@ -62,3 +62,8 @@ def binomial_cdf(x: Column, n: Column, p: float) -> Column:
 def fisher_bound(r: Column, n: Column, z: float) -> Column:
     """One end of the Fisher interval of a correlation; the sign of ``z`` picks the end."""
     return F.tanh(F.atanh(r) + z / F.sqrt(n - 3))
+
+
+def whole_sum(x: Column) -> Column:
+    """Sum that is null as soon as one value is: a book with an unpriced position has no value, not a smaller one."""
+    return F.when(F.count(x) == F.count(F.lit(1)), F.sum(x))

@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 
 from tidemark.config import RiskRules
 from tidemark.functions import stats as S
+from tidemark.functions.stats import whole_sum
 
 # Plus factors of the 250-day table, by number of exceptions.
 PLUS_FACTORS = {5: 0.40, 6: 0.50, 7: 0.65, 8: 0.75, 9: 0.85}
@@ -17,7 +18,7 @@ def realised_pnl(book: DataFrame, moves: DataFrame) -> DataFrame:
     """(ord, pnl): yesterday's positions and levels under today's moves."""
     today = moves.select((F.col("ord") - 1).alias("k"), F.col("ord"), "instrument_id", "growth")
     return (book.join(today, ["k", "instrument_id"]).groupBy("ord")
-            .agg(F.sum(F.col("mv") * F.col("growth")).alias("pnl")))
+            .agg(whole_sum(F.col("mv") * F.col("growth")).alias("pnl")))
 
 
 def backtest_rows(calendar: DataFrame, held: DataFrame, forecasts: DataFrame, realised: DataFrame,
@@ -132,8 +133,11 @@ def worst_days(rows: DataFrame) -> DataFrame:
 
 
 def backtest_summary(rows: DataFrame, rules: RiskRules) -> DataFrame:
-    """One row per method: 99% tests, recent zone, worst day."""
-    tests = coverage_tests(transitions(rows)).filter(F.col("level") == "99").drop("level")
+    """One row per method: the tests at 99% and (suffix _95) at 95%, recent zone, worst day."""
+    both = coverage_tests(transitions(rows))
+    tests = both.filter(F.col("level") == "99").drop("level")
+    lower = both.filter(F.col("level") == "95").drop("level", "n")
+    tests = tests.join(lower.select("method", *(F.col(c).alias(f"{c}_95") for c in lower.columns if c != "method")), "method")
     return tests.join(recent_zone(rows, rules), "method").join(worst_days(rows), "method")
 
 

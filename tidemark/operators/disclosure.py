@@ -46,7 +46,7 @@ def parsed_rows(tables: DataFrame) -> DataFrame:
         F.transform(all_matches(F.col("table"), "<tr.*?</tr>"), _cells), lambda c: F.size(c) > 0))
     line = lambda c: F.struct(
         _category(c).alias("category"),
-        F.filter(F.transform(F.slice(c, 2, 1000), accounting_number), lambda x: x.isNotNull()).alias("nums"),
+        F.filter(F.transform(F.slice(c, 2, F.size(c)), accounting_number), lambda x: x.isNotNull()).alias("nums"),
         F.array_join(c, " | ").alias("text"))
     return with_cells.withColumn("lines", F.transform("_rows", line)).drop("_rows", "table")
 

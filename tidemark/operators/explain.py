@@ -18,14 +18,15 @@ CAUSES = ("positions", "levels", "window")
 def four_books(now: DataFrame, before: DataFrame, values_now: DataFrame, values_before: DataFrame) -> DataFrame:
     """(p, l, instrument_id, mv): quantities of either day valued at the levels of either day.
 
-    Flag 1 means today. The scenario window is the third choice and needs no book of its own.
+    Flag 1 means today. A position without a value is null, an empty one zero. The scenario window is the third choice and needs no book of its own.
     """
     q = (now.select("instrument_id", F.col("quantity").alias("q1"))
          .join(before.select("instrument_id", F.col("quantity").alias("q0")), "instrument_id", "full"))
-    rows = (q.join(values_now.select("instrument_id", F.col("unit_value").alias("v1")), "instrument_id")
-            .join(values_before.select("instrument_id", F.col("unit_value").alias("v0")), "instrument_id"))
+    rows = (q.join(values_now.select("instrument_id", F.col("unit_value").alias("v1")), "instrument_id", "left")
+            .join(values_before.select("instrument_id", F.col("unit_value").alias("v0")), "instrument_id", "left"))
+    quantity = lambda p: F.coalesce(F.col(f"q{p}"), F.lit(0.0))
     books = F.array(*[F.struct(F.lit(p).alias("p"), F.lit(l).alias("l"),
-                               (F.coalesce(F.col(f"q{p}"), F.lit(0.0)) * F.col(f"v{l}")).alias("mv"))
+                               F.when(quantity(p) == 0, 0.0).otherwise(quantity(p) * F.col(f"v{l}")).alias("mv"))
                       for p, l in product((0, 1), (0, 1))])
     return rows.select("instrument_id", F.explode(books).alias("b")).select("instrument_id", "b.*")
 

@@ -26,6 +26,7 @@ def spread_forward(obs: DataFrame, keys: list[str], row: str, limit: int, last_r
     """
     following = F.lead(row).over(W.partitionBy(*keys).orderBy(row))
     return (obs.withColumn("_until", F.least(F.col(row) + limit, following - 1, last_row))
+            .filter(F.col("_until") >= F.col(row))  # sequence() would count down
             .withColumn(row, F.explode(F.sequence(F.col(row), F.col("_until"))))
             .drop("_until"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.config import RiskRules, measure_name, normal_density, normal_quantile
+from tidemark.functions.stats import whole_sum
 from tidemark.operators import tail as T
 
 
@@ -36,8 +37,8 @@ def scenario_cube(book: DataFrame, scenarios: DataFrame, groups: list[str], wind
     keys = list(dict.fromkeys([*groups, "k", "s"]))
     return (laid_out.join(book, "instrument_id").filter(inside)
             .groupBy(*keys)
-            .agg(F.sum(F.col("mv") * F.col("growth")).alias("pnl"),
-                 F.sum(F.col("mv") * F.col("linear")).alias("linear")))
+            .agg(whole_sum(F.col("mv") * F.col("growth")).alias("pnl"),
+                 whole_sum(F.col("mv") * F.col("linear")).alias("linear")))
 
 
 def with_age(cube: DataFrame, calendar: DataFrame, window_days: int) -> DataFrame:

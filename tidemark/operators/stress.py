@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.config import PastWindow, Scenario
+from tidemark.functions.stats import whole_sum
 from tidemark.operators.positions import latest_at_or_before
 from tidemark.operators.pricing import attach_fx, is_absolute_quote, value_move
 
@@ -30,6 +31,8 @@ def shocks_frame(spark: SparkSession, scenarios: tuple[Scenario, ...]) -> DataFr
 def resolve_windows(windows: DataFrame, days: DataFrame) -> DataFrame:
     """Add first/last ordinal and dates; null when the loaded history does not cover the window.
 
+    A window without a day after its start, such as one past the data, is not available.
+
     Starts on the last market day at or before the start; an end date past the data clips to the last
     day, a number of market days does not.
     """
@@ -43,7 +46,7 @@ def resolve_windows(windows: DataFrame, days: DataFrame) -> DataFrame:
     last = F.coalesce(F.col("end_ord"), F.col("first_ord") + F.col("market_days"))
     placed = named.withColumn("last_ord", last).drop("end_date", "end_ord")
     return (placed.join(at.select(F.col("ord").alias("last_ord"), F.col("date").alias("last_date")), "last_ord", "left")
-            .withColumn("available", F.col("first_ord").isNotNull() & F.col("last_date").isNotNull())
+            .withColumn("available", F.coalesce(F.col("last_date").isNotNull() & (F.col("last_ord") > F.col("first_ord")), F.lit(False)))
             .select("scenario", "name", "short", "first_ord", "first_date", "last_ord", "last_date", "available"))
 
 
@@ -62,11 +65,11 @@ def path_moves(resolved: DataFrame, dense: DataFrame) -> DataFrame:
 
 
 def shocked_pnl(path: DataFrame, attributes: DataFrame, book: DataFrame, on: list[str]) -> DataFrame:
-    """Revalue today's book under factor moves ``r`` keyed by ``on`` and instrument."""
+    """Revalue today's book under factor moves ``r`` keyed by ``on`` and instrument; null for an unpriced position."""
     moved = attach_fx(path, attributes, "r", on)
     x = value_move(F.col("r"), F.col("quote"), F.col("tenor_years"), F.col("fx_id").isNotNull(), F.col("fx"))
     return (moved.withColumn("growth", F.expm1(x)).join(book.select("instrument_id", "mv"), "instrument_id", "left")
-            .withColumn("pnl", F.coalesce(F.col("mv"), F.lit(0.0)) * F.col("growth") + 0.0))
+            .withColumn("pnl", F.col("mv") * F.col("growth") + 0.0))
 
 
 def historical_positions(path: DataFrame, attributes: DataFrame, book: DataFrame) -> DataFrame:
@@ -77,9 +80,9 @@ def historical_positions(path: DataFrame, attributes: DataFrame, book: DataFrame
 
 def historical_summary(resolved: DataFrame, path: DataFrame, days: DataFrame) -> DataFrame:
     """End P&L, worst point and its first date, instruments without data (R27). One row per window."""
-    totals = path.groupBy("scenario", "ord").agg(F.sum("pnl").alias("pnl")).join(days.select("ord", "date"), "ord")
+    totals = path.groupBy("scenario", "ord").agg(whole_sum(F.col("pnl")).alias("pnl")).join(days.select("ord", "date"), "ord")
     ends = totals.groupBy("scenario").agg(F.max_by("pnl", "ord").alias("pnl"),
-                                          F.min(F.struct("pnl", "ord", "date")).alias("w"))
+                                          F.min(F.when(F.col("pnl").isNotNull(), F.struct("pnl", "ord", "date"))).alias("w"))
     gaps = (path.filter("gap").select("scenario", "instrument_id").distinct().groupBy("scenario")
             .agg(F.count(F.lit(1)).alias("n_no_data")))
     return (resolved.join(ends, "scenario", "left").join(gaps, "scenario", "left")
@@ -138,14 +141,14 @@ def require_valid(shocks: DataFrame, hits: DataFrame) -> DataFrame:
 
 def by_desk(position_pnl: DataFrame) -> DataFrame:
     """(scenario, desk, pnl) with a 'total' row per scenario."""
-    return (position_pnl.rollup("scenario", "desk").agg(F.sum("pnl").alias("pnl"), F.grouping_id().alias("g"))
+    return (position_pnl.rollup("scenario", "desk").agg(whole_sum(F.col("pnl")).alias("pnl"), F.grouping_id().alias("g"))
             .filter(F.col("g") <= 1)
             .select("scenario", F.when(F.col("g") == 1, "total").otherwise(F.col("desk")).alias("desk"), "pnl"))
 
 
 def largest_losses(position_pnl: DataFrame, k: int = 3) -> DataFrame:
     """(scenario, rank, instrument_id, pnl): the k smallest P&Ls, positive or not (O2)."""
-    order = W.partitionBy("scenario").orderBy("pnl", "instrument_id")
+    order = W.partitionBy("scenario").orderBy(F.col("pnl").asc_nulls_last(), "instrument_id")
     return (position_pnl.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
             .select("scenario", "rank", "instrument_id", "pnl"))
 

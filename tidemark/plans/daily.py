@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tidemark.config import PastWindow, RunConfig, Scenario, Shock
+from tidemark.functions import dates as D
+from tidemark.functions.stats import whole_sum
 from tidemark.operators import backtest as B
 from tidemark.operators import controls as C
 from tidemark.operators import explain as E
@@ -34,12 +36,12 @@ PAST_WINDOWS = (
     PastWindow("late_2001", "Last weeks of the history", "Late 2001", "2001-10-06", end="2002-03-29"),
 )
 SCENARIOS = (
-    Scenario("equities_down_15", "All equities -15%", "Equities -15%", (Shock(asset_class="equity", pct=-15.0),)),
-    Scenario("rates_up_100bp", "All yields +100bp", "Yields +100bp", (Shock(asset_class="rates", pp=1.0),)),
-    Scenario("home_down_10", "Home currency -10% against every currency", "Home currency -10%", (Shock(asset_class="fx", pct=-10.0),)),
-    Scenario("home_crisis", "Home crisis (yields +150bp, currency -8%, equities -10%)", "Home crisis (combined)", (
-        Shock(ids=("Brand#16", "Brand#17", "Brand#18"), pp=1.5), Shock(asset_class="fx", pct=-8.0),
-        Shock(desk="UK Equities", pct=-10.0))),
+    Scenario("curve_falls", "Every yield falls by 40 basis points", "Yields 40bp lower", (Shock(asset_class="rates", pp=-0.4),)),
+    Scenario("supply_squeeze", "Commodities gain 30% while long yields rise by 25 basis points", "Supply squeeze", (
+        Shock(asset_class="commodity", pct=30.0), Shock(ids=("Brand#17", "Brand#20"), pp=0.25))),
+    Scenario("overseas_slump", "Equities abroad lose 22%, foreign currencies gain 3%", "Slump abroad", (
+        Shock(desk="US Equities", pct=-22.0), Shock(asset_class="fx", pct=3.0))),
+    Scenario("one_name", "A single equity loses half of its value", "One name halves", (Shock(ids=("Brand#11",), pct=-50.0),)),
 )
 ORDER_CONFIG = RunConfig(
     fx_map=(("USD", "Brand#21"), ("EUR", "Brand#22"), ("JPY", "Brand#23")),
@@ -50,9 +52,9 @@ class DailyRun(StagedRun):
     """All tables of one run date over one set of order tables."""
 
     def __init__(self, spark: SparkSession, sf_dir: str, cfg: RunConfig = ORDER_CONFIG, as_of: str | None = None,
-                 store: str | None = None):
+                 store: str | None = None, finished: dt.datetime | None = None):
         super().__init__(spark, "daily-run", store)
-        self.sf_dir, self.cfg, self._as_of = sf_dir, cfg, as_of
+        self.sf_dir, self.cfg, self._as_of, self._finished = sf_dir, cfg, as_of, finished
 
     # --- stored tables ---------------------------------------------------------------------------
 
@@ -189,17 +191,17 @@ class DailyRun(StagedRun):
 
     @stage("values", "holdings")
     def book(self) -> DataFrame:
-        """(k, date, instrument_id, desk, quantity, unit_value, mv) of market days on which every instrument has a value.
+        """(k, date, instrument_id, desk, quantity, unit_value, mv) of every market day.
 
-        A day with an unpriced instrument cannot be valued as a whole and is left out.
+        A position without a price has a null value, and so has every sum over it: the day's profit, its
+        forecast and its stress. An empty position is worth zero, priced or not.
         """
-        wanted = self.instruments.select(F.count(F.lit(1))).scalar()
-        priced = (self.values.groupBy("ord").agg(F.count("unit_value").alias("n")).filter(F.col("n") == wanted)
-                  .select("ord"))
-        rows = (self.values.join(priced, "ord").join(self.holdings.drop("date"), ["ord", "instrument_id"], "left")
-                .withColumn("quantity", F.coalesce("quantity", F.lit(0.0))))
+        valued = self.values.select("ord", "instrument_id", "unit_value")
+        rows = (valued.join(self.holdings.select("ord", "instrument_id", "quantity"), ["ord", "instrument_id"], "full")
+                .withColumn("quantity", F.coalesce("quantity", F.lit(0.0)))
+                .join(self.days.select("ord", "date"), "ord").join(self.instruments.select("instrument_id", "desk"), "instrument_id"))
         return rows.select(F.col("ord").alias("k"), "date", "instrument_id", "desk", "quantity", "unit_value",
-                                      (F.col("quantity") * F.col("unit_value")).alias("mv"))
+                           F.when(F.col("quantity") == 0, 0.0).otherwise(F.col("quantity") * F.col("unit_value")).alias("mv"))
 
     # --- risk today ------------------------------------------------------------------------------
 
@@ -266,7 +268,7 @@ class DailyRun(StagedRun):
         four = E.four_books(on(held, self.k), on(held, self.k - 1), on(vals, self.k), on(vals, self.k - 1))
         w = self.cfg.risk.window_days
         pnl = (self.scenarios.filter(F.col("s") >= max(1, self.k - w)).join(four, "instrument_id")
-               .groupBy("p", "l", "s").agg(F.sum(F.col("mv") * F.col("growth")).alias("pnl")))
+               .groupBy("p", "l", "s").agg(whole_sum(F.col("mv") * F.col("growth")).alias("pnl")))
         return E.coalition_cube(pnl, self.calendar, self.k, w)
 
     @cached_property
@@ -322,7 +324,7 @@ class DailyRun(StagedRun):
     # --- controls --------------------------------------------------------------------------------
 
     def control_frames(self) -> list[Callable[[], DataFrame]]:
-        """The fourteen data controls, in their fixed order."""
+        """The fourteen data controls and the deadline, in their fixed order."""
         rules, d, dim = self.cfg.controls, self._as_of_col, self.instruments
         market, refs = self.market, self.references
         return [
@@ -335,7 +337,13 @@ class DailyRun(StagedRun):
             lambda: C.history_sufficiency(market, dim, d, rules),
             lambda: C.position_reconciliation(self.positions, self.trades, d, rules),
             lambda: C.position_coverage(self.positions, dim, self.filled, d),
-            lambda: C.lineage_complete(market, self.lineage, d)]
+            lambda: C.lineage_complete(market, self.lineage, d), lambda: C.reporting_sla(self.finished(), rules).select(*C.COLUMNS)]
+
+    def finished(self) -> DataFrame:
+        """(run_id, as_of, finished) of this run: the instant given, else the configured time of the next weekday."""
+        local = F.to_timestamp(F.concat(D.business_shift(self._as_of_col, 1).cast("string"), F.lit(f" {self.cfg.controls.finished_at}:00")))
+        at = F.lit(self._finished).cast("timestamp") if self._finished else F.to_utc_timestamp(local, self.cfg.controls.sla_zone)
+        return self.spark.range(1).select(F.lit("run").alias("run_id"), self._as_of_col.alias("as_of"), at.alias("finished"))
 
     @cached_property
     def controls(self) -> DataFrame:

@@ -66,7 +66,7 @@ def execute(run: DailyRun, run_id: str, store: str, clock: Callable[[], dt.datet
         done = run.spark.createDataFrame([(run_id, as_of, finished.astimezone(dt.timezone.utc).replace(tzinfo=None))],
                                          "run_id string, as_of date, finished timestamp_ntz")
         sla = C.reporting_sla(done.withColumn("finished", F.col("finished").cast("timestamp")), run.cfg.controls).select(*C.COLUMNS)
-        checks = run.controls.select(*C.COLUMNS).unionByName(sla)
+        checks = run.controls.filter("control <> 'reporting_sla'").select(*C.COLUMNS).unionByName(sla)
         tables.append_table(stamp(checks), f"{store}/control_results", partition="as_of")
         status = C.overall_status(checks).first()["status"]
         _event(run, run_id, store, as_of, status, finished)

@@ -181,7 +181,7 @@ def total_return(run: DailyRun) -> DataFrame:
     paid = run.dividends.select("instrument_id", F.col("ex_date").alias("date"), "amount")
     by_day = W.partitionBy("instrument_id").orderBy("ord")
     rows = run.levels.join(run.instruments.filter("asset_class = 'equity'").select("instrument_id"), "instrument_id", "left_semi")
-    before = F.lag("level").over(by_day)
+    before = F.when(F.lag("ord").over(by_day) == F.col("ord") - 1, F.lag("level").over(by_day))
     both = rows.join(paid, ["instrument_id", "date"], "left").select(
         "date", "instrument_id", returns.log_return(F.col("level"), before).alias("price_return"),
         returns.log_return(F.col("level"), before, F.col("amount")).alias("total_return"))
@@ -280,7 +280,7 @@ def scenario_weights(run: DailyRun) -> DataFrame:
     rows = risk.weighted(run.total_cube, run.cfg.risk).join(run.calendar.select(F.col("ord").alias("s"), "date"), "s")
     names = {f"w_{m.name}": m.name for m in run.cfg.risk.methods}
     long = rows.unpivot(["date"], list(names), "w", "weight")
-    return long.select("date", F.substring("w", 3, 40).alias("method"), ratio("weight", 9).alias("weight"))
+    return long.select("date", F.replace("w", F.lit("w_"), F.lit("")).alias("method"), ratio("weight", 9).alias("weight"))
 
 
 def _totals(run: DailyRun, method: str) -> DataFrame:
@@ -450,7 +450,8 @@ def backtest_summary(run: DailyRun) -> DataFrame:
     return run.backtest_summary.select(
         "method", "n", "exceptions", ratio("expected").alias("expected"), ratio("kupiec_p").alias("kupiec_p"),
         ratio("christoffersen_p").alias("christoffersen_p"), "last_n", "last_exceptions", "zone", "plus_factor",
-        "worst_day", mm("worst_pnl").alias("worst_pnl"))
+        "worst_day", mm("worst_pnl").alias("worst_pnl"), "exceptions_95", ratio("expected_95").alias("expected_95"),
+        ratio("kupiec_p_95").alias("kupiec_p_95"), ratio("christoffersen_p_95").alias("christoffersen_p_95"))
 
 
 @query
@@ -464,7 +465,8 @@ def mark_to_market_recheck(run: DailyRun) -> DataFrame:
 def var_by_computed_day(run: DailyRun) -> DataFrame:
     """Each forecast on the day it was computed, today's appended."""
     by_day = W.partitionBy("method").orderBy("date")
-    shifted = run.backtest.select("method", F.lag("date").over(by_day).alias("computed_on"), "var99").filter("computed_on is not null")
+    begins = run.holdings.agg(F.min("date")).scalar()  # the first forecast was made when the book began
+    shifted = run.backtest.select("method", F.coalesce(F.lag("date").over(by_day), begins).alias("computed_on"), "var99")
     now = run.totals.filter("measure = 'VaR99'").select("method", F.lit(run.as_of).alias("computed_on"), F.col("value").alias("var99"))
     return shifted.unionByName(now).select("method", "computed_on", mm("var99").alias("var99"))
 

@@ -10,9 +10,14 @@ from tidemark.functions.text import all_matches, strip_markup
 LONG_COLUMNS = ["ticker", "date", "close", "adj_close"]
 
 
+def lenient_text(content: str) -> Column:
+    """UTF-8 bytes as text; bytes that are no character are left out, they do not fail the scan."""
+    return F.replace(F.make_valid_utf8(F.col(content).cast("string")), F.lit("\ufffd"), F.lit(""))
+
+
 def _csv(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """All columns as text; typing is explicit in the parsers."""
-    return spark.read.option("header", True).csv(path)
+    return spark.read.option("header", True).option("enforceSchema", False).csv(path)
 
 
 def _melted(wide: DataFrame, date_column: str, day: Column) -> DataFrame:
@@ -117,7 +122,7 @@ def rows_per_file(spark: SparkSession, root: str, glob: str = "*.csv") -> DataFr
 def read_documents(spark: SparkSession, root: str, glob: str = "*.txt") -> DataFrame:
     """(path, html, sha256): whole documents, bytes that are no UTF-8 replaced."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root)
-    return files.select("path", F.decode("content", "UTF-8").alias("html"), F.sha2("content", 256).alias("sha256"))
+    return files.select("path", lenient_text("content").alias("html"), F.sha2("content", 256).alias("sha256"))
 
 
 def filing_manifest(index: DataFrame, forms: list[str], since: str) -> DataFrame:

@@ -54,9 +54,15 @@ def map_references(raw: DataFrame, uses: DataFrame) -> DataFrame:
 def upsert(stored: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:
     """Stored rows with incoming ones replacing them by key.
 
-    Untouched rows pass a left-anti join; nothing is sorted and no incoming rows leave the table as it is.
+    Of several incoming rows with one key the one loaded last stays (without ``load_seq`` the largest), so keys
+    stay unique. Untouched rows pass a left-anti join; no incoming rows leave the table as it is.
     """
-    return stored.join(incoming.select(*keys), keys, "left_anti").unionByName(incoming.select(*stored.columns))
+    if "load_seq" in incoming.columns:
+        newest = keep_last(incoming, keys)
+    else:
+        rest = [c for c in incoming.columns if c not in keys]
+        newest = incoming.groupBy(*keys).agg(F.max(F.struct(*rest)).alias("_row")).select(*keys, *(F.col(f"_row.{c}").alias(c) for c in rest))
+    return stored.join(incoming.select(*keys), keys, "left_anti").unionByName(newest.select(*stored.columns))
 
 
 def replace_up_to(stored: DataFrame, incoming: DataFrame, column: str, cut: Column) -> DataFrame:
@@ -88,6 +94,9 @@ def run_log(events: DataFrame) -> DataFrame:
 
 
 def sql_over(spark: SparkSession, frame: DataFrame, name: str, query: str) -> DataFrame:
-    """Register a frame for one SQL statement."""
+    """Register a frame for one SQL statement (S11). The statement is resolved at once, so the view does not outlive it."""
     frame.createOrReplaceTempView(name)
-    return spark.sql(query)
+    try:
+        return spark.sql(query)
+    finally:
+        spark.catalog.dropTempView(name)
