@@ -27,9 +27,10 @@ DIM = ("instrument_id string, name string, asset_class string, desk string, curr
 
 @pytest.fixture(scope="session")
 def instruments(spark):
-    """A home equity, a foreign equity, a ten-year home yield and the foreign currency."""
+    """An equity at home and one abroad, a metal priced abroad, a seven-year yield at home and the foreign currency."""
     return spark.createDataFrame([
-        ("X", "x", "equity", "Home", "GBP", "price", "px", "TX", None, 1.0, None, None),
-        ("Y", "y", "equity", "Abroad", "USD", "price", "px", "TY", None, 1.0, None, None),
-        ("B", "b", "rates", "Rates", "GBP", "yield_pct", "cb", "TB", 10.0, 1.0, None, None),
-        ("USD", "usd", "fx", "FX", "USD", "fx", "cb", "TU", None, 1.0, None, None)], DIM)
+        ("OAK", "oak", "equity", "Forest", "GBP", "price", "px", "TO", None, 1.0, None, None),
+        ("ELM", "elm", "equity", "Overseas", "EUR", "price", "px", "TE", None, 1.0, None, None),
+        ("TIN", "tin", "commodity", "Metals", "EUR", "price", "px", "TT", None, 1.0, None, None),
+        ("N7", "n7", "rates", "Gilts", "GBP", "yield_pct", "cb", "TN", 7.0, 1.0, None, None),
+        ("EURO", "euro", "fx", "Cash", "EUR", "fx", "cb", "TU", None, 1.0, None, None)], DIM)

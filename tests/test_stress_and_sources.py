@@ -17,10 +17,9 @@ def shocked(spark, instruments, *shocks):
     return {r.instrument_id: r.r for r in stress.shock_moves(hits, instruments, frame).collect()}
 
 
-def test_overlapping_shocks_add_in_log_space(spark, instruments):
-    got = shocked(spark, instruments, Shock(asset_class="equity", pct=-15.0), Shock(ids=("B",), pp=1.0), Shock(desk="Home", asset_class="equity", pct=-10.0))
-    assert got["Y"] == pytest.approx(np.log(0.85)) and got["X"] == pytest.approx(np.log(0.85) + np.log(0.90))
-    assert got["B"] == 1.0 and got["USD"] == 0.0
+def test_shocks_that_meet_add_up(spark, instruments):
+    got = shocked(spark, instruments, Shock(asset_class="equity", pct=12.0), Shock(ids=("N7", "TIN"), asset_class="rates", pp=-0.3), Shock(desk="Overseas", pct=-40.0), Shock(asset_class="fx", pct=2.0))
+    assert got == pytest.approx({"OAK": np.log(1.12), "ELM": np.log(1.12) + np.log(0.6), "TIN": 0.0, "N7": -0.3, "EURO": np.log(1.02)})
 
 
 def test_wrong_unit_and_empty_selector_fail(spark, instruments):
@@ -42,21 +41,34 @@ def test_windows_clip_or_are_unavailable(spark):
     assert (got["dates"].first_ord, got["dates"].last_ord) == (2, 4) and got["clipped"].last_ord == 19
 
 
+def test_a_window_without_a_day_after_its_start_is_unavailable(spark, instruments):
+    days = spark.createDataFrame([(k, day("2020-01-06") + dt.timedelta(days=k)) for k in range(10)], "ord int, date date")
+    windows = stress.resolve_windows(stress.windows_frame(spark, (PastWindow("past", "p", "p", "2024-01-01", end="2024-02-01"), PastWindow("last", "l", "l", "2020-01-15", end="2020-03-01"))), days)
+    assert not any(r.available for r in windows.collect())
+    dense = spark.createDataFrame([(k, "OAK", 0.01) for k in range(10)], "ord int, instrument_id string, r double")
+    assert stress.path_moves(windows, dense).count() == 0
+
+
 def test_missing_moves_count_as_zero_and_are_reported(spark, instruments):
-    cfg = RunConfig(fx_map=(("USD", "USD"),))
-    days = spark.createDataFrame([(k, day("2020-01-06") + dt.timedelta(days=k)) for k in range(4)], "ord int, date date")
-    moves = {("X", 1): -0.10, ("X", 2): 0.05, ("USD", 1): 0.01}                # all else missing
-    dense = spark.createDataFrame([(k, i, moves.get((i, k))) for k in range(4) for i in ("X", "Y", "B", "USD")], "ord int, instrument_id string, r double")
-    book = spark.createDataFrame([("X", 100.0), ("Y", 200.0), ("B", 50.0), ("USD", 10.0)], "instrument_id string, mv double")
-    windows = stress.resolve_windows(stress.windows_frame(spark, (PastWindow("w", "w", "w", "2020-01-06", end="2020-01-09"),)), days)
-    path = stress.historical_positions(stress.path_moves(windows, dense), pricing.priced_as(instruments, cfg), book)
+    cfg = RunConfig(fx_map=(("EUR", "EURO"),))
+    days = spark.createDataFrame([(k, day("2019-09-02") + dt.timedelta(days=k)) for k in range(4)], "ord int, date date")
+    moves = {("OAK", 1): 0.03, ("OAK", 2): -0.20, ("OAK", 3): 0.06, ("N7", 3): -0.02}                # all else missing
+    dense = spark.createDataFrame([(k, i, moves.get((i, k))) for k in range(4) for i in ("OAK", "ELM", "TIN", "N7", "EURO")], "ord int, instrument_id string, r double")
+    book = spark.createDataFrame([("OAK", 300.0), ("ELM", -80.0), ("TIN", 20.0), ("N7", 1000.0), ("EURO", 0.0)], "instrument_id string, mv double")
+    windows = stress.resolve_windows(stress.windows_frame(spark, (PastWindow("w", "w", "w", "2019-09-02", end="2019-09-05"),)), days)
+    attributes = pricing.priced_as(instruments, cfg)
+    path = stress.historical_positions(stress.path_moves(windows, dense), attributes, book)
     got = stress.historical_summary(windows, path, days).first()
-    flat = 200 * np.expm1(-0.01) + 10 * np.expm1(-0.01)
-    assert got.pnl == pytest.approx(100 * np.expm1(-0.05) + flat) and got.worst_pnl == pytest.approx(100 * np.expm1(-0.10) + flat)
-    assert got.worst_date == day("2020-01-07") and got.n_no_data == 4
-    desks = {r.desk: r.pnl for r in stress.by_desk(stress.end_positions(path, windows)).collect()}
+    assert got.pnl == pytest.approx(300 * np.expm1(-0.11) + 1000 * np.expm1(0.02 * 0.07)) and got.worst_pnl == pytest.approx(300 * np.expm1(-0.17))
+    assert got.worst_date == day("2019-09-04") and got.n_no_data == 4
+    ends = stress.end_positions(path, windows)
+    desks = {r.desk: r.pnl for r in stress.by_desk(ends).collect()}
     assert sum(v for k, v in desks.items() if k != "total") == pytest.approx(desks["total"])
-    assert [r.instrument_id for r in stress.largest_losses(stress.end_positions(path, windows)).orderBy("rank").collect()] == ["X", "Y", "USD"]
+    assert [r.instrument_id for r in stress.largest_losses(ends, 2).orderBy("rank").collect()] == ["OAK", "ELM"]
+    unpriced = book.withColumn("mv", F.when(F.col("instrument_id") != "TIN", F.col("mv")))
+    path = stress.historical_positions(stress.path_moves(windows, dense), attributes, unpriced)
+    assert stress.historical_summary(windows, path, days).first().pnl is None
+    assert {r.desk: r.pnl is None for r in stress.by_desk(stress.end_positions(path, windows)).collect()} == {"Forest": False, "Overseas": False, "Metals": True, "Gilts": False, "Cash": False, "total": True}
 
 
 def test_positions_are_running_trades(spark):
@@ -138,8 +150,8 @@ def test_run_log_keeps_the_error_path(spark):
 
 
 def test_reference_series_may_serve_several_purposes(spark, instruments):
-    dim = instruments.withColumn("returns_proxy", F.when(F.col("instrument_id") == "X", "P")).withColumn("stress_proxy", F.when(F.col("instrument_id") == "Y", "px:P"))
+    dim = instruments.withColumn("returns_proxy", F.when(F.col("instrument_id") == "OAK", "P")).withColumn("stress_proxy", F.when(F.col("instrument_id") == "ELM", "px:P"))
     checks = spark.createDataFrame([("USD", "px", "P")], "instrument_id string, source string, ticker string")
     raw = spark.createDataFrame([("px", "P", day("2026-09-29"), 1.0, "f", 1)], "source string, ticker string, date date, close double, fetch_id string, load_seq int")
     got = tables.map_references(raw, tables.reference_map(dim, checks, "px")).collect()
-    assert {(r.instrument_id, r.purpose) for r in got} == {("USD", "cross_check"), ("X", "return_proxy"), ("Y", "stress_proxy")}
+    assert {(r.instrument_id, r.purpose) for r in got} == {("USD", "cross_check"), ("OAK", "return_proxy"), ("ELM", "stress_proxy")}

@@ -12,12 +12,12 @@ from tidemark.operators.pricing import is_absolute_quote
 
 def log_return(now: Column, before: Column, paid: Column | None = None) -> Column:
     """ln((now + paid) / before); null where it is not defined."""
-    return F.ln((now + paid if paid is not None else now) / before)
+    return F.ln(F.try_divide(now + paid if paid is not None else now, before))
 
 
 def vendor_style_return(now: Column, before: Column, paid: Column) -> Column:
-    """ln(now / (before - paid)): the convention of an adjusted close."""
-    return F.ln(now / (before - paid))
+    """ln(now / (before - paid)): the convention of an adjusted close (W5); null where nothing is left after the dividend."""
+    return F.ln(F.try_divide(now, before - paid))
 
 
 def driving_series(levels: DataFrame, references: DataFrame, instruments: DataFrame, days: DataFrame,
