@@ -88,7 +88,7 @@ SELECT a.period_end, CASE WHEN a.c2 IS NULL THEN 'no_reference' WHEN p.c1 = a.c2
 FROM pairs_t a LEFT JOIN pairs_t p ON p.period_end = last_day(a.period_end - INTERVAL 3 MONTH) LEFT JOIN pairs_t y ON y.period_end = last_day(a.period_end - INTERVAL 12 MONTH)""")
 oracle("phrase_flag", "SELECT form, count(*) AS n, count(*) FILTER (year(period_end) % 2 = 0) AS states_95 FROM filing_t GROUP BY 1")
 oracle("filing_lineage", """SELECT f.accession, f.form, f.filed, count(p.accession) AS tables_parsed, TRUE AS hashed FROM filing_t f LEFT JOIN parsed_t p USING (accession) GROUP BY 1, 2, 3""")
-oracle("filing_manifest", "SELECT accession, form, filed FROM filing_t WHERE filed >= DATE '1996-01-01'")
+oracle("filing_manifest", "SELECT accession, form, filed FROM filing_t WHERE filed >= DATE '1990-01-01'")
 oracle("missing_quarters", """
 SELECT period_end FROM dsc_t WHERE month(period_end) = 12 AND period_end > (SELECT min(period_end) FROM dsc_t WHERE month(period_end) <> 12)
 AND period_end < (SELECT max(period_end) FROM dsc_t WHERE month(period_end) <> 12)""")

@@ -130,9 +130,9 @@ def states_confidence(filings: DataFrame) -> DataFrame:
 
 
 def filing_lineage(filings: DataFrame, parsed: DataFrame) -> DataFrame:
-    """(accession, form, filed, sha256, tables_parsed)."""
+    """(accession, form, filed, sha256, tables_parsed): the hash is that of the landed bytes."""
     counts = parsed.groupBy("accession").agg(F.count(F.lit(1)).alias("tables_parsed"))
-    return (filings.select("accession", "form", "filed", F.sha2(F.encode("html", "UTF-8"), 256).alias("sha256"))
+    return (filings.select("accession", "form", "filed", "sha256")
             .join(counts, "accession", "left").withColumn("tables_parsed", F.coalesce("tables_parsed", F.lit(0))))
 
 

@@ -10,6 +10,9 @@ from tidemark.functions.stats import whole_sum
 from tidemark.operators import tail as T
 
 
+BLOCK = 256  # ordinals to a block of the band join
+
+
 def window_start(k: Column, window_days: int) -> Column:
     """First ordinal of the window ending at ``k``; row 0 has no return and never enters."""
     return F.greatest(F.lit(1), k - window_days + 1)
@@ -28,14 +31,19 @@ def scenario_cube(book: DataFrame, scenarios: DataFrame, groups: list[str], wind
     instrument with the window as a residual; instruments are summed before anything is sorted.
     Scenarios are laid out by ``s`` first: when the book side is small enough to be broadcast, all
     instruments of a scenario meet in one task and the sum needs no further shuffle; otherwise the join
-    shuffles by instrument and the partial sums shrink the (k, s) shuffle. The number of tasks is given
+    shuffles by instrument and block and the partial sums shrink the (k, s) shuffle. The number of tasks is given
     because the input is small for the work it causes: sized by bytes it would run in one task.
+
+    Both sides carry a block of ``BLOCK`` ordinals in the key, a valuation day once for each block of its window: a day
+    meets about one window of scenarios, however long the history, and no instrument is a hot key.
     """
     tasks = int(scenarios.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    laid_out = scenarios.repartition(tasks, "s")
+    block = lambda ord_: F.floor(ord_ / BLOCK).cast("int")
+    laid_out = scenarios.repartition(tasks, "s").withColumn("_block", block(F.col("s")))
+    spread = book.withColumn("_block", F.explode(F.sequence(block(window_start(F.col("k"), window_days)), block(F.greatest(F.col("k"), F.lit(1))))))
     inside = F.col("s").between(window_start(F.col("k"), window_days), F.col("k"))
     keys = list(dict.fromkeys([*groups, "k", "s"]))
-    return (laid_out.join(book, "instrument_id").filter(inside)
+    return (laid_out.join(spread, ["instrument_id", "_block"]).filter(inside)
             .groupBy(*keys)
             .agg(whole_sum(F.col("mv") * F.col("growth")).alias("pnl"),
                  whole_sum(F.col("mv") * F.col("linear")).alias("linear")))

@@ -262,7 +262,7 @@ def phrase_flag(run: DailyRun) -> DataFrame:
 @query
 def filing_lineage(run: DailyRun) -> DataFrame:
     """X21."""
-    rows = X.filing_lineage(_study(run).filings, _study(run).parsed)
+    rows = X.filing_lineage(_study(run).landed_filings, _study(run).parsed)
     return rows.select("accession", "form", "filed", "tables_parsed", (F.length("sha256") == 64).alias("hashed"))
 
 

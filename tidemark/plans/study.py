@@ -67,6 +67,9 @@ def write_filings(disclosed: DataFrame) -> DataFrame:
                        html.alias("html"))
 
 
+SINCE = "1990-01-01"  # filings before this day are not asked for
+
+
 class Study(StagedRun):
     """Stages of the study, stored like those of the daily run."""
 
@@ -103,11 +106,16 @@ class Study(StagedRun):
     @cached_property
     def manifest(self) -> DataFrame:
         index = self.spark.read.option("wholetext", True).text(f"{self.landed}/index").withColumnRenamed("value", "text")
-        return files.filing_manifest(index, ["10-Q", "10-K"], "1996-01-01")
+        return files.filing_manifest(index, ["10-Q", "10-K"], SINCE)
+
+    @cached_property
+    def landed_filings(self) -> DataFrame:
+        """(accession, form, filed, html, sha256): the documents that landed and are in the manifest."""
+        return self.documents.join(self.manifest, "accession")
 
     @stage("filings")
     def parsed(self) -> DataFrame:
-        return X.parse_filings(self.filings)
+        return X.parse_filings(self.landed_filings)
 
     @stage("parsed")
     def quarters(self) -> DataFrame:
