@@ -66,3 +66,11 @@ def test_confidence_phrase_across_markup(spark):
     docs = spark.createDataFrame([("a", "10-Q", day("2026-08-03"), "at a 95%&nbsp;<b>confidence</b> level"), ("b", "10-Q", day("2026-08-03"), "at 99%")],
                                  "accession string, form string, filed date, html string")
     assert {r.accession: r.states_95 for r in X.states_confidence(docs).collect()} == {"a": True, "b": False}
+
+
+def test_a_row_of_many_cells_is_read_to_its_end(spark):
+    wide = "<tr><td>Total</td>" + "".join(f"<td>{k}</td>" for k in range(1, 1201)) + "</tr>"
+    frame = spark.createDataFrame([("a", "10-Q", day("2026-08-03"), f"<table><tr><td>Diversification effect</td></tr>{wide}</table>")],
+                                  "accession string, form string, filed date, html string")
+    lines = X.parsed_rows(X.candidate_tables(frame)).first().lines
+    assert [len(x.nums) for x in lines if x.category == "total"] == [1200] and lines[1].nums[-1] == 1200.0

@@ -77,3 +77,20 @@ def test_accounting_numbers_and_markup(spark):
     assert [r.n for r in got] == [1234.0, -70.0, -70.0, 12.5, None, None, None, None]
     html = spark.createDataFrame([("<b>Diversification</b>\n<i>&nbsp;effect</i> &amp; more",)], "h string")
     assert html.select(X.strip_markup(F.col("h")).alias("t")).first().t.strip() == "Diversification effect & more"
+
+
+def test_character_references_are_decoded_once(spark):
+    from tidemark.functions.text import strip_markup
+
+    cases = {"&#8194;a": " a", "&#8208;": "\u2010", "&#x24;12": "$12", "caf&eacute;&nbsp;x": "caf\u00e9 x", "&amp;lt;": "&lt;", "&#38;amp;": "&amp;", "&nosuch; &#0; &#xD800;": "&nosuch; &#0; &#xD800;",
+             "<b>1&#x1F600;</b>": " 1\U0001f600 ", "a & b": "a & b"}
+    frame = spark.createDataFrame(list(cases.items()), "html string, want string")
+    for r in frame.select("html", "want", strip_markup(F.col("html")).alias("got")).collect():
+        assert r.got.replace("\u2002", " ") == r.want, r.html
+
+
+def test_a_sum_with_a_missing_value_is_missing(spark):
+    from tidemark.functions.stats import whole_sum
+
+    frame = spark.createDataFrame([("a", 1.0), ("a", 2.0), ("b", 1.0), ("b", None)], "g string, v double")
+    assert {r.g: r.s for r in frame.groupBy("g").agg(whole_sum(F.col("v")).alias("s")).collect()} == {"a": 3.0, "b": None}

@@ -155,3 +155,34 @@ def test_reference_series_may_serve_several_purposes(spark, instruments):
     raw = spark.createDataFrame([("px", "P", day("2026-09-29"), 1.0, "f", 1)], "source string, ticker string, date date, close double, fetch_id string, load_seq int")
     got = tables.map_references(raw, tables.reference_map(dim, checks, "px")).collect()
     assert {(r.instrument_id, r.purpose) for r in got} == {("USD", "cross_check"), ("OAK", "return_proxy"), ("ELM", "stress_proxy")}
+
+
+def test_upsert_keeps_keys_unique(spark):
+    stored = spark.createDataFrame([("A", 1, 1.0, 1), ("B", 1, 2.0, 1)], "id string, day int, v double, load_seq int")
+    incoming = spark.createDataFrame([("A", 1, 5.0, 2), ("A", 1, 4.0, 3), ("C", 1, 9.0, 2)], "id string, day int, v double, load_seq int")
+    got = {(r.id, r.day): r.v for r in tables.upsert(stored, incoming, ["id", "day"]).collect()}
+    assert got == {("A", 1): 4.0, ("B", 1): 2.0, ("C", 1): 9.0}
+    bare = tables.upsert(stored.drop("load_seq"), incoming.drop("load_seq"), ["id", "day"])
+    assert bare.count() == 3 and bare.filter("id = 'A'").first().v == 5.0
+    assert tables.upsert(stored, incoming.limit(0), ["id", "day"]).count() == 2
+
+
+def test_a_bad_byte_does_not_fail_the_scan(spark, tmp_path):
+    (tmp_path / "good.txt").write_bytes("<p>caf\u00e9</p>".encode())
+    (tmp_path / "bad.txt").write_bytes(b"<p>caf\xe9 12\xff</p>")
+    got = {r.path.rsplit("/", 1)[1]: r for r in files.read_documents(spark, str(tmp_path)).collect()}
+    assert got["good.txt"].html == "<p>caf\u00e9</p>" and got["bad.txt"].html == "<p>caf 12</p>"
+    assert got["bad.txt"].sha256 == hashlib.sha256(b"<p>caf\xe9 12\xff</p>").hexdigest()
+
+
+def test_files_with_different_headers_are_not_merged_by_position(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("DATE,AAA\n2001-01-02,1.5\n")
+    (tmp_path / "b.csv").write_text("DATE,BBB\n2001-01-02,7.5\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        files.read_wide_iso(spark, str(tmp_path), "2000-01-01").collect()
+
+
+def test_sql_over_leaves_no_view(spark):
+    frame = spark.createDataFrame([(1,), (2,)], "x int")
+    assert tables.sql_over(spark, frame, "for_one_statement", "select sum(x) as s from for_one_statement").first().s == 3
+    assert not spark.catalog.tableExists("for_one_statement")
