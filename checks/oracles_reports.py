@@ -240,6 +240,16 @@ oracle("measure_quarters_published", "SELECT count(*) AS value FROM quarters_t")
 
 # --- the stored run
 COUNTS = {"risk_results": "SELECT count(*) FROM risk_t", "backtest": "SELECT count(*) FROM bt_t", "stress_results": "SELECT count(*) FROM stressfact_t",
-          "var_explain": "SELECT count(*) FROM explain_t", "control_results": "SELECT count(*) + 1 FROM controls_t"}
+          "var_explain": "SELECT count(*) FROM explain_t", "control_results": "SELECT count(*) FROM controls_t"}
 oracle("daily_pipeline", " UNION ALL ".join(f"SELECT '{n}' AS stored, ({s})::VARCHAR AS value" for n, s in COUNTS.items()) + """
-UNION ALL SELECT 'status', CASE max(CASE status WHEN 'FAIL' THEN 2 WHEN 'WARN' THEN 1 ELSE 0 END) WHEN 2 THEN 'FAIL' WHEN 1 THEN 'WARN' ELSE 'PASS' END FROM controls_t""")
+UNION ALL SELECT 'status', CASE max(CASE status WHEN 'FAIL' THEN 2 WHEN 'WARN' THEN 1 ELSE 0 END) WHEN 2 THEN 'FAIL' WHEN 1 THEN 'WARN' ELSE 'PASS' END FROM controls_t
+WHERE control <> 'revisions'""")  # nothing is stored yet that could have changed
+
+EARLY, LATE_ON = "(SELECT prev FROM run_t)", "(SELECT d FROM run_t)"
+FROM_KEPT = f"SELECT instrument_id, date, close FROM kept_t WHERE date <= {EARLY}"
+STORE = {"market_data": "market_t WHERE date", "reference_prices": "refs_t WHERE date", "dividends": "divs_t WHERE ex_date", "positions": "positions_t WHERE as_of"}
+oracle("two_day_store", " UNION ALL ".join(
+    f"SELECT '{step}' AS step, '{name}' AS stored, count(*) AS n FROM {source if name != 'market_data' or step != 'first day' else 'kept_t WHERE date'} <= {cut}"
+    for step, cut in (("first day", EARLY), ("second day", LATE_ON), ("second day again", LATE_ON)) for name, source in STORE.items()) + f"""
+UNION ALL SELECT 'first day', 'revisions', 0 UNION ALL SELECT 'second day again', 'revisions', 0
+UNION ALL SELECT 'second day', 'revisions', count(*) FROM ({FROM_KEPT}) o JOIN market_t n USING (instrument_id, date) WHERE abs(n.close - o.close) > abs(o.close) * 0.1 / 100""")

@@ -1,4 +1,4 @@
-"""One run stored under its run id: results appended, controls with the reporting deadline, run log."""
+"""One run stored under its run id: the day loaded, results stored, controls with the reporting deadline, run log."""
 
 from __future__ import annotations
 
@@ -41,6 +41,25 @@ def run_log(spark: SparkSession, store: str) -> DataFrame:
     return tables.run_log(spark.read.parquet(f"{store}/run_log"))
 
 
+def load(run: DailyRun, store: str) -> DataFrame:
+    """Bring what the run read into the stored tables, up to its date; returns the changed history.
+
+    Market data, references, dividends and lineage are upserted, the book up to the date is replaced. Changed rows
+    are found against what an earlier day stored, before it is overwritten, and kept in ``revisions``.
+    """
+    cut = F.lit(run.as_of)
+    market = run.market.filter(F.col("date") <= cut)
+    held = tables.read_stored(run.spark, f"{store}/market_data", market.withColumn("month", F.lit(0)).schema)
+    changed = C.find_revisions(market, held, run.cfg.controls.revision_pct).select("instrument_id", "date", "old_close", "new_close")
+    found = f"{store}/revisions/as_of={run.as_of}"
+    tables.write_table(changed, found)  # an empty result too replaces what a load of this day found before
+    tables.merge_stored(market, f"{store}/market_data", ["instrument_id", "date"], "date")
+    tables.merge_stored(run.references.filter(F.col("date") <= cut), f"{store}/reference_prices", ["instrument_id", "purpose", "date"], "date")
+    tables.merge_stored(run.dividends.filter(F.col("ex_date") <= cut), f"{store}/dividends", ["instrument_id", "ex_date"], "ex_date")
+    tables.merge_stored(run.positions.filter(F.col("as_of") <= cut), f"{store}/positions", ["instrument_id", "as_of"], "as_of", replace_to=cut)
+    return run.spark.read.schema(changed.schema).parquet(found)
+
+
 def result_tables(run: DailyRun) -> dict[str, DataFrame]:
     """The result rows of a run, without run id and date."""
     kinds = run.stress_positions.select("scenario", "kind").distinct()
@@ -50,24 +69,27 @@ def result_tables(run: DailyRun) -> dict[str, DataFrame]:
 
 
 def execute(run: DailyRun, run_id: str, store: str, clock: Callable[[], dt.datetime] = _now) -> StoredRun:
-    """Compute everything and append it under ``run_id``.
+    """Load the day into the stored tables, compute everything and store it under ``run_id``.
 
-    Risk is computed even when controls fail; the status says so. An error is logged and raised again.
+    Revisions are those against the stored history. A run stored again under its id replaces its own rows. Risk is computed even when controls fail; the status says so. An error is logged and raised again.
     """
     _event(run, run_id, store, None, "STARTED", clock())
     try:
         as_of = run.as_of
+        changed = load(run, store)
         run.ready(*STAGES)
         stamp = lambda frame: frame.select(F.lit(run_id).alias("run_id"), F.lit(as_of).alias("as_of"), *frame.columns)
         results = result_tables(run)
         with ThreadPoolExecutor(len(results)) as pool:
-            list(pool.map(lambda item: tables.append_table(stamp(item[1]), f"{store}/{item[0]}", partition="as_of"), results.items()))
+            list(pool.map(lambda item: tables.replace_rows(stamp(item[1]), f"{store}/{item[0]}", "as_of", "run_id"), results.items()))
         finished = clock()
         done = run.spark.createDataFrame([(run_id, as_of, finished.astimezone(dt.timezone.utc).replace(tzinfo=None))],
                                          "run_id string, as_of date, finished timestamp_ntz")
         sla = C.reporting_sla(done.withColumn("finished", F.col("finished").cast("timestamp")), run.cfg.controls).select(*C.COLUMNS)
-        checks = run.controls.filter("control <> 'reporting_sla'").select(*C.COLUMNS).unionByName(sla)
-        tables.append_table(stamp(checks), f"{store}/control_results", partition="as_of")
+        revised = C.revisions(changed, F.lit(as_of), run.cfg.controls)
+        own = run.controls.filter("control not in ('reporting_sla', 'revisions')").select(*C.COLUMNS)
+        checks = own.unionByName(revised.select(*C.COLUMNS)).unionByName(sla)
+        tables.replace_rows(stamp(checks), f"{store}/control_results", "as_of", "run_id")
         status = C.overall_status(checks).first()["status"]
         _event(run, run_id, store, as_of, status, finished)
         return StoredRun(run_id, store, status)

@@ -12,6 +12,7 @@ from tidemark.operators import exposure
 from tidemark.operators import stress
 from tidemark.operators import volstudy as V
 from tidemark.plans import pipeline
+from tidemark.plans import warehouse as wh
 from tidemark.plans.daily import DailyRun
 from tidemark.plans.marts import Marts
 from tidemark.plans.measures import MEASURES
@@ -219,6 +220,23 @@ def daily_pipeline(run: DailyRun) -> DataFrame:
     return out.unionByName(pipeline.run_log(run.spark, done.store).select(F.lit("status").alias("stored"), F.col("status").alias("value")))
 
 
+@query
+def two_day_store(run: DailyRun) -> DataFrame:
+    """A day loaded from an early delivery, the next from the full one, and that one again; rows per stored table after each."""
+    store, out = shared_folder(run.spark, "two-days"), None
+    early = DailyRun(run.spark, run.sf_dir, run.cfg, as_of=str(run.previous))
+    early._done |= {"marks": run.marks, "instruments": run.instruments, "all_days": run.all_days,
+                    "market": wh.market_data(run.marks, run.instruments, "kept").select(*run.market.columns)}  # what had arrived by then
+    for step, day in (("first day", early), ("second day", run), ("second day again", run)):
+        changed = pipeline.load(day, store)
+        frames = {name: run.spark.read.parquet(f"{store}/{name}") for name in ("market_data", "reference_prices", "dividends", "positions")} | {"revisions": changed}
+        for name, frame in frames.items():
+            n = frame.count()  # read now: the next step changes the table
+            row = run.spark.range(1).select(F.lit(step).alias("step"), F.lit(name).alias("stored"), F.lit(n).cast("long").alias("n"))
+            out = row if out is None else out.unionByName(row)
+    return out
+
+
 # --- Filings (X1-X7, X19, X21) -----------------------------------------------------------------------
 
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def keep_last(rows: DataFrame, keys: list[str], sequence: str = "load_seq") -> DataFrame:
@@ -81,6 +83,44 @@ def append_table(frame: DataFrame, path: str, partition: str | None = None) -> N
     write_table(frame, path, partition, mode="append")
 
 
+def read_stored(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """The table stored at a path, empty where nothing was stored yet."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
+def merge_stored(incoming: DataFrame, path: str, keys: list[str], day: str, replace_to: Column | None = None) -> None:
+    """Upsert rows into a table stored by month of ``day``; only months in which something differs are written.
+
+    With ``replace_to``, stored rows up to that day which do not come in again are dropped: the range is replaced.
+    """
+    spark = incoming.sparkSession
+    new = incoming.withColumn("month", F.date_format(day, "yyyyMM").cast("int"))
+    held = read_stored(spark, path, new.schema)
+    differs = new.join(held, [new[c].eqNullSafe(held[c]) for c in new.columns], "left_anti").select("month")
+    kept = held
+    if replace_to is not None:
+        gone = (F.col(day) <= replace_to)
+        differs = differs.unionByName(held.filter(gone).join(new, keys, "left_anti").select("month"))
+        kept = held.filter(~gone)
+    touched = [r.month for r in differs.distinct().collect()]  # months, at most a few hundred
+    if touched:
+        inside = F.col("month").isin(touched)
+        write_table(upsert(kept.filter(inside), new.filter(inside), keys), path, partition="month")
+
+
+def replace_rows(rows: DataFrame, path: str, partition: str, owner: str) -> None:
+    """Store a run's rows; rows stored before under the same ``owner`` are replaced, within the partitions written."""
+    spark = rows.sparkSession
+    held = read_stored(spark, path, rows.schema).join(rows.select(partition).distinct(), partition, "left_semi")
+    others = held.join(rows.select(owner).distinct(), owner, "left_anti")
+    write_table(rows.unionByName(others.select(*rows.columns)), path, partition=partition)
+
+
 def run_log(events: DataFrame) -> DataFrame:
     """One row per run from its appended events: the newest status and its time.
 
