@@ -15,9 +15,12 @@ from tidemark.llm.common import slices, stored
 SHINGLE = 5
 TREES = 32  # sorted orders; each begins with four hash values of its own
 HASHES = 4 * TREES
+FIRST = 16  # orders whose direct neighbours are linked before all orders are searched
 NEIGHBOURS = 8  # to each side of a document in an order
-#: A pair at a Jaccard similarity of 0.75 agrees in 112 of 128 sketch bits on average, with a deviation of 3.7.
-MAYBE, STRONG = 96, 119
+#: A sketch has two bits of every hash value. At a Jaccard similarity of 0.75 a pair agrees in 104 of 128 on average, with a deviation of 4.4.
+MAYBE, STRONG = 85, 115
+SKETCH = ("s1", "s2", "s3", "s4")
+_EVEN = np.uint64(0x5555555555555555)
 PICK_ROUNDS = 3
 
 _U = np.uint64
@@ -78,39 +81,46 @@ def signature(shingles: np.ndarray) -> np.ndarray:
 
 
 def tree_keys(values: np.ndarray) -> np.ndarray:
-    """Four 16-bit hash values to a long: key t begins order t and goes on with keys t + 1 and t + 2."""
+    """Four 16-bit hash values to a long: key t begins order t and goes on with key t + 1."""
     four = (values >> _U(48)).reshape(TREES, 4)
     return ((four[:, 0] << _U(48)) | (four[:, 1] << _U(32)) | (four[:, 2] << _U(16)) | four[:, 3]).view(np.int64)
 
 
+def sketch(values: np.ndarray) -> list[int]:
+    """Two bits of each hash value, in four longs."""
+    two = np.stack([(values >> _U(1)) & _U(1), values & _U(1)], axis=1).astype(np.uint8)
+    return np.packbits(two.ravel()).view(">i8").tolist()
+
+
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in slices(batches, ("text",), 1 << 20):
-        sizes, fp1, fp2, s1, s2, keys = [], [], [], [], [], []
+        sizes, fp1, fp2, sketches, keys = [], [], [], [[], [], [], []], []
         for text in part.column("text").to_pylist():
             own = shingle_set(text)
             sizes.append(len(own))
             if not len(own):
-                for x in (fp1, fp2, s1, s2, keys):
+                for x in (fp1, fp2, *sketches, keys):
                     x.append(None)
                 continue
             mixed = mix(own + _BASE)
             fp1.append(int(mixed.sum(dtype=np.uint64).view(np.int64)))
             fp2.append(int(np.bitwise_xor.reduce(mix(mixed)).view(np.int64)))
             values = signature(own)
-            bits = np.packbits((values & _U(1)).astype(np.uint8)).view(np.int64)
-            s1.append(int(bits[0]))
-            s2.append(int(bits[1]))
+            for x, bits in zip(sketches, sketch(values)):
+                x.append(bits)
             keys.append(tree_keys(values).tolist())
-        yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(x, pa.int64()) for x in (sizes, fp1, fp2, s1, s2)), pa.array(keys, pa.list_(pa.int64()))],
-                                         ["doc_id", "n_shingles", "fp1", "fp2", "s1", "s2", "keys"])
+        yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(x, pa.int64()) for x in (sizes, fp1, fp2, *sketches)), pa.array(keys, pa.list_(pa.int64()))],
+                                         ["doc_id", "n_shingles", "fp1", "fp2", *SKETCH, "keys"])
 
 
-def _bits(x: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(x.view(np.uint64)).astype(np.int64)
+def _unlike(x: np.ndarray) -> np.ndarray:
+    """How many of a long's 32 bit pairs are not zero."""
+    x = x.view(np.uint64)
+    return np.bitwise_count((x | (x >> _U(1))) & _EVEN).astype(np.int64)
 
 
 def near_pairs(rows: dict[str, np.ndarray], width: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs of rows of one sorted order (left place, right place, equal sketch bits) worth confirming.
+    """Pairs of rows of one sorted order (left place, right place, hash values equal in the sketch) worth confirming: those of different ``root``.
 
     Two rows are neighbours if they stand at most ``width`` apart and share the order's first four hash values or
     more. How deep the common prefix of close neighbours is follows from how crowded the region is, because rows
@@ -123,11 +133,12 @@ def near_pairs(rows: dict[str, np.ndarray], width: int = NEIGHBOURS) -> tuple[np
     for j in range(1, min(width, n - 1) + 1):
         i = np.arange(n - j)
         near = (rows["k1"][:-j] == rows["k1"][j:]) & (rows["tree"][:-j] == rows["tree"][j:])
-        equal = 128 - _bits(rows["s1"][:-j] ^ rows["s1"][j:]) - _bits(rows["s2"][:-j] ^ rows["s2"][j:])
+        equal = 128 - sum(_unlike(rows[s][:-j] ^ rows[s][j:]) for s in SKETCH)
+        apart = rows["root"][:-j] != rows["root"][j:]
         if j == 1:
-            weak[:-1] = ~(near & (equal >= STRONG))
+            weak[:-1] = ~(near & (equal >= STRONG) | ~apart)
             before = np.concatenate([[0], np.cumsum(weak)])
-        keep = near & (equal >= MAYBE) & ((before[i + j] > before[i]) | (j == 1))
+        keep = near & apart & (equal >= MAYBE) & ((before[i + j] > before[i]) | (j == 1))
         left.append(i[keep])
         right.append(i[keep] + j)
         same.append(equal[keep])
@@ -135,69 +146,82 @@ def near_pairs(rows: dict[str, np.ndarray], width: int = NEIGHBOURS) -> tuple[np
     return np.concatenate(left or none), np.concatenate(right or none), np.concatenate(same or none)
 
 
-_COLS = ("tree", "k1", "k2", "k3", "s1", "s2", "rep")
-_OUT = "border int, place long, tree int, k1 long, k2 long, k3 long, s1 long, s2 long, rep long, a long, b long, same long"
+_COLS = ("tree", "k1", "k2", *SKETCH, "rep", "root")
+_PAIR = ("a", "b", "same", "ra", "rb")
+_OUT = "border int, place long, tree int, " + ", ".join(f"{c} long" for c in (*_COLS[1:], *_PAIR))
 
 
-def _emit(border: np.ndarray, place: np.ndarray, rows: dict[str, np.ndarray] | None, a=None, b=None, same=None) -> pa.RecordBatch:
+def _emit(border: np.ndarray, place: np.ndarray, rows: dict[str, np.ndarray] | None, pairs: dict[str, np.ndarray] | None = None) -> pa.RecordBatch:
     n = len(place)
     empty = lambda kind: pa.nulls(n, kind)
     cols = [pa.array(rows[c].astype(np.int32 if c == "tree" else np.int64)) if rows else empty(pa.int32() if c == "tree" else pa.int64()) for c in _COLS]
-    pair = [pa.array(x.astype(np.int64)) if x is not None else empty(pa.int64()) for x in (a, b, same)]
-    names = ["border", "place", *_COLS, "a", "b", "same"]
+    pair = [pa.array(pairs[c].astype(np.int64)) if pairs else empty(pa.int64()) for c in _PAIR]
+    names = ["border", "place", *_COLS, *_PAIR]
     return pa.RecordBatch.from_arrays([pa.array(border.astype(np.int32)), pa.array(place.astype(np.int64)), *cols, *pair], names)
 
 
-def _pair_rows(rows: dict[str, np.ndarray], fresh_from: int) -> pa.RecordBatch:
+def _pairs(rows: dict[str, np.ndarray], left: np.ndarray, right: np.ndarray, same: np.ndarray) -> dict[str, np.ndarray]:
+    """The pairs by id, the lesser one first, each with its root."""
+    turn = rows["rep"][left] > rows["rep"][right]
+    x, y = np.where(turn, right, left), np.where(turn, left, right)
+    return {"a": rows["rep"][x], "b": rows["rep"][y], "same": same, "ra": rows["root"][x], "rb": rows["root"][y]}
+
+
+def _pair_rows(rows: dict[str, np.ndarray], fresh_from: int, width: int) -> pa.RecordBatch:
     """Pairs with the right row at ``fresh_from`` or later: earlier ones were sent with the batch before."""
-    left, right, same = near_pairs(rows)
+    left, right, same = near_pairs(rows, width)
     new = right >= fresh_from
-    x, y, same = rows["rep"][left[new]], rows["rep"][right[new]], same[new]
-    zero = np.zeros(len(x), dtype=np.int64)
-    return _emit(zero, zero, None, np.minimum(x, y), np.maximum(x, y), same)
-
-
-def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs within a range of sorted rows; its first and last rows too, for the pairs across two ranges."""
-    here, held, head, seen = TaskContext.get().partitionId(), None, None, 0
-    for batch in batches:
-        rows = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in _COLS}
-        if head is None or len(head["rep"]) < NEIGHBOURS:
-            head = {c: np.concatenate([head[c], rows[c]])[:NEIGHBOURS] if head else rows[c][:NEIGHBOURS] for c in _COLS}
-        back = len(held["rep"]) if held else 0
-        rows = {c: np.concatenate([held[c], rows[c]]) for c in _COLS} if held else rows
-        yield _pair_rows(rows, back)
-        # the chain before the held rows counts as weak: at most a few pairs more
-        held = {c: rows[c][-NEIGHBOURS:] for c in _COLS}
-        seen += batch.num_rows
-    if seen:
-        for rows, side, after in ((head, 1, here), (held, 2, here + 1)):  # the head meets the tail of the range before
-            n = len(rows["rep"])
-            yield _emit(np.full(n, side), np.full(n, after), rows)
-
-
-def _across(key, rows):
-    """Pairs between the last rows of a range and the first of the next."""
-    import pandas as pd
-
-    rows = rows.sort_values(["border", "tree", "k1", "k2", "k3", "rep"], ascending=[False, True, True, True, True, True], ignore_index=True)
-    tail = int((rows["border"] == 2).sum())
-    left, right, same = near_pairs({c: rows[c].to_numpy() for c in _COLS})
-    cross = (left < tail) & (right >= tail)
-    x, y = rows["rep"].to_numpy()[left[cross]], rows["rep"].to_numpy()[right[cross]]
-    return pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y), "same": same[cross]})
-
-
-def candidates(reps: DataFrame, partitions: int) -> DataFrame:
-    """Distinct pairs (a < b) that are neighbours in some order, with the number of equal sketch bits."""
-    orders = reps.select("rep", "s1", "s2", F.posexplode("keys").alias("tree", "k1"), "keys").select(
-        "tree", "k1", F.element_at("keys", F.pmod(F.col("tree") + 1, F.lit(TREES)) + 1).alias("k2"),
-        F.element_at("keys", F.pmod(F.col("tree") + 2, F.lit(TREES)) + 1).alias("k3"), "s1", "s2", "rep")
-    by = ["tree", "k1", "k2", "k3", "rep"]
-    found = stored(orders.repartitionByRange(partitions, *by).sortWithinPartitions(*by).mapInArrow(_neighbours, _OUT), "neighbours")
-    within = found.filter("border = 0").select("a", "b", "same")
-    across = found.filter("border > 0").select("border", "place", *_COLS).groupBy("place").applyInPandas(_across, "a long, b long, same long")
-    return within.unionByName(across).filter("a < b").groupBy("a", "b").agg(F.max("same").alias("same"))
+    zero = np.zeros(int(new.sum()), dtype=np.int64)
+    return _emit(zero, zero, None, _pairs(rows, left[new], right[new], same[new]))
+
+
+def _neighbours(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Pairs within a range of sorted rows; its first and last rows too, for the pairs across two ranges."""
+        here, held, head, seen = TaskContext.get().partitionId(), None, None, 0
+        for batch in batches:
+            rows = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in _COLS}
+            if head is None or len(head["rep"]) < width:
+                head = {c: np.concatenate([head[c], rows[c]])[:width] if head else rows[c][:width] for c in _COLS}
+            back = len(held["rep"]) if held else 0
+            rows = {c: np.concatenate([held[c], rows[c]]) for c in _COLS} if held else rows
+            yield _pair_rows(rows, back, width)
+            # the chain before the held rows counts as weak: at most a few pairs more
+            held = {c: rows[c][-width:] for c in _COLS}
+            seen += batch.num_rows
+        if seen:
+            for rows, side, after in ((head, 1, here), (held, 2, here + 1)):  # the head meets the tail of the range before
+                n = len(rows["rep"])
+                yield _emit(np.full(n, side), np.full(n, after), rows)
+    return run
+
+
+def _across(width: int):
+    def run(key, rows):
+        """Pairs between the last rows of a range and the first of the next."""
+        import pandas as pd
+
+        rows = rows.sort_values(["border", "tree", "k1", "k2", "rep"], ascending=[False, True, True, True, True], ignore_index=True)
+        tail = int((rows["border"] == 2).sum())
+        own = {c: rows[c].to_numpy() for c in _COLS}
+        left, right, same = near_pairs(own, width)
+        cross = (left < tail) & (right >= tail)
+        return pd.DataFrame(_pairs(own, left[cross], right[cross], same[cross]))
+    return run
+
+
+def candidates(reps: DataFrame, trees: int = TREES, width: int = NEIGHBOURS) -> DataFrame:
+    """Distinct pairs (a < b) of different ``root`` at most ``width`` apart in one of the first ``trees`` orders, with the number of hash values equal in the sketch."""
+    session = reps.sparkSession
+    most = int(session.conf.get("spark.sql.shuffle.partitions")) * 4
+    partitions = int(max(1, min(most, reps.count() * trees // 2000)))
+    orders = reps.select("rep", "root", *SKETCH, F.posexplode(F.slice("keys", 1, trees)).alias("tree", "k1"), "keys")
+    orders = orders.select("tree", "k1", F.element_at("keys", F.pmod(F.col("tree") + 1, F.lit(TREES)) + 1).alias("k2"), *SKETCH, "rep", "root")
+    by = ["tree", "k1", "k2", "rep"]
+    found = stored(orders.repartitionByRange(partitions, *by).sortWithinPartitions(*by).mapInArrow(_neighbours(width), _OUT), "neighbours")
+    within = found.filter("border = 0").select(*_PAIR)
+    across = found.filter("border > 0").select("border", "place", *_COLS).groupBy("place").applyInPandas(_across(width), ", ".join(f"{c} long" for c in _PAIR))
+    return within.unionByName(across).filter("a < b").groupBy("a", "b", "ra", "rb").agg(F.max("same").alias("same"))
 
 
 def is_link(x: np.ndarray, y: np.ndarray, percent: int = 75) -> bool:
@@ -223,10 +247,10 @@ def confirm(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
 
 def _to_roots(hooks: DataFrame) -> DataFrame:
     """(hi, lo) with lo < hi, followed to its end by pointer jumping: as many turns as the longest chain has binary digits."""
+    hooks = stored(hooks, "hooks")
     while True:
-        hooks = stored(hooks, "hooks")
         further = hooks.select(F.col("hi").alias("via"), F.col("lo").alias("next"))
-        joined = stored(hooks.join(further, hooks.lo == further.via, "left"), "hooks-ahead")
+        joined = stored(hooks.join(further, hooks.lo == further.via, "left").select("hi", "lo", "next"), "hooks-ahead")
         if joined.filter("next is not null").isEmpty():
             return hooks
         hooks = joined.select("hi", F.coalesce("next", "lo").alias("lo"))
@@ -239,15 +263,18 @@ def _move(rows: DataFrame, column: str, roots: DataFrame) -> DataFrame:
 
 
 def link_components(pairs: DataFrame, texts: DataFrame, percent: int = 75) -> DataFrame:
-    """(node, root): components of the links among candidate ``pairs``, root being the least node.
+    """(node, root) of the roots among candidate ``pairs`` (a, b, same, ra, rb): ``node`` is a root so far, ``root`` the least one it is linked with.
 
     A link inside a component that already stands need not be confirmed. So each turn confirms one pair for each
     component, to the least neighbour component that is likely, and merges; most pairs of a large group of copies
     become internal and drop out. What still crosses after ``PICK_ROUNDS`` turns is confirmed pair by pair, so no
     candidate is lost.
     """
-    live = stored(pairs.select("a", "b", "same", F.col("a").alias("ra"), F.col("b").alias("rb")), "pairs")
-    labels = live.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("root", F.col("node"))
+    live = stored(pairs.select("a", "b", "same", "ra", "rb"), "pairs")
+    # a merge join at any size: the ids grow with the documents
+    ids = live.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct().hint("merge")
+    texts = stored(texts.join(ids, "doc_id", "left_semi"), "pair-texts")
+    labels = live.select(F.explode(F.array("ra", "rb")).alias("node")).distinct().withColumn("root", F.col("node"))
     turn, proven = 0, False
     while not live.isEmpty():
         keyed = live.select("a", "b", "same", F.greatest("ra", "rb").alias("hi"), F.least("ra", "rb").alias("lo"))
@@ -285,15 +312,15 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
     in one of 32 orders with a chance of 1 - (1 - 0.75^4)^32 = 0.999995. Texts are read again for pairs to confirm only.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    members = stored(texts.mapInArrow(_describe, "doc_id long, n_shingles long, fp1 long, fp2 long, s1 long, s2 long, keys array<long>"), "shingles")
+    members = stored(texts.mapInArrow(_describe, "doc_id long, n_shingles long, fp1 long, fp2 long, s1 long, s2 long, s3 long, s4 long, keys array<long>"), "shingles")
     reps = stored(members.filter("n_shingles > 0 and doc_id is not null").groupBy("fp1", "fp2", "n_shingles")
-                  .agg(F.min("doc_id").alias("rep"), F.first("s1").alias("s1"), F.first("s2").alias("s2"), F.first("keys").alias("keys")), "shingle-sets")
-    session = docs.sparkSession
-    partitions = int(max(1, min(int(session.conf.get("spark.sql.shuffle.partitions")) * 4, reps.count() * TREES // 2000)))
-    pairs = stored(candidates(reps, partitions), "candidates")
-    labels = link_components(pairs, texts.filter("doc_id is not null"), percent)
-    known = reps.select("fp1", "fp2", "n_shingles", "rep")
-    rooted = known.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("fp1", "fp2", "n_shingles", F.coalesce("root", "rep").alias("root"))
+                  .agg(F.min("doc_id").alias("rep"), *(F.first(c).alias(c) for c in (*SKETCH, "keys"))), "shingle-sets")
+    every = texts.filter("doc_id is not null")
+    # a large group of near copies comes together by direct neighbours; all orders then pair it with what is outside only
+    labels = link_components(candidates(reps.withColumn("root", F.col("rep")), FIRST, 1), every, percent)
+    reps = stored(_move(reps.withColumn("root", F.col("rep")), "root", labels.select(F.col("node").alias("hi"), F.col("root").alias("lo"))), "linked-sets")
+    labels = link_components(candidates(reps), every, percent)
+    rooted = _move(reps, "root", labels.select(F.col("node").alias("hi"), F.col("root").alias("lo"))).select("fp1", "fp2", "n_shingles", "root")
     own = members.select("doc_id", "n_shingles", "fp1", "fp2")
     found = own.join(rooted, ["fp1", "fp2", "n_shingles"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id"))
