@@ -72,6 +72,19 @@ def test_neighbours_across_ranges_of_the_sort(spark):
     assert {r.doc_id: r.component_id for r in got} == components_by_hand(list(enumerate(texts)))
 
 
+def test_links_inside_a_crowd_and_into_a_group_of_near_copies(spark):
+    words = lambda name, n: [f"{name}x{k}" for k in range(n)]
+    passage, base = words("p", 100), words("w", 140)
+    crowd = [[*passage, *words(f"u{i}", 20)] for i in range(1500)]  # 96 of 136 shingles: 0.71
+    for i in range(75):  # 100 of 132: 0.758
+        crowd[1499 - i][100:104] = crowd[i][100:104]
+    copies = [[*base, *words(f"e{i}", 5)] for i in range(200)]
+    outside = [[*words(f"o{i}", 20), *base[20:], *words(f"e{i * 10}", 5)] for i in range(20)]  # 121 of 161 to one copy, 116 of 166 to the others
+    texts = [" ".join(w) for w in [*crowd, *copies, *outside]]
+    got = {r.doc_id: r.component_id for r in lsh_forest.near_duplicates(docs_of(spark, texts)).collect()}
+    assert got == {i: 1500 if i >= 1500 else min(i, 1499 - i) if i >= 1425 else i for i in range(len(texts))}
+
+
 def test_near_duplicate_edges(spark):
     docs = edge_docs(spark)
     got = sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in lsh_forest.near_duplicates(docs).collect()), key=str)

@@ -22,6 +22,7 @@ MAYBE, STRONG = 85, 115
 SKETCH = ("s1", "s2", "s3", "s4")
 _EVEN = np.uint64(0x5555555555555555)
 PICK_ROUNDS = 3
+BUCKETS = 1 << 18  # counters of shingle frequencies in crowds
 
 _U = np.uint64
 with np.errstate(over="ignore"):
@@ -146,6 +147,18 @@ def near_pairs(rows: dict[str, np.ndarray], width: int = NEIGHBOURS) -> tuple[np
     return np.concatenate(left or none), np.concatenate(right or none), np.concatenate(same or none)
 
 
+def crowded(rows: dict[str, np.ndarray], width: int) -> np.ndarray:
+    """The rows of a sorted order that stand in a longer run of one first key than ``width``: not all of their pairs are neighbours."""
+    n = len(rows["rep"])
+    if n <= width:
+        return np.zeros(0, dtype=np.int64)
+    far = (rows["k1"][:-width] == rows["k1"][width:]) & (rows["tree"][:-width] == rows["tree"][width:])
+    begins, after = np.zeros(n + 1, dtype=np.int64), np.flatnonzero(far)
+    np.add.at(begins, after, 1)
+    np.add.at(begins, after + width + 1, -1)
+    return np.flatnonzero(np.cumsum(begins[:-1]) > 0)
+
+
 _COLS = ("tree", "k1", "k2", *SKETCH, "rep", "root")
 _PAIR = ("a", "b", "same", "ra", "rb")
 _OUT = "border int, place long, tree int, " + ", ".join(f"{c} long" for c in (*_COLS[1:], *_PAIR))
@@ -167,12 +180,22 @@ def _pairs(rows: dict[str, np.ndarray], left: np.ndarray, right: np.ndarray, sam
     return {"a": rows["rep"][x], "b": rows["rep"][y], "same": same, "ra": rows["root"][x], "rb": rows["root"][y]}
 
 
+def _with_crowd(pairs: dict[str, np.ndarray], rows: dict[str, np.ndarray], width: int) -> dict[str, np.ndarray]:
+    """``pairs``, and each crowded row once as a pair of itself. Direct neighbours alone (``width`` 1) have no such rows."""
+    if width < 2:
+        return pairs
+    own = np.unique(rows["rep"][crowded(rows, width)])
+    more = {"a": own, "b": own, "same": np.zeros_like(own), "ra": own, "rb": own}
+    return {c: np.concatenate([pairs[c], more[c]]) for c in _PAIR}
+
+
 def _pair_rows(rows: dict[str, np.ndarray], fresh_from: int, width: int) -> pa.RecordBatch:
     """Pairs with the right row at ``fresh_from`` or later: earlier ones were sent with the batch before."""
     left, right, same = near_pairs(rows, width)
     new = right >= fresh_from
-    zero = np.zeros(int(new.sum()), dtype=np.int64)
-    return _emit(zero, zero, None, _pairs(rows, left[new], right[new], same[new]))
+    pairs = _with_crowd(_pairs(rows, left[new], right[new], same[new]), rows, width)
+    zero = np.zeros(len(pairs["a"]), dtype=np.int64)
+    return _emit(zero, zero, None, pairs)
 
 
 def _neighbours(width: int):
@@ -206,12 +229,13 @@ def _across(width: int):
         own = {c: rows[c].to_numpy() for c in _COLS}
         left, right, same = near_pairs(own, width)
         cross = (left < tail) & (right >= tail)
-        return pd.DataFrame(_pairs(own, left[cross], right[cross], same[cross]))
+        return pd.DataFrame(_with_crowd(_pairs(own, left[cross], right[cross], same[cross]), own, width))
     return run
 
 
-def candidates(reps: DataFrame, trees: int = TREES, width: int = NEIGHBOURS) -> DataFrame:
-    """Distinct pairs (a < b) of different ``root`` at most ``width`` apart in one of the first ``trees`` orders, with the number of hash values equal in the sketch."""
+def candidates(reps: DataFrame, trees: int = TREES, width: int = NEIGHBOURS) -> tuple[DataFrame, DataFrame]:
+    """Distinct pairs (a < b) of different ``root`` at most ``width`` apart in one of the first ``trees`` orders, with the number of
+    hash values equal in the sketch; and the ids (rep) of rows in a crowd, whose pairs are not all among them."""
     session = reps.sparkSession
     most = int(session.conf.get("spark.sql.shuffle.partitions")) * 4
     partitions = int(max(1, min(most, reps.count() * trees // 2000)))
@@ -221,7 +245,64 @@ def candidates(reps: DataFrame, trees: int = TREES, width: int = NEIGHBOURS) ->
     found = stored(orders.repartitionByRange(partitions, *by).sortWithinPartitions(*by).mapInArrow(_neighbours(width), _OUT), "neighbours")
     within = found.filter("border = 0").select(*_PAIR)
     across = found.filter("border > 0").select("border", "place", *_COLS).groupBy("place").applyInPandas(_across(width), ", ".join(f"{c} long" for c in _PAIR))
-    return within.unionByName(across).filter("a < b").groupBy("a", "b", "ra", "rb").agg(F.max("same").alias("same"))
+    both = within.unionByName(across)
+    pairs = both.filter("a < b").groupBy("a", "b", "ra", "rb").agg(F.max("same").alias("same"))
+    return pairs, both.filter("a = b").select(F.col("a").alias("rep")).distinct()
+
+
+def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for part in slices(batches, ("text",), 4 << 20):
+        sets = [shingle_set(t) for t in part.column("text").to_pylist()]
+        which, times = np.unique(np.concatenate(sets) % _U(BUCKETS), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(which.astype(np.int64)), pa.array(times.astype(np.int64))], ["bucket", "times"])
+
+
+def prefix_of(shingles: np.ndarray, times: np.ndarray, percent: int) -> np.ndarray:
+    """The shingles of which a link shares at least one, rarest first: all but the last ceil(``percent`` / 100 of them) - 1."""
+    order = np.lexsort((shingles, times[shingles % _U(BUCKETS)]))
+    return shingles[order[:len(shingles) + 1 - -(-percent * len(shingles) // 100)]]
+
+
+def _postings(times_of, percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        times = times_of.value
+        for part in slices(batches, ("text",), 1 << 20):
+            sets = [shingle_set(t) for t in part.column("text").to_pylist()]
+            firsts = [prefix_of(s, times, percent) if len(s) else s for s in sets]
+            sizes = np.array([len(f) for f in firsts], dtype=np.int64)
+            at = np.repeat(np.arange(len(sets)), sizes)
+            pos = np.arange(len(at)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            n = np.array([len(s) for s in sets], dtype=np.int64)[at]
+            token = np.concatenate(firsts).view(np.int64)
+            take = pa.array(at)
+            yield pa.RecordBatch.from_arrays([pa.array(token), part.column("rep").take(take), part.column("root").take(take), pa.array(n), pa.array(n - pos)], ["token", "rep", "root", "n", "left"])
+    return run
+
+
+def crowd_pairs(crowd: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a < b, same, ra, rb) of different ``root`` within ``crowd`` (rep, root): every link is among them.
+
+    A join on the shingles at the front of each set in one order, rare ones first. If the first shingle that two sets share has l and
+    m shingles left in them (itself included), they share at most min(l, m), so a link has (100 + percent) * min(l, m) >= percent * (size + size).
+    For sets that share a passage and little else, this holds for its shingles just where they are links. The order only has to
+    be the same everywhere: frequencies are counted in ``BUCKETS`` buckets by hash, which is all that is broadcast.
+    """
+    ids = crowd.hint("merge")
+    own = stored(texts.withColumnRenamed("doc_id", "rep").join(ids, "rep").select("rep", "root", "text"), "crowd-texts")
+    times = np.zeros(BUCKETS, dtype=np.int64)
+    counted = own.mapInArrow(_buckets, "bucket long, times long").groupBy("bucket").agg(F.sum("times").alias("times")).filter("times > 1").toArrow()
+    times[counted.column("bucket").to_numpy()] = counted.column("times").to_numpy()
+    shared = own.sparkSession.sparkContext.broadcast(times)
+    posted = stored(own.mapInArrow(_postings(shared, percent), "token long, rep long, root long, n long, left long"), "crowd-shingles")
+    # the lesser set of a pair shares a shingle that leaves at least 2 * percent / (100 + percent) of it
+    x = posted.filter(F.col("left") * (100 + percent) >= F.col("n") * (2 * percent)).alias("x")
+    y = posted.alias("y")
+    fits = ((F.col("x.token") == F.col("y.token")) & (F.col("x.root") != F.col("y.root")) & ((F.col("x.n") < F.col("y.n")) | (F.col("x.n") == F.col("y.n")) & (F.col("x.rep") < F.col("y.rep")))
+            & (F.least("x.left", "y.left") * (100 + percent) >= (F.col("x.n") + F.col("y.n")) * percent))
+    turn = F.col("x.rep") < F.col("y.rep")
+    pick = lambda c, d, name: F.when(turn, F.col(c)).otherwise(F.col(d)).alias(name)
+    found = x.join(y.hint("merge"), fits).select(pick("x.rep", "y.rep", "a"), pick("y.rep", "x.rep", "b"), pick("x.root", "y.root", "ra"), pick("y.root", "x.root", "rb"))
+    return found.distinct().withColumn("same", F.lit(MAYBE).cast("long"))
 
 
 def is_link(x: np.ndarray, y: np.ndarray, percent: int = 75) -> bool:
@@ -309,7 +390,9 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
     Scale: equal sets collapse to their least id before anything else (map-side), so groups of exact copies cost one
     row. The orders are sorted as ranges of rows with distinct keys, so that no crowded region meets in one task, and
     pairs across two ranges come from their border rows. The least similarity that matters, 0.75, is a neighbour
-    in one of 32 orders with a chance of 1 - (1 - 0.75^4)^32 = 0.999995. Texts are read again for pairs to confirm only.
+    in one of 32 orders with a chance of 1 - (1 - 0.75^4)^32 = 0.999995. Documents in a region more crowded than the
+    neighbours looked at are joined on their rare shingles (``crowd_pairs``), so that no pair there depends on its place. Texts are read
+    again for these and for pairs to confirm only.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     members = stored(texts.mapInArrow(_describe, "doc_id long, n_shingles long, fp1 long, fp2 long, s1 long, s2 long, s3 long, s4 long, keys array<long>"), "shingles")
@@ -317,9 +400,13 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
                   .agg(F.min("doc_id").alias("rep"), *(F.first(c).alias(c) for c in (*SKETCH, "keys"))), "shingle-sets")
     every = texts.filter("doc_id is not null")
     # a large group of near copies comes together by direct neighbours; all orders then pair it with what is outside only
-    labels = link_components(candidates(reps.withColumn("root", F.col("rep")), FIRST, 1), every, percent)
+    labels = link_components(candidates(reps.withColumn("root", F.col("rep")), FIRST, 1)[0], every, percent)
     reps = stored(_move(reps.withColumn("root", F.col("rep")), "root", labels.select(F.col("node").alias("hi"), F.col("root").alias("lo"))), "linked-sets")
-    labels = link_components(candidates(reps), every, percent)
+    pairs, crowd = candidates(reps)
+    labels = link_components(pairs, every, percent)
+    reps = stored(_move(reps, "root", labels.select(F.col("node").alias("hi"), F.col("root").alias("lo"))).drop(*SKETCH, "keys"), "searched-sets")
+    crowd = stored(reps.join(crowd, "rep", "left_semi").select("rep", "root").distinct(), "crowd")
+    labels = link_components(crowd_pairs(crowd, every, percent), every, percent)
     rooted = _move(reps, "root", labels.select(F.col("node").alias("hi"), F.col("root").alias("lo"))).select("fp1", "fp2", "n_shingles", "root")
     own = members.select("doc_id", "n_shingles", "fp1", "fp2")
     found = own.join(rooted, ["fp1", "fp2", "n_shingles"], "left")
