@@ -37,6 +37,23 @@ def test_template_finds_an_unnamed_main_slot_and_drops_constant_slots(spark):
     assert all(got[i] == f"{p}\n{p[::-1]}" for i, p in enumerate(prose))
 
 
+def test_nothing_beside_the_largest_slot_is_lost(spark):
+    words = lambda name, i, n: " ".join(f"{name}{i}x{k}" for k in range(n + i % 3))
+    nested = "<html><body><div id=c1><span>Always the same</span></div><div class=content><div class=intro><p>{a}</p></div><div class=text><p>{b}</p></div></div><ul><li><a href=x>{c}</a></li></ul></body></html>"
+    split = "<html><body><article class=first><p>{b}</p></article><div><article class=second><p>{a}</p></article></div><ul><li><a href=x>{c}</a></li></ul></body></html>"
+    rows, want = [], {}
+    for i in range(8):
+        a, b, c = words("a", i, 6), words("b", i, 40), f"link {i}"
+        for k, (page, text) in enumerate(((nested, f"{a}\n{b}"), (split, f"{b}\n{a}"))):
+            for host in (f"h{k}.example.org", f"alone{i}x{k}.example.org"):  # by the template, and by the page alone
+                want[len(rows)] = text
+                rows.append((len(rows), f"https://{host}/{i}", page.format(a=a, b=b, c=c)))
+    got = {r.page_id: r.text for r in html_template.main_texts(frame(spark, rows)).collect()}
+    for i, text in want.items():
+        alone = rows[i][1].startswith("https://alone") and "class=content" in rows[i][2]  # a page alone does not show what is constant
+        assert set(text.split("\n")) <= set(got[i].split("\n")) if alone else got[i] == text, rows[i]
+
+
 def test_equal_vectors_form_classes():
     token = lambda name, place, times, vector, **more: {"name": name, "pages": 5, "times": times, "vector": vector, "place": place, "mass": 0, "link": 0, "same": False} | more
     found = html_template.deduce([token("", -1, 5, 1), token("a", 0, 5, 1, mass=9), token("a/b", 1, 5, 1, mass=8), token("a/c", 2, 12, 7), token("a/c/d", 3, 12, 7), token("a/e", 4, 6, 9)], 5)

@@ -2,7 +2,8 @@
 
 Tokens are elements told apart by their path, class and id. Tokens that share an occurrence vector over a host's pages
 form an equivalence class; large frequent classes, nested by path and in the same order on a page, are the template.
-Text stands in the slots that the template leaves; the main slot is the one that holds most of it.
+Text stands in the slots that the template leaves; the main container is an article or main element, with others beside it, or
+else the lowest element that holds all of them.
 """
 
 from __future__ import annotations
@@ -192,18 +193,56 @@ def deduce(tokens: list[dict], pages: int) -> Template:
     skeleton = [t for c in large for t in c if t["name"] and t["times"] == t["pages"]]
     root_changes = any(t["name"] == "" and not t["same"] for t in tokens)
     constant = {t["name"] for t in tokens if root_changes and t["same"] and t["pages"] >= 4 and t["name"]}
-    return Template([(n, i) for _, n, i in order if n], _containers(skeleton), constant)
+    return Template([(n, i) for _, n, i in order if n], _containers(skeleton, tokens, constant, pages), constant)
 
 
-def _containers(tokens: list[dict]) -> list[str]:
-    """Names of containers of main text, the best first: semantic ones by the text they hold, then the deepest that holds nearly all."""
+def _tag(name: str) -> str:
+    return re.split(r"[.#]", name.rsplit("/", 1)[-1])[0]
+
+
+def _apart(a: str, b: str) -> bool:
+    """Whether neither of two paths lies in the other."""
+    return not f"{a}/".startswith(f"{b}/") and not f"{b}/".startswith(f"{a}/")
+
+
+def _containers(skeleton: list[dict], tokens: list[dict], constant: set[str], pages: int = 1) -> list[str]:
+    """Names of containers of main text, the best first: semantic ones by the text they hold, then the lowest that holds every slot,
+    and those around it. "" is the page.
+
+    A slot is an element with text of its own, a character a page or more, that is not constant and not mostly links.
+    """
     def worth(t: dict) -> float:
         return t["mass"] - 2 * t["link"]
-    tag = lambda t: re.split(r"[.#]", t["name"].rsplit("/", 1)[-1])[0]
-    holders = sorted((t for t in tokens if tag(t) in HOLDERS and worth(t) > 0), key=lambda t: (-worth(t), -len(t["name"])))
-    most = max(map(worth, tokens), default=0)
-    deep = sorted((t for t in tokens if worth(t) > 0 and worth(t) >= 0.8 * most and tag(t) not in PROSE), key=lambda t: (-t["name"].count("/"), -worth(t)))
-    return [t["name"] for t in [*holders, *deep]]
+    holders = sorted((t for t in skeleton if _tag(t["name"]) in HOLDERS and worth(t) > 0), key=lambda t: (-worth(t), -len(t["name"])))
+    own = {t["name"]: [t["mass"], t["link"]] for t in tokens}
+    for t in tokens:
+        outer = t["name"].rpartition("/")[0]
+        if t["name"] and outer in own:
+            own[outer][0] -= t["mass"]
+            own[outer][1] -= t["link"]
+    slots = [n.split("/") if n else [] for n, (mass, link) in own.items() if mass >= pages and mass > 2 * link and n not in constant]
+    if not slots:
+        return [t["name"] for t in holders]
+    low, high = min(slots), max(slots)
+    common = next((i for i, (x, y) in enumerate(zip(low, high)) if x != y), min(len(low), len(high)))
+    known = {t["name"] for t in skeleton if _tag(t["name"]) not in PROSE}
+    around = ["/".join(low[:i]) for i in range(common, 0, -1)]
+    return [t["name"] for t in holders] + [n for n in around if n in known] + [""]
+
+
+def _holders_beside(page: Page, main: str, constant: set[str]) -> list[str]:
+    """The other holders of text on a page whose main container is a holder: an article may be split over several."""
+    if _tag(main) not in HOLDERS:
+        return []
+    held: dict[str, int] = {}
+    for run in page.runs:
+        if run.aside or not run.text.strip():
+            continue
+        first = next((i for i, key in enumerate(run.path) if _tag(key) in HOLDERS and _apart(name_of(run.path[:i + 1]), main)), None)
+        if first is not None:
+            name = name_of(run.path[:first + 1])
+            held[name] = held.get(name, 0) + len(run.text.strip()) * (-1 if run.link else 1)
+    return [n for n, size in held.items() if size > 0 and n not in constant]
 
 
 def extract(html: str | None, template: Template | None) -> str:
@@ -215,14 +254,14 @@ def extract(html: str | None, template: Template | None) -> str:
     if template:
         opened = {name_of(p): seen for p, seen in page.opened.items()}
         valid = _valid(template, opened)
-        main = next((n for n in template.main if n in opened and n in valid), None)
+        main = next((n for n in template.main if not n or n in opened and n in valid), None)
         constant = {n for n in template.constant if n in valid}
     if main is None:
-        tokens = [dict(zip(("name", "times", "place", "mass", "link", "hash"), t)) for t in tokens_of(page) if t[0]]
-        best = _containers(tokens)
+        tokens = [dict(zip(("name", "times", "place", "mass", "link", "hash"), t)) for t in tokens_of(page)]
+        best = _containers(tokens, tokens, set())
         main = best[0] if best else ""
-    text = _slots(page, main, constant)
-    return text or (_slots(page, "", constant) if main else "")
+    text = _slots(page, [main, *_holders_beside(page, main, constant)], constant)
+    return text or (_slots(page, [""], constant) if main else "")
 
 
 def _valid(template: Template, opened: dict[str, list[int]]) -> set[str]:
@@ -234,14 +273,14 @@ def _valid(template: Template, opened: dict[str, list[int]]) -> set[str]:
     return {n for own in by_class.values() if all(a[1] < b[1] for a, b in zip(own, own[1:])) for n, _ in own}
 
 
-def _slots(page: Page, main: str, constant: set[str]) -> str:
-    """The text in the main container without asides and without slots that never change, a line for each block."""
-    depth = main.count("/") + 1 if main else 0
+def _slots(page: Page, mains: list[str], constant: set[str]) -> str:
+    """The text in the main containers without asides and without slots that never change, a line for each block."""
+    depths = [(main, main.count("/") + 1 if main else 0) for main in mains]
     blocks: dict[int, list[str]] = {}
     for run in page.runs:
-        if run.aside or depth and name_of(run.path[:depth]) != main:
+        if run.aside or not any(not depth or name_of(run.path[:depth]) == main for main, depth in depths):
             continue
-        if constant and not (run.prose and depth) and name_of(run.path) in constant:
+        if constant and not (run.prose and mains[0]) and name_of(run.path) in constant:
             continue
         blocks.setdefault(run.block, []).append(run.text)
     lines = (" ".join("".join(parts).split()) for parts in blocks.values())
