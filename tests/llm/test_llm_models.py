@@ -92,6 +92,25 @@ def test_trees_add_what_looks_alike_and_leave_other_digits_alone(spark):
     assert all(x[1] == 0 for x in added(at))  # if anything, an address
 
 
+def test_spans_in_other_forms_are_added(spark):
+    rng = np.random.default_rng(4)
+    digits = lambda n: "".join(map(str, rng.integers(0, 10, n)))
+
+    def card():
+        front = digits(15)
+        return next(front + d for d in "0123456789" if luhn(front + d))
+
+    fours = lambda d, sign: sign.join(d[k:k + 4] for k in range(0, 16, 4))
+    texts = [f"mail to user{i}@host{i}.example.com today" for i in range(160)] + [f"paid by card {fours(card(), ' ')} today" for _ in range(160)]
+    texts += [f"order {digits(3)} {digits(3)} {digits(4)} was {digits(2)} units" for _ in range(160)]
+    good = card()
+    bad = good[:-1] + str((int(good[-1]) + 1) % 10)
+    extra = ["mail to someone [at] host7 [dot] com today", f"paid by card {fours(good, '.')} today", f"paid by card {fours(bad, '.')} today", "order 123 456 7890 was 11 units"]
+    got = {r.doc_id: r for r in pii_boost.find_personal(docs_of(spark, texts + extra)).collect()}
+    added = [[tuple(s) for s in got[len(texts) + k].spans if s not in got[len(texts) + k].base] for k in range(len(extra))]
+    assert added == [[(8, 0, 36)], [(13, 2, 32)], [], []]
+
+
 def test_personal_edges(spark):
     docs = edge_docs(spark)
     got = pii_boost.find_personal(docs).collect()
