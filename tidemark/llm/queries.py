@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, html_template, line_dedup, line_quality, lsh_forest, packing, pii_boost, quality_gam, secret_crf, url_rules
+from tidemark.llm import conversation_repair, decontaminate, html_template, line_dedup, line_quality, lsh_forest, mixture_packing, packing, pii_boost, quality_gam, secret_crf, url_rules, whitening
 from tidemark.llm.common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -82,3 +82,19 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_items(docs, items).select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(names, 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"))
+
+
+@query
+def op11_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture_packing.pack_mixture(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+@query
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair_report(table(spark, sf_dir, "conversations"))
+
+
+@query
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whitening.whiten(table(spark, sf_dir, "embeddings"))
+    return found.withColumn("deviation", F.col("deviation").cast("long"))
