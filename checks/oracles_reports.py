@@ -247,9 +247,32 @@ WHERE control <> 'revisions'""")  # nothing is stored yet that could have change
 
 EARLY, LATE_ON = "(SELECT prev FROM run_t)", "(SELECT d FROM run_t)"
 FROM_KEPT = f"SELECT instrument_id, date, close FROM kept_t WHERE date <= {EARLY}"
-STORE = {"market_data": "market_t WHERE date", "reference_prices": "refs_t WHERE date", "dividends": "divs_t WHERE ex_date", "positions": "positions_t WHERE as_of"}
+STORE = {"market_data": ("market_t", "date", "instrument_id, date, (round(close * 1e6, 0)::BIGINT)"), "reference_prices": ("refs_t", "date", "instrument_id, purpose, date, (round(value * 1e6, 0)::BIGINT)"),
+         "dividends": ("divs_t", "ex_date", "instrument_id, ex_date, (round(amount * 1e6, 0)::BIGINT)"), "positions": ("positions_t", "as_of", "instrument_id, as_of, quantity::BIGINT"),
+         "trades": ("trades_t", "trade_date", "instrument_id, trade_date, quantity::BIGINT"), "lineage": ("(SELECT DISTINCT fetch_id FROM market_t)", None, "fetch_id"),
+         "instruments": ("dim_t", None, "instrument_id, desk, currency")}
+
+
+def held(step: str, name: str, cut: str, more: str = "TRUE") -> str:
+    source, day, columns = STORE[name]
+    if name == "market_data" and step == "first day":
+        source = "kept_t"
+    where = f"{day} <= {cut}" if day else "TRUE"
+    return (f"SELECT '{step}' AS step, '{name}' AS stored, count(*) AS n, coalesce(sum(('0x' || substr(md5(concat_ws('|', {columns})), 1, 8))::BIGINT), 0)::BIGINT AS digest "
+            f"FROM {source} x WHERE {where} AND {more}")
+
+
+EMPTIED = "trade_date NOT BETWEEN DATE '1996-05-01' AND DATE '1996-05-31'"
 oracle("two_day_store", " UNION ALL ".join(
-    f"SELECT '{step}' AS step, '{name}' AS stored, count(*) AS n FROM {source if name != 'market_data' or step != 'first day' else 'kept_t WHERE date'} <= {cut}"
-    for step, cut in (("first day", EARLY), ("second day", LATE_ON), ("second day again", LATE_ON)) for name, source in STORE.items()) + f"""
-UNION ALL SELECT 'first day', 'revisions', 0 UNION ALL SELECT 'second day again', 'revisions', 0
-UNION ALL SELECT 'second day', 'revisions', count(*) FROM ({FROM_KEPT}) o JOIN market_t n USING (instrument_id, date) WHERE abs(n.close - o.close) > abs(o.close) * 0.1 / 100""")
+    [held(step, name, cut) for step, cut in (("first day", EARLY), ("second day", LATE_ON), ("second day again", LATE_ON)) for name in STORE]
+    + [held("a month empty", "trades", LATE_ON, EMPTIED)]) + f"""
+UNION ALL SELECT 'first day', 'revisions', 0, 0 UNION ALL SELECT 'second day again', 'revisions', 0, 0
+UNION ALL SELECT 'second day', 'revisions', count(*), 0 FROM ({FROM_KEPT}) o JOIN market_t n USING (instrument_id, date) WHERE abs(n.close - o.close) > abs(o.close) * 0.1 / 100""")
+oracle("changed_months", """
+SELECT strftime(date, '%Y%m')::INT AS month, count(*) AS n, sum(floor((close + (instrument_id = 'Brand#12' AND month(date) = 2)::INT) * 10000 + 0.5)::BIGINT)::BIGINT AS close FROM market_t GROUP BY 1
+HAVING bool_or(instrument_id = 'Brand#12' AND month(date) = 2)""")
+oracle("stored_range_replaced", f"""
+SELECT strftime(trade_date, '%Y%m')::INT AS month, count(*) AS n, sum(CASE WHEN trade_date <= DATE '1998-06-15' THEN 2 * quantity ELSE quantity END)::DOUBLE AS quantity
+FROM trades_t WHERE {EMPTIED} GROUP BY 1""")
+oracle("rerun_without_rows", f"SELECT 'run-2' AS run_id, method, measure, {M('value')} AS value FROM totals_t")
+oracle("backtest_carried", f"SELECT date, method, {M('var95')} AS var95, {M('var99')} AS var99, {M('pnl')} AS pnl FROM bt_t")

@@ -191,15 +191,17 @@ class DailyRun(StagedRun):
 
     @stage("values", "holdings")
     def book(self) -> DataFrame:
-        """(k, date, instrument_id, desk, quantity, unit_value, mv) of every market day.
+        """(k, date, instrument_id, desk, quantity, unit_value, mv) of every market day and instrument.
+
+        Each instrument is spread over the ordinals from the first on, so it has its days before its first price or trade too.
 
         A position without a price has a null value, and so has every sum over it: the day's profit, its
         forecast and its stress. An empty position is worth zero, priced or not.
         """
-        valued = self.values.select("ord", "instrument_id", "unit_value")
-        rows = (valued.join(self.holdings.select("ord", "instrument_id", "quantity"), ["ord", "instrument_id"], "full")
-                .withColumn("quantity", F.coalesce("quantity", F.lit(0.0)))
-                .join(self.days.select("ord", "date"), "ord").join(self.instruments.select("instrument_id", "desk"), "instrument_id"))
+        every = self.instruments.select("instrument_id", "desk", F.explode(F.sequence(F.lit(0), F.lit(self.k))).alias("ord"))
+        rows = (every.join(self.values.select("ord", "instrument_id", "unit_value"), ["ord", "instrument_id"], "left")
+                .join(self.holdings.select("ord", "instrument_id", "quantity"), ["ord", "instrument_id"], "left")
+                .withColumn("quantity", F.coalesce("quantity", F.lit(0.0))).join(self.days.select("ord", "date"), "ord"))
         return rows.select(F.col("ord").alias("k"), "date", "instrument_id", "desk", "quantity", "unit_value",
                            F.when(F.col("quantity") == 0, 0.0).otherwise(F.col("quantity") * F.col("unit_value")).alias("mv"))
 

@@ -19,7 +19,8 @@ from tidemark.plans.measures import MEASURES
 from tidemark.plans.queries import mm, query, ratio
 from tidemark.plans.study import Study, study_of
 from tidemark.session import shared_folder
-from tidemark.sources import files
+from tidemark.sources import files, tables
+from tidemark.sources.parts import PartedTable
 
 
 def _study(run: DailyRun) -> Study:
@@ -220,21 +221,98 @@ def daily_pipeline(run: DailyRun) -> DataFrame:
     return out.unionByName(pipeline.run_log(run.spark, done.store).select(F.lit("status").alias("stored"), F.col("status").alias("value")))
 
 
-@query
-def two_day_store(run: DailyRun) -> DataFrame:
-    """A day loaded from an early delivery, the next from the full one, and that one again; rows per stored table after each."""
-    store, out = shared_folder(run.spark, "two-days"), None
+#: A row of each stored table as text, in whole units, so that digests do not depend on how numbers are printed.
+ROW_TEXT = {
+    "market_data": "concat_ws('|', instrument_id, CAST(date AS STRING), CAST(CAST(floor(close * 1000000 + 0.5) AS BIGINT) AS STRING))",
+    "reference_prices": "concat_ws('|', instrument_id, purpose, CAST(date AS STRING), CAST(CAST(floor(value * 1000000 + 0.5) AS BIGINT) AS STRING))",
+    "dividends": "concat_ws('|', instrument_id, CAST(ex_date AS STRING), CAST(CAST(floor(amount * 1000000 + 0.5) AS BIGINT) AS STRING))",
+    "positions": "concat_ws('|', instrument_id, CAST(as_of AS STRING), CAST(CAST(quantity AS BIGINT) AS STRING))",
+    "trades": "concat_ws('|', instrument_id, CAST(trade_date AS STRING), CAST(CAST(quantity AS BIGINT) AS STRING))",
+    "lineage": "fetch_id",
+    "instruments": "concat_ws('|', instrument_id, desk, currency)",
+}
+
+
+def _early(run: DailyRun) -> DailyRun:
+    """The run of the day before, on what had arrived by then: the retained line items."""
     early = DailyRun(run.spark, run.sf_dir, run.cfg, as_of=str(run.previous))
     early._done |= {"marks": run.marks, "instruments": run.instruments, "all_days": run.all_days,
-                    "market": wh.market_data(run.marks, run.instruments, "kept").select(*run.market.columns)}  # what had arrived by then
-    for step, day in (("first day", early), ("second day", run), ("second day again", run)):
-        changed = pipeline.load(day, store)
-        frames = {name: run.spark.read.parquet(f"{store}/{name}") for name in ("market_data", "reference_prices", "dividends", "positions")} | {"revisions": changed}
-        for name, frame in frames.items():
-            n = frame.count()  # read now: the next step changes the table
-            row = run.spark.range(1).select(F.lit(step).alias("step"), F.lit(name).alias("stored"), F.lit(n).cast("long").alias("n"))
-            out = row if out is None else out.unionByName(row)
-    return out
+                    "market": wh.market_data(run.marks, run.instruments, "kept").select(*run.market.columns)}
+    return early
+
+
+def _digest(rows: DataFrame, text: str) -> tuple[int, int]:
+    """Rows, and a sum over hashes of them."""
+    found = rows.select(F.conv(F.substring(F.md5(F.expr(text)), 1, 8), 16, 10).cast("long").alias("h")).agg(F.count(F.lit(1)).alias("n"), F.sum("h").alias("h")).first()
+    return found["n"], found["h"] or 0
+
+
+EMPTIED = (dt.date(1996, 5, 1), dt.date(1996, 5, 31))
+
+
+@query
+def two_day_store(run: DailyRun) -> DataFrame:
+    """Rows and digest of every stored table after each step.
+
+    A day loaded from an early delivery, the next from the full one, that one again, and a book that has no trade in one month any more.
+    """
+    store, out = shared_folder(run.spark, "two-days"), []
+
+    def taken(step: str, names: tuple[str, ...], day: DailyRun) -> None:
+        out.extend((step, name, *_digest(pipeline.loaded_table(day, store, name).read(), ROW_TEXT[name])) for name in names)
+
+    for step, day in (("first day", _early(run)), ("second day", run), ("second day again", run)):
+        changed = pipeline.load(day, store).revisions
+        taken(step, tuple(ROW_TEXT), day)
+        out.append((step, "revisions", changed.count(), 0))
+    trades = pipeline.loaded_table(run, store, "trades")
+    trades.replace_range(trades.read().filter(~F.col("trade_date").between(*EMPTIED)), last=run.as_of)
+    taken("a month empty", ("trades",), run)
+    return run.spark.createDataFrame(out, "step string, stored string, n long, digest long")
+
+
+@query
+def changed_months(run: DailyRun) -> DataFrame:
+    """Of two deliveries of the same history, the months that a load reads and writes, found by digest alone."""
+    table = PartedTable(run.spark, shared_folder(run.spark, "months"), run.market.schema, ("instrument_id", "date"), "date")
+    table.upsert(run.market)
+    market = run.market.withColumn("close", F.when((F.col("instrument_id") == "Brand#12") & (F.month("date") == 2), F.col("close") + 1).otherwise(F.col("close")))
+    change = table.upsert(market)
+    months = run.spark.createDataFrame([(k,) for k in change.parts], "month int")
+    rows = table.read(change.parts).groupBy(F.date_format("date", "yyyyMM").cast("int").alias("month")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.floor(F.col("close") * 10_000 + 0.5)).alias("close"))
+    return months.join(rows, "month").select("month", "n", "close")
+
+
+@query
+def stored_range_replaced(run: DailyRun) -> DataFrame:
+    """A stored book replaced up to a day by one that has no trade in one month; what is left by month."""
+    cut = dt.date(1998, 6, 15)
+    table = PartedTable(run.spark, shared_folder(run.spark, "book"), run.trades.schema, ("trade_id",), "trade_date")
+    table.upsert(run.trades)
+    renewed = run.trades.filter((F.col("trade_date") <= F.lit(cut)) & ~F.col("trade_date").between(*EMPTIED)).withColumn("quantity", F.col("quantity") * 2)
+    table.replace_range(renewed, last=cut)
+    return table.read().groupBy(F.date_format("trade_date", "yyyyMM").cast("int").alias("month")).agg(F.count(F.lit(1)).alias("n"), F.sum("quantity").alias("quantity"))
+
+
+@query
+def rerun_without_rows(run: DailyRun) -> DataFrame:
+    """Results of two runs stored, then one of them again with no row: it has none afterwards, the other keeps its own."""
+    path = shared_folder(run.spark, "results")
+    for run_id in ("run-1", "run-2"):
+        tables.replace_rows(run.totals, path, as_of=run.as_of, run_id=run_id)
+    tables.replace_rows(run.totals.limit(0), path, as_of=run.as_of, run_id="run-1")
+    return run.spark.read.parquet(path).select("run_id", "method", "measure", mm("value").alias("value"))
+
+
+@query
+def backtest_carried(run: DailyRun) -> DataFrame:
+    """B1: the backtest of the day before stored, then only the newest day computed and added."""
+    store = shared_folder(run.spark, "carried")
+    before = DailyRun(run.spark, run.sf_dir, run.cfg, as_of=str(run.previous))
+    before._done |= {name: getattr(run, name) for name in ("marks", "instruments", "market", "references", "dividends", "all_days")}
+    for day in (before, run):
+        done = pipeline.carried_backtest(day, store, pipeline.load(day, store).changed_from)
+    return done.rows.select("date", "method", mm("var95").alias("var95"), mm("var99").alias("var99"), mm("pnl").alias("pnl"))
 
 
 # --- Filings (X1-X7, X19, X21) -----------------------------------------------------------------------

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -93,32 +95,20 @@ def read_stored(spark: SparkSession, path: str, schema: StructType) -> DataFrame
         return spark.createDataFrame([], schema)
 
 
-def merge_stored(incoming: DataFrame, path: str, keys: list[str], day: str, replace_to: Column | None = None) -> None:
-    """Upsert rows into a table stored by month of ``day``; only months in which something differs are written.
+def owned_folder(path: str, **owner: object) -> str:
+    """The folder of one owner's rows, as partition discovery reads it. Values are plain names or dates."""
+    for value in owner.values():
+        if not re.fullmatch(r"[A-Za-z0-9._-]+", str(value)):
+            raise ValueError(f"{value!r} cannot name a folder of stored rows")
+    return "/".join([path, *(f"{k}={v}" for k, v in owner.items())])
+
+
+def replace_rows(rows: DataFrame, path: str, **owner: object) -> None:
+    """Store the rows of one owner, for instance a date and a run; whatever it had stored before is gone, also if no row comes now.
 
-    With ``replace_to``, stored rows up to that day which do not come in again are dropped: the range is replaced.
+    The owner is given, not read from the rows, so an empty result replaces as well, and nothing of other owners is read or written.
     """
-    spark = incoming.sparkSession
-    new = incoming.withColumn("month", F.date_format(day, "yyyyMM").cast("int"))
-    held = read_stored(spark, path, new.schema)
-    differs = new.join(held, [new[c].eqNullSafe(held[c]) for c in new.columns], "left_anti").select("month")
-    kept = held
-    if replace_to is not None:
-        gone = (F.col(day) <= replace_to)
-        differs = differs.unionByName(held.filter(gone).join(new, keys, "left_anti").select("month"))
-        kept = held.filter(~gone)
-    touched = [r.month for r in differs.distinct().collect()]  # months, at most a few hundred
-    if touched:
-        inside = F.col("month").isin(touched)
-        write_table(upsert(kept.filter(inside), new.filter(inside), keys), path, partition="month")
-
-
-def replace_rows(rows: DataFrame, path: str, partition: str, owner: str) -> None:
-    """Store a run's rows; rows stored before under the same ``owner`` are replaced, within the partitions written."""
-    spark = rows.sparkSession
-    held = read_stored(spark, path, rows.schema).join(rows.select(partition).distinct(), partition, "left_semi")
-    others = held.join(rows.select(owner).distinct(), owner, "left_anti")
-    write_table(rows.unionByName(others.select(*rows.columns)), path, partition=partition)
+    rows.drop(*owner).write.mode("overwrite").parquet(owned_folder(path, **owner))
 
 
 def run_log(events: DataFrame) -> DataFrame:
