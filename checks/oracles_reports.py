@@ -49,6 +49,8 @@ oracle("csv_named_month_dates", "SELECT ticker, date, round(level, 6) AS close F
 oracle("csv_iso_dates", "SELECT ticker, date, round(level, 6) AS close FROM raw_t WHERE source = 'fed' AND date >= DATE '1996-07-01'")
 oracle("csv_long_dividends", "SELECT ticker, date, round(level, 6) AS close, round(dividend, 6) AS dividend FROM raw_t WHERE source = 'px'")
 oracle("csv_long_without_dividends", "SELECT ticker, count(*) AS n, 0.0::DOUBLE AS dividend FROM raw_t WHERE source = 'px' GROUP BY 1")
+oracle("csv_long_mixed_headers", """SELECT ticker, date, round(level, 6) AS close, round(level, 6) AS adj_close,
+  CASE WHEN date < DATE '1997-01-01' THEN 0.0::DOUBLE ELSE round(dividend, 6) END AS dividend FROM raw_t""")
 oracle("csv_two_level_header", "SELECT ticker, date, round(level, 6) AS close, round(dividend, 6) AS dividend FROM raw_t WHERE source = 'px'")
 oracle("raw_lineage", """
 SELECT '20010101T000000' AS stamp, source, 'unknown' AS request, count(*) FILTER (date < DATE '2000-01-01') AS n_rows, TRUE AS hashed, TRUE AS named FROM raw_t GROUP BY source
@@ -88,6 +90,7 @@ SELECT a.period_end, CASE WHEN a.c2 IS NULL THEN 'no_reference' WHEN p.c1 = a.c2
 FROM pairs_t a LEFT JOIN pairs_t p ON p.period_end = last_day(a.period_end - INTERVAL 3 MONTH) LEFT JOIN pairs_t y ON y.period_end = last_day(a.period_end - INTERVAL 12 MONTH)""")
 oracle("phrase_flag", "SELECT form, count(*) AS n, count(*) FILTER (year(period_end) % 2 = 0) AS states_95 FROM filing_t GROUP BY 1")
 oracle("filing_lineage", """SELECT f.accession, f.form, f.filed, count(p.accession) AS tables_parsed, TRUE AS hashed FROM filing_t f LEFT JOIN parsed_t p USING (accession) GROUP BY 1, 2, 3""")
+oracle("filing_lineage_export", """SELECT f.accession, f.form, f.filed, count(p.accession) AS tables_parsed, 64 AS hash_length FROM filing_t f LEFT JOIN parsed_t p USING (accession) GROUP BY 1, 2, 3""")
 oracle("filing_manifest", "SELECT accession, form, filed FROM filing_t WHERE filed >= DATE '1990-01-01'")
 oracle("missing_quarters", """
 SELECT period_end FROM dsc_t WHERE month(period_end) = 12 AND period_end > (SELECT min(period_end) FROM dsc_t WHERE month(period_end) <> 12)
@@ -198,7 +201,7 @@ MARTS = {
 }
 for _name, _sql in MARTS.items():
     oracle(f"mart_{_name}", _sql)
-oracle("export_counts", " UNION ALL ".join(f"SELECT '{n}' AS mart, count(*) AS n FROM ({s})" for n, s in MARTS.items()))
+oracle("export_counts", " UNION ALL ".join(f"SELECT '{n}' AS mart, count(*) AS n FROM ({s})" for n, s in (MARTS | {"filing_lineage": "SELECT * FROM filing_t"}).items()))
 oracle("export_round_trip", f"SELECT {RUN_D} AS date, method, measure, scope, scope_id, {M('value')} AS value FROM risk_t")
 
 # --- measures
@@ -214,6 +217,11 @@ oracle("measure_gross_exposure", f"SELECT {M('sum(abs(mv))')} AS value FROM {LAT
 oracle("measure_net_market_value", f"SELECT date, {M('sum(mv)')} AS value FROM posfact_t GROUP BY 1")
 oracle("measure_market_value_today", f"SELECT name, {M('sum(mv)')} AS value FROM (SELECT * FROM {LATEST}) JOIN dim_t USING (instrument_id) GROUP BY 1")
 oracle("measure_share_of_gross", f"SELECT desk, round(sum(abs(mv)) / (SELECT sum(abs(mv)) FROM {LATEST}), 6) AS value FROM (SELECT * FROM {LATEST}) JOIN dim_t USING (instrument_id) GROUP BY 1")
+oracle("measures_by_slice", f"""
+SELECT date, CASE WHEN gd = 1 THEN 'All' ELSE desk END AS desk, CASE WHEN ga = 1 THEN 'All' ELSE asset_class END AS asset_class, CASE WHEN gc = 1 THEN 'All' ELSE currency END AS currency,
+  {M('gross')} AS gross, {M('net')} AS net, round(gross / whole, 6) AS share_of_gross FROM (
+    SELECT date, desk, asset_class, currency, sum(abs(mv)) AS gross, sum(mv) AS net, grouping(desk) AS gd, grouping(asset_class) AS ga, grouping(currency) AS gc
+    FROM posfact_t JOIN dim_t USING (instrument_id) GROUP BY date, CUBE (desk, asset_class, currency)) JOIN (SELECT date, sum(abs(mv)) AS whole FROM posfact_t GROUP BY 1) USING (date)""")
 oracle("measure_scenario_pnl", f"SELECT scenario_name, {M('sum(pnl_base)')} AS value FROM scenario_t GROUP BY 1")
 oracle("measure_worst_point", f"SELECT scenario_name, {M('sum(worst_point_base)')} AS value FROM scenario_t GROUP BY 1")
 oracle("measure_worst_scenario", "SELECT scenario_name || ': ' || format('{:,.1f}', round(pnl_base / 1e6, 1)) || 'm' AS value FROM scenario_t ORDER BY pnl_base LIMIT 1")

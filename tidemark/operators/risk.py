@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -125,20 +127,32 @@ def diversification_benefit(desks: DataFrame, totals: DataFrame, primary: str) -
         "benefit", F.col("standalone") - F.col("total"))
 
 
-def ewma_covariance(returns: DataFrame, decay: float, blocks: int = 16) -> DataFrame:
+def _block_products(key: tuple, group: pa.Table) -> pa.Table:
+    """Products of two blocks of factors: one matrix product."""
+    ids, side, vectors = group.column("id").to_pylist(), group.column("side").to_numpy(), np.array(group.column("v").to_pylist())
+    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    product = vectors[left] @ vectors[right].T
+    rows, cols = np.divmod(np.arange(product.size), len(right))
+    a, b = np.array(ids, dtype=object)[left][rows], np.array(ids, dtype=object)[right][cols]
+    keep = (a <= b) if key[0].as_py() == key[1].as_py() else np.ones(len(a), dtype=bool)
+    turn = a > b
+    return pa.table({"a_id": pa.array(np.where(turn, b, a)[keep], pa.string()), "b_id": pa.array(np.where(turn, a, b)[keep], pa.string()), "cov": product.ravel()[keep]})
+
+
+def ewma_covariance(returns: DataFrame, decay: float, block: int = 512) -> DataFrame:
     """Zero-mean decaying covariance of factor pairs.
 
-    ``returns`` has s, instrument_id, r, age, n of complete scenario days. Each factor becomes one vector
-    over the window (bounded by its length) and is sent to the block pairs it takes part in, so the
-    join is by block pair and yields one row per matrix entry. The matrix is only built when it is asked
-    for; the parametric sigma uses the linear P&L per scenario instead.
+    ``returns`` has s, instrument_id, r, age, n of complete scenario days. Each factor becomes one vector over the window, weighted by
+    the root of the scenario's weight. Factors are dealt into blocks of about ``block``, as many as their number asks for; a task takes one
+    pair of blocks, two matrices of block x window numbers, and multiplies them whole. Both the work of a task and what it holds are
+    bounded for any number of factors. The matrix is only built when it is asked for; the parametric sigma uses the linear P&L per
+    scenario instead.
     """
     w = F.pow(F.lit(decay), F.col("age")) * (1 - decay) / (1 - F.pow(F.lit(decay), F.col("n")))
-    ordered = F.array_sort(F.collect_list(F.struct("s", "r", "wr")))
-    vectors = (returns.withColumn("wr", F.col("r") * w).groupBy("instrument_id").agg(ordered.alias("v"))
-               .withColumn("block", F.pmod(F.hash("instrument_id"), F.lit(blocks))))
-    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    a = vectors.select(F.col("instrument_id").alias("a_id"), F.col("v.wr").alias("a"), F.col("block").alias("ba"), every.alias("bb"))
-    b = vectors.select(F.col("instrument_id").alias("b_id"), F.col("v.r").alias("b"), F.col("block").alias("bb"), every.alias("ba"))
-    dot = F.aggregate(F.zip_with("a", "b", lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
-    return a.join(b, ["ba", "bb"]).filter(F.col("a_id") <= F.col("b_id")).select("a_id", "b_id", dot.alias("cov"))
+    blocks = max(1, -(-returns.select("instrument_id").distinct().count() // block))
+    ordered = F.array_sort(F.collect_list(F.struct("s", "wr")))
+    vectors = (returns.withColumn("wr", F.col("r") * F.sqrt(w)).groupBy("instrument_id").agg(ordered.alias("v"))
+               .select(F.col("instrument_id").alias("id"), F.col("v.wr").alias("v"), F.pmod(F.hash("instrument_id"), F.lit(blocks)).alias("own")))
+    left = vectors.select(F.col("own").alias("ba"), F.explode(F.sequence("own", F.lit(blocks - 1))).alias("bb"), "id", F.lit(0).alias("side"), "v")
+    right = vectors.select(F.explode(F.sequence(F.lit(0), "own")).alias("ba"), F.col("own").alias("bb"), "id", F.lit(1).alias("side"), "v")
+    return left.unionByName(right).groupBy("ba", "bb").applyInArrow(_block_products, "a_id string, b_id string, cov double")

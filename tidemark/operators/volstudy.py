@@ -7,12 +7,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
+from pyspark.sql import WindowSpec
 from pyspark.sql import functions as F
 
 from tidemark.config import StudyRules, normal_quantile
 from tidemark.functions import dates as D
 from tidemark.functions.stats import fisher_bound
 
+EXACT = "decimal(38,20)"  # of running sums
+
 
 def benchmark_panel(raw: DataFrame, categories: dict[str, str]) -> DataFrame:
     """(date, category, level): mean of duplicate quotes, tickers renamed."""
@@ -28,21 +31,37 @@ def daily_moves(levels: DataFrame, rules: StudyRules) -> DataFrame:
     return levels.select("date", "category", move.alias("move"))
 
 
+def running(rows: DataFrame, keys: list[str], order: str, **terms: Column) -> DataFrame:
+    """``rows`` with the running sum of each term over ``order``, exact: terms are decimals, so no error gathers and differences lose nothing.
+
+    A trailing window of any length is then the difference of two rows, found by a lag: the cost is linear in the rows.
+    """
+    along = W.partitionBy(*keys).orderBy(order)
+    return rows.select("*", *(F.sum(F.coalesce(term.cast(EXACT), F.lit(0).cast(EXACT))).over(along.rowsBetween(W.unboundedPreceding, 0)).alias(f"_{name}") for name, term in terms.items()))
+
+
+def over_last(name: str, n: int, along: WindowSpec) -> Column:
+    """The sum of a term of :func:`running` over the last ``n`` rows."""
+    total = F.col(f"_{name}")
+    return (total - F.coalesce(F.lag(total, n).over(along), F.lit(0).cast(EXACT))).cast("double")
+
+
 def trailing_vol(levels: DataFrame, rules: StudyRules) -> DataFrame:
     """(window, date, category, vol): trailing sample deviation per window.
 
-    Rows of the joint calendar count in the frame even where a series is missing; the minimum counts
+    Rows of the joint calendar count in the window even where a series is missing; the minimum counts
     real moves.
     """
     calendar = levels.select("date").distinct()
     dense = calendar.withColumn("category", F.explode(F.array(*[F.lit(c) for c in rules.categories])))
     rows = dense.join(daily_moves(levels, rules), ["date", "category"], "left")
-    out = []
+    x, along, out = F.col("move"), W.partitionBy("category").orderBy("date"), []
+    sums = running(rows, ["category"], "date", n=x.isNotNull().cast("int"), x=x, xx=x * x)
     for name, n in rules.windows:
-        frame = W.partitionBy("category").orderBy("date").rowsBetween(-(n - 1), 0)
-        enough = F.count("move").over(frame) >= int(n * rules.min_share)
-        out.append(F.struct(F.lit(name).alias("window"), F.when(enough, F.stddev_samp("move").over(frame)).alias("vol")))
-    wide = rows.select("date", "category", *[c.alias(f"v{i}") for i, c in enumerate(out)])
+        count, sx, sxx = (over_last(t, n, along) for t in ("n", "x", "xx"))
+        deviation = F.sqrt(F.greatest(F.try_divide(sxx - F.try_divide(sx * sx, count), count - 1), F.lit(0.0)))
+        out.append(F.struct(F.lit(name).alias("window"), F.when((count >= int(n * rules.min_share)) & (count > 1), deviation).alias("vol")))
+    wide = sums.select("date", "category", *[c.alias(f"v{i}") for i, c in enumerate(out)])
     long = wide.select("date", "category", F.explode(F.array(*[F.col(f"v{i}") for i in range(len(out))])).alias("v"))
     return long.select(F.col("v.window").alias("window"), "date", "category", F.col("v.vol").alias("vol"))
 
@@ -108,8 +127,11 @@ def rolling_correlation(levels: DataFrame, a: str, b: str, rules: StudyRules) ->
     order = W.orderBy("date")
     moves = wide.select("date", F.ln(F.col("a") / F.lag("a").over(order)).alias("x"), (F.lag("b").over(order) - F.col("b")).alias("y")).filter(
         "x is not null and y is not null")
-    frame = order.rowsBetween(-(rules.correlation_rows - 1), 0)
-    return moves.select("date", F.when(F.count("x").over(frame) >= rules.correlation_min_rows, F.corr("x", "y").over(frame)).alias("corr"))
+    x, y, n = F.col("x"), F.col("y"), rules.correlation_rows
+    sums = running(moves, [], "date", n=F.lit(1), x=x, y=y, xx=x * x, yy=y * y, xy=x * y)
+    count, sx, sy, sxx, syy, sxy = (over_last(t, n, order) for t in ("n", "x", "y", "xx", "yy", "xy"))
+    spread = F.sqrt(F.greatest(count * sxx - sx * sx, F.lit(0.0))) * F.sqrt(F.greatest(count * syy - sy * sy, F.lit(0.0)))
+    return sums.select("date", F.when(count >= rules.correlation_min_rows, F.try_divide(count * sxy - sx * sy, spread)).alias("corr"))
 
 
 def diversification(quarters: DataFrame, correlation: DataFrame, rules: StudyRules) -> DataFrame:

@@ -128,14 +128,20 @@ class Marts:
         wide = self.study.quarterly_vol.groupBy("window", "period_end").pivot("category", list(self.study.rules.categories)).agg(F.first("vol"))
         return wide.select("window", "period_end", *self.study.rules.categories)
 
+    @cached_property
+    def filing_lineage(self) -> DataFrame:
+        """Where every disclosed figure comes from: the landed document, its hash, and how many tables it gave."""
+        return X.filing_lineage(self.study.landed_filings, self.study.parsed)
+
     NAMES = ("dim_instrument", "dim_desk", "dim_method", "dim_scenario", "dim_date", "fact_position_daily", "fact_backtest", "fact_risk",
-             "fact_stress", "fact_var_explain", "fact_controls", "fact_disclosed_var", "fact_benchmark_vol")
+             "fact_stress", "fact_var_explain", "fact_controls", "fact_disclosed_var", "fact_benchmark_vol", "filing_lineage")
 
-    def export(self, folder: str) -> None:
-        """Write every mart as CSV, side by side."""
+    def export(self, folder: str) -> dict[str, int]:
+        """Write every mart as CSV, side by side; rows by mart, counted while writing, so that each mart is read once."""
         frames = [(name, getattr(self, name)) for name in self.NAMES]
         with ThreadPoolExecutor(6) as pool:
-            list(pool.map(lambda item: files.export_csv(item[1], f"{folder}/{item[0]}"), frames))
+            counts = list(pool.map(lambda item: files.export_csv(item[1], f"{folder}/{item[0]}"), frames))
+        return dict(zip(self.NAMES, counts))
 
     def load_exported(self, folder: str, name: str) -> DataFrame:
         """Read one exported mart with its own schema."""

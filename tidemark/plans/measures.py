@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions.stats import half_up
@@ -106,6 +107,21 @@ def share_of_gross(marts: Marts) -> DataFrame:
     return rows.groupBy("desk").agg(half_up(F.try_divide(F.sum(F.abs("market_value_base")), gross), 6).alias("value"))
 
 
+def slices(marts: Marts, dims: tuple[str, ...] = ("desk", "asset_class", "currency")) -> DataFrame:
+    """(date, dims, gross, net, share_of_gross) of every slice, ``All`` where a dimension is not filtered.
+
+    One pass: grouping sets over the position facts, aggregated before the shuffle. The share's denominator is the gross of its date with the
+    slice's own filters removed, which is the row of the same date in which no dimension is left.
+    """
+    rows = marts.fact_position_daily.join(marts.dim_instrument.select("instrument_id", *dims), "instrument_id")
+    sets = [["date", *(d for i, d in enumerate(dims) if mask >> i & 1)] for mask in range(1 << len(dims))]
+    totals = rows.groupingSets(sets, "date", *dims).agg(
+        F.sum(F.abs("market_value_base")).alias("gross"), F.sum("market_value_base").alias("net"), *(F.grouping(d).alias(f"_{d}") for d in dims))
+    whole = F.max(F.when(sum(F.col(f"_{d}") for d in dims) == len(dims), F.col("gross"))).over(W.partitionBy("date"))
+    return totals.select("date", *(F.when(F.col(f"_{d}") == 1, "All").otherwise(F.col(d)).alias(d) for d in dims), "gross", "net",
+                         F.try_divide(F.col("gross"), whole).alias("share_of_gross"))
+
+
 @measure
 def scenario_pnl(marts: Marts) -> DataFrame:
     """M11."""

@@ -15,7 +15,7 @@ from tidemark.plans import pipeline
 from tidemark.plans import warehouse as wh
 from tidemark.plans.daily import DailyRun
 from tidemark.plans.marts import Marts
-from tidemark.plans.measures import MEASURES
+from tidemark.plans.measures import MEASURES, slices
 from tidemark.plans.queries import mm, query, ratio
 from tidemark.plans.study import Study, study_of
 from tidemark.session import shared_folder
@@ -128,6 +128,17 @@ def csv_long_without_dividends(run: DailyRun) -> DataFrame:
     return files.read_long(run.spark, path).groupBy("ticker").agg(F.count(F.lit(1)).alias("n"), F.sum("dividend").alias("dividend"))
 
 
+@query
+def csv_long_mixed_headers(run: DailyRun) -> DataFrame:
+    """S3: files of every source in one folder, old ones without dividends and some with their columns in another order."""
+    path = shared_folder(run.spark, "long-mixed")
+    old, new = F.col("date") < "1997-01-01", F.col("date") >= "1999-01-01"
+    for keep, columns in ((old, ("ticker", "date", "close", "adj_close")), (~old & ~new, ("ticker", "date", "close", "adj_close", "dividend")), (new, ("date", "dividend", "ticker", "adj_close", "close"))):
+        run.raw.filter(keep).select(*columns).write.mode("append").option("header", True).csv(path)
+    rows = files.read_long(run.spark, path)
+    return rows.select("ticker", "date", ratio("close").alias("close"), ratio("adj_close").alias("adj_close"), ratio("dividend").alias("dividend"))
+
+
 @query
 def csv_two_level_header(run: DailyRun) -> DataFrame:
     """S4: 'measure|ticker' columns stacked."""
@@ -190,14 +201,25 @@ def filing_manifest(run: DailyRun) -> DataFrame:
 
 @query
 def export_counts(run: DailyRun) -> DataFrame:
-    """Every mart exported, loaded again with its types, and counted."""
+    """Every mart exported, and its rows as counted by the write itself."""
+    counts = _marts(run).export(shared_folder(run.spark, "export"))
+    return run.spark.createDataFrame(list(counts.items()), "mart string, n long")
+
+
+@query
+def filing_lineage_export(run: DailyRun) -> DataFrame:
+    """The lineage of filings after export and typed load."""
     marts, folder = _marts(run), shared_folder(run.spark, "export")
-    marts.export(folder)
-    out = None
-    for name in Marts.NAMES:
-        one = marts.load_exported(folder, name).agg(F.lit(name).alias("mart"), F.count(F.lit(1)).alias("n"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    files.export_csv(marts.filing_lineage, f"{folder}/filing_lineage")
+    rows = marts.load_exported(folder, "filing_lineage")
+    return rows.select("accession", "form", "filed", "tables_parsed", F.length("sha256").alias("hash_length"))
+
+
+@query
+def measures_by_slice(run: DailyRun) -> DataFrame:
+    """Gross, net and share of gross for every date and every slice of desk, asset class and currency, from one pass."""
+    rows = slices(_marts(run))
+    return rows.select("date", "desk", "asset_class", "currency", mm("gross").alias("gross"), mm("net").alias("net"), ratio("share_of_gross").alias("share_of_gross"))
 
 
 @query
@@ -487,7 +509,8 @@ def _mart(name: str) -> None:
 
 
 for _name in Marts.NAMES:
-    _mart(_name)
+    if _name != "filing_lineage":  # filing_lineage_export
+        _mart(_name)
 
 
 # --- Measures (M1-M31) -------------------------------------------------------------------------------

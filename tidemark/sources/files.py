@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import hashlib
+from collections.abc import Iterator
+from urllib.parse import unquote
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import all_matches, strip_markup
@@ -45,13 +50,41 @@ def read_wide_iso(spark: SparkSession, path: str, start: str | None = None) -> D
     return long if start is None else long.filter(F.col("date") >= F.lit(start).cast("date"))
 
 
+def header_groups(spark: SparkSession, path: str | list[str], wanted: tuple[str, ...] = ("ticker", "date", "close"), glob: str = "*.csv") -> dict[str, list[str]]:
+    """Files by their header line: the line that names all ``wanted`` columns. A file without one fails.
+
+    One scan of the files as text, filtered as it goes; of each file one line comes back.
+    """
+    lines = (spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(path)
+             .select(F.col("_metadata.file_path").alias("file"), F.regexp_replace("value", "^\ufeff|[\"\r]", "").alias("line")))
+    names = F.transform(F.split("line", ","), F.trim)
+    found = lines.groupBy("file").agg(F.max(F.when(F.size(F.array_except(F.array(*map(F.lit, wanted)), names)) == 0, F.col("line"))).alias("header"))
+    groups: dict[str, list[str]] = {}
+    for r in found.collect():  # one row per file, whose names the driver lists to read them anyway
+        if r["header"] is None:
+            raise ValueError(f"no header with {', '.join(wanted)} in {r['file']}")
+        groups.setdefault(r["header"], []).append(unquote(r["file"]))
+    return groups
+
+
 def read_long(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Long CSV; the dividend column may be absent, a missing dividend is zero (S3)."""
-    raw = _csv(spark, path)
+    """Long CSV; the dividend column may be absent, a missing dividend is zero (S3).
+
+    Files of one read may differ in their columns and in the order of these: they are grouped by header, each group is one scan.
+    """
+    out = None
+    for _, files in sorted(header_groups(spark, path).items()):
+        one = _parse_long(_csv(spark, sorted(files)))
+        out = one if out is None else out.unionByName(one)
+    return spark.createDataFrame([], "ticker string, date date, close double, adj_close double, dividend double") if out is None else out
+
+
+def _parse_long(raw: DataFrame) -> DataFrame:
+    raw = raw.toDF(*(c.strip().lstrip("\ufeff") for c in raw.columns))
     paid = F.col("dividend").try_cast("double") if "dividend" in raw.columns else F.lit(None).cast("double")
     close = F.col("close").try_cast("double")
-    return (raw.select("ticker", F.to_date("date").alias("date"), close.alias("close"),
-                       F.col("adj_close").try_cast("double").alias("adj_close"), F.coalesce(paid, F.lit(0.0)).alias("dividend"))
+    adjusted = F.col("adj_close").try_cast("double") if "adj_close" in raw.columns else close
+    return (raw.select("ticker", F.to_date("date").alias("date"), close.alias("close"), adjusted.alias("adj_close"), F.coalesce(paid, F.lit(0.0)).alias("dividend"))
             .filter(F.col("close").isNotNull() & ~F.isnan("close")))
 
 
@@ -87,13 +120,64 @@ def newest_files(names: DataFrame, root: str, expected: list[str]) -> DataFrame:
         "source", F.concat(F.lit(root), F.lit("/"), F.coalesce("stamp", none), F.lit("/"), F.col("source"), F.lit(".csv")).alias("path"))
 
 
-def fingerprints(spark: SparkSession, root: str, glob: str = "*.csv") -> DataFrame:
-    """(path, stamp, source, fetched_at, sha256, fetch_id): hash of the exact bytes of every landed file."""
+BOM = b"\xef\xbb\xbf"
+
+
+def _line_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """SHA-256 of each file from its lines in order. The reader leaves out line feeds and a leading byte order mark; the file's size tells which were there."""
+    done: list[tuple[str, str]] = []
+    path, size, seen, hashes = None, 0, 0, None
+
+    def close() -> None:
+        plain, marked = hashes
+        missing = size - seen
+        mine = marked if missing >= len(BOM) else plain
+        if missing % len(BOM):
+            mine.update(b"\n")
+        done.append((path, mine.hexdigest()))
+
+    for batch in batches:
+        for file, length, line in zip(*(batch.column(c).to_pylist() for c in ("path", "size", "line"))):
+            if file != path:
+                if path is not None:
+                    close()
+                path, size, seen, hashes = file, length, 0, (hashlib.sha256(), hashlib.sha256(BOM))
+            else:
+                line = b"\n" + line
+            seen += len(line)
+            for h in hashes:
+                h.update(line)
+    if path is not None:
+        close()
+    if done:
+        yield pa.RecordBatch.from_arrays([pa.array([d[i] for d in done], pa.string()) for i in (0, 1)], ["path", "sha256"])
+
+
+def streamed_hashes(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(path, sha256) of files of any size: read as lines in parallel, hashed in order as they stream by. No more than a batch of lines is held."""
+    lines = (spark.read.option("lineSep", "\n").text(paths)
+             .select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("size"), F.col("_metadata.file_block_start").alias("start"),
+                     F.monotonically_increasing_id().alias("row"), F.col("value").cast("binary").alias("line")))
+    ordered = lines.repartition("path").sortWithinPartitions("path", "start", "row").select("path", "size", "line")
+    return ordered.mapInArrow(_line_hashes, "path string, sha256 string")
+
+
+def fingerprints(spark: SparkSession, root: str, glob: str = "*.csv", whole_limit: int = 1 << 30) -> DataFrame:
+    """(path, stamp, source, fetched_at, sha256, fetch_id): hash of the exact bytes of every landed file.
+
+    Files up to ``whole_limit`` bytes are hashed whole where they are read; a larger one, which no row can hold, is hashed as a stream of its lines.
+    """
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root)
-    source, sha = F.regexp_extract("path", _LANDED, 2), F.sha2("content", 256)
-    return found.select("path", F.regexp_extract("path", _LANDED, 1).alias("stamp"), source.alias("source"),
-                        F.col("modificationTime").alias("fetched_at"), sha.alias("sha256"),
-                        F.concat(source, F.lit("-"), F.substring(sha, 1, 12)).alias("fetch_id"))
+    columns = ("path", F.col("modificationTime").alias("fetched_at"))
+    hashed = found.filter(F.col("length") <= whole_limit).select(*columns, F.sha2("content", 256).alias("sha256"))
+    large = found.filter(F.col("length") > whole_limit).select(*columns)
+    names = [r["path"] for r in large.select("path").collect()]  # contents are not read; each is over the limit, so they are few
+    if names:
+        streamed = streamed_hashes(spark, [unquote(n) for n in names]).withColumn("_name", F.regexp_replace(F.url_decode("path"), "^file:/+", "/")).drop("path")
+        hashed = hashed.unionByName(large.withColumn("_name", F.regexp_replace(F.url_decode("path"), "^file:/+", "/")).join(streamed, "_name").drop("_name"))
+    source = F.regexp_extract("path", _LANDED, 2)
+    return hashed.select("path", F.regexp_extract("path", _LANDED, 1).alias("stamp"), source.alias("source"), "fetched_at", "sha256",
+                         F.concat(source, F.lit("-"), F.substring("sha256", 1, 12)).alias("fetch_id"))
 
 
 def lineage_records(spark: SparkSession, root: str, glob: str = "*.csv") -> DataFrame:
@@ -140,11 +224,13 @@ def filing_manifest(index: DataFrame, forms: list[str], since: str) -> DataFrame
     return found.filter(F.col("form").isin(*forms) & (F.col("filed") >= F.lit(since).cast("date"))).distinct()
 
 
-def export_csv(frame: DataFrame, path: str) -> None:
-    """One folder of CSV parts per table, dates as yyyy-MM-dd (S16, S17). Parts are written in parallel."""
+def export_csv(frame: DataFrame, path: str) -> int:
+    """One folder of CSV parts per table, dates as yyyy-MM-dd; the number of rows, counted as they are written."""
     dated = [F.date_format(f.name, "yyyy-MM-dd").alias(f.name) if f.dataType.typeName() == "date" else F.col(f.name)
              for f in frame.schema.fields]
-    frame.select(*dated).write.mode("overwrite").option("header", True).csv(path)
+    seen = Observation()
+    frame.select(*dated).observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite").option("header", True).csv(path)
+    return seen.get["n"]
 
 
 def load_csv(spark: SparkSession, path: str, schema) -> DataFrame:
