@@ -72,6 +72,14 @@ def test_swaps_empty_bins_of_any_start():
         better = packing.improve([[i] for i in range(200)], sizes, 4096)  # a bin for each
         assert sorted(i for b in better for i in b) == list(range(200)) and all(sizes[b].sum() <= 4096 for b in better)
         assert len(better) <= sizes.sum() / 4096 * 1.08 + 1 and squares(better, sizes) > (sizes ** 2).sum()
-    # one-for-one: 60 and 41 change places, then the last bin is empty
-    sizes = np.array([60, 30, 41, 49, 20])
-    assert len(packing.improve([[0, 1], [2, 3], [4]], sizes, 100)) == 2
+    # no piece of the third bin fits anywhere; 40 for 30 fills the first, and 30 then fits into the second
+    sizes = np.array([60, 30, 70, 40])
+    better = packing.improve([[0, 1], [2], [3]], sizes, 100)
+    assert sorted(sorted(sizes[b].tolist()) for b in better) == [[30, 70], [40, 60]]
+
+
+def test_every_underfull_bin_is_tried():
+    # forty bins that nothing can empty lie before the one that a swap empties
+    sizes = np.array([51] * 40 + [60, 30, 70, 40])
+    better = packing.improve([[i] for i in range(40)] + [[40, 41], [42], [43]], sizes, 100)
+    assert len(better) == 42 and all(sizes[b].sum() <= 100 for b in better) and sorted(i for b in better for i in b) == list(range(44))

@@ -149,34 +149,37 @@ def _best_exchange(sizes: np.ndarray, home: np.ndarray, fill: np.ndarray, donor:
     return best
 
 
-def improve(bins: list[list[int]], lengths: np.ndarray, limit: int, tries: int = 16) -> list[list[int]]:
+def improve(bins: list[list[int]], lengths: np.ndarray, limit: int) -> list[list[int]]:
     """Local search: the emptiest bin gives to fuller ones by moves, one-for-one and two-for-one swaps until it is empty.
 
     An exchange moves net tokens to a bin that is at least as full, so the sum of squared fills grows with
-    each and the search ends: at the least number of bins that can hold the tokens, or after ``tries`` bins that
-    cannot be emptied.
+    each and the search ends: at the least number of bins that can hold the tokens, or when a round over all underfull
+    bins has emptied none.
     """
     sizes = np.asarray(lengths, dtype=np.int64)
     home = np.empty(len(sizes), dtype=np.int64)
     for b, items in enumerate(bins):
         home[items] = b
     fill = np.bincount(home, weights=sizes, minlength=len(bins)).astype(np.int64)
-    least, stuck = -(-int(sizes.sum()) // limit), np.zeros(len(bins), dtype=bool)
-    while stuck.sum() < tries and (fill > 0).sum() > least:
-        live = np.flatnonzero((fill > 0) & ~stuck)
-        if len(live) < 2:
-            break
-        donor = int(live[np.argmin(fill[live])])
-        while fill[donor] and (deal := _best_exchange(sizes, home, fill, donor, limit)):
-            b, takes, give = deal
-            home[takes] = b
-            net = int(sizes[takes].sum())
-            if give >= 0:
-                home[give] = donor
-                net -= int(sizes[give])
-            fill[b] += net
-            fill[donor] -= net
-        stuck[donor] = fill[donor] > 0
+    least, emptied = -(-int(sizes.sum()) // limit), True
+    while emptied and (fill > 0).sum() > least:
+        emptied, tried = False, np.zeros(len(bins), dtype=bool)
+        while (fill > 0).sum() > least:
+            live = np.flatnonzero((fill > 0) & (fill < limit) & ~tried)
+            if len(live) < 2:
+                break
+            donor = int(live[np.argmin(fill[live])])
+            while fill[donor] and (deal := _best_exchange(sizes, home, fill, donor, limit)):
+                b, takes, give = deal
+                home[takes] = b
+                net = int(sizes[takes].sum())
+                if give >= 0:
+                    home[give] = donor
+                    net -= int(sizes[give])
+                fill[b] += net
+                fill[donor] -= net
+            tried[donor] = True
+            emptied |= not fill[donor]
     order = np.argsort(home, kind="stable")
     return [part.tolist() for part in np.split(order, np.flatnonzero(np.diff(home[order])) + 1)]
 
