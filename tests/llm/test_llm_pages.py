@@ -1,6 +1,8 @@
 """Main text of pages, and URL rules."""
 
+import random
 import re
+import time
 
 from tidemark.llm import html_template, url_rules
 
@@ -55,12 +57,65 @@ def test_nothing_beside_the_largest_slot_is_lost(spark):
 
 
 def test_equal_vectors_form_classes():
-    token = lambda name, place, times, vector, **more: {"name": name, "pages": 5, "times": times, "vector": vector, "place": place, "mass": 0, "link": 0, "same": False} | more
-    found = html_template.deduce([token("", -1, 5, 1), token("a", 0, 5, 1, mass=9), token("a/b", 1, 5, 1, mass=8), token("a/c", 2, 12, 7), token("a/c/d", 3, 12, 7), token("a/e", 4, 6, 9)], 5)
+    def token(n, parent, place, times, vector, **more):
+        return {"token": n, "parent": parent, "depth": 0 if n == 0 else 1 if parent == 0 else 2 if parent in (1, 3) else 3, "tag": "div", "pages": 5, "times": times, "vector": vector, "place": place,
+                "mass": 0, "link": 0, "same": False} | more
+
+    found = html_template.deduce([token(0, 0, -1, 5, 1), token(1, 0, 0, 5, 1, mass=9), token(2, 1, 1, 5, 1, mass=8), token(3, 1, 2, 12, 7), token(4, 3, 3, 12, 7), token(5, 1, 4, 6, 9)], 5)
     classes = dict(found.order)
-    assert classes["a"] == classes["a/b"] and classes["a/c"] == classes["a/c/d"] != classes["a"] and "a/e" not in classes
-    assert found.main[0] == "a/b"
-    assert html_template._valid(found, {"a": [1, 5], "a/b": [1, 2], "a/c": [3, 0], "a/c/d": [3, 1]}) == {"a/c", "a/c/d"}  # a class out of order is not used
+    assert classes[1] == classes[2] and classes[3] == classes[4] != classes[1] and 5 not in classes
+    assert found.main[0] == 2 and html_template.Template.unpacked(found.packed()) == found
+    assert html_template._valid(found, {1: 5, 2: 2, 3: 0, 4: 1}) == {3, 4}  # a class out of order is not used
+
+
+def test_classes_are_those_of_gathered_occurrence_vectors(spark):
+    rng = random.Random(4)
+
+    def markup(depth):
+        return "".join(f"<{t} class=k{rng.randint(0, 2)}>{rng.choice(['', 'word ' * rng.randint(1, 9)])}{markup(depth - 1) if depth else ''}</{t}>" for t in rng.choices(["div", "section", "p"], k=rng.randint(0, 3)))
+
+    pages = [f"<body><div id=top>same</div>{markup(3)}<div id=low>{markup(2)}</div></body>" for _ in range(12)]
+    rows = spark.createDataFrame([("h", i, x) for i, x in enumerate(pages)], "_host string, _page long, _html string")
+    found = html_template.Template.unpacked(html_template.templates(rows).first()["_template"])
+    vectors = {}  # every token's times on each page, gathered
+    for i, x in enumerate(pages):
+        for token in (page := html_template.parse(x)).token[1:]:
+            vectors.setdefault(token, [0] * len(pages))[i] += 1
+    vectors = {t: tuple(v) for t, v in vectors.items() if sum(c > 0 for c in v) >= len(pages) / 2}
+    groups = {}
+    for t, v in vectors.items():
+        groups.setdefault(v, set()).add(t)
+    want = {frozenset(g) for v, g in groups.items() if len(g) > 1 or set(v) <= {0, 1} or v == groups.get("page")}
+    got = {}
+    for t, i in found.order:
+        got.setdefault(i, set()).add(t)
+    # the page itself is in the class of what stands once on every page
+    assert {frozenset(g) for g in got.values()} == want
+
+
+def test_names_are_evidence_and_no_verdict(spark):
+    openings = ['<div class="overflow-hidden">', '<div id="page" class="has-sidebar">', '<div class="reader-content">', '<div class="site nav-closed">', '<form id="aspnetForm">', '<div class="widget">', '<div class="share wrapper">']
+    body = '<nav><a href=/>Menu</a></nav>{open}<h1>Title {n}</h1><section class="social-history"><p>Some history of {n}, told at length.</p></section><p class="search-result">A result {n}.</p><div class="share-buttons"><p>Send</p></div></div></form><div class="comment-list"><p>{c}</p></div><div class="sidebar-left"><p>Latest of all</p></div>'
+    rows, want = [], {}
+    for k, opening in enumerate(openings):
+        for n in range(7):
+            host = f"many{k}.example.com" if n else f"one{k}.example.com"
+            want[len(rows)] = f"Title {n}\nSome history of {n}, told at length.\nA result {n}."
+            rows.append((len(rows), f"http://{host}/{n}", f"<html><body>{body.format(open=opening, n=n, c=f'I, reader {n}, say this. ' * 9)}</body></html>"))
+    for r in html_template.main_texts(frame(spark, rows)).collect():
+        assert r.text == want[r.page_id], rows[r.page_id]
+    heads = {"comment-list": "comments"[:7], "sidebar-left": "sidebar", "relatedPosts": "related", "skip-link": "skip", "site-footer": "footer", "search-result": None, "social-history": None, "nav-closed": None,
+             "has-sidebar": None, "overflow-hidden": None, "reader-content": None, "header": None, "": None}
+    assert {n: html_template.marks(n) for n in heads} == heads
+
+
+def test_deep_markup_takes_linear_time():
+    for opening in ("<b>", "<div class=x>", "<li>", "<article>"):
+        begun = time.time()
+        page = html_template.parse(opening * 100_000 + "deep text")
+        tokens = html_template.tokens_of(page)
+        assert html_template.extract(opening * 100_000 + "deep text", None) == "deep text" and len(tokens) <= 100_001
+        assert sum(len(repr(t)) for t in tokens) < 300 * 100_001 and time.time() - begun < 60
 
 
 def test_page_edges(spark):

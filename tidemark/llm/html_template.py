@@ -3,16 +3,19 @@
 Tokens are elements told apart by their path, class and id. Tokens that share an occurrence vector over a host's pages
 form an equivalence class; large frequent classes, nested by path and in the same order on a page, are the template.
 Text stands in the slots that the template leaves; the main container is an article or main element, with others beside it, or
-else the lowest element that holds all of them.
+else the lowest element that holds all of them. Names of classes are evidence, read by their head word; they never take nearly all of a page away.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
+import json
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -22,7 +25,7 @@ from tidemark.llm.common import slices, stored
 
 MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"'])*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.DOTALL)
 ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
-WORD = re.compile(r"[a-z]+")
+NAME_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 #: Elements whose content is not read as markup.
 RAW = {"script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes"}
@@ -30,10 +33,18 @@ VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 #: Elements that are never part of the main text.
 ASIDE = {"nav", "footer", "aside", "form", "script", "style", "noscript", "template", "iframe", "object", "svg", "button", "select", "textarea", "menu", "dialog",
          "head", "title", "label", "canvas", "math", "noembed", "noframes"}
-#: Words in class, id or role that mark menus, notices, adverts, forms and comments.
+#: Words that, as the head of a class, id or role, mark menus, notices, adverts, forms and comments.
 ASIDE_WORDS = set("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs byline comment comments consent cookie cookies disqus discussion foot footer "
-                  "gdpr hidden login masthead menu modal nav navbar navigation newsletter notice notices notification overlay pager pagination popup promo promoted promotion "
-                  "reader recommended related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar topbar widget".split())
+                  "gdpr login masthead menu modal nav navbar navigation newsletter notice notices notification overlay pager pagination popup promo promoted promotion "
+                  "recommended related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar topbar widget".split())
+COMMENT_WORDS = {"comment", "comments", "disqus", "discussion", "replies", "reply", "respond"}
+#: Nouns for any container: the word before them is the head. "comment-list" is comments, "search-result" is a result.
+CONTAINER_WORDS = set("area bar block body bottom box btn button buttons card column container content-wrap form group header holder inner item items left link links list outer "
+                      "panel posts row right section slot stories text thread title top unit wrap wrapper zone".split())
+#: A name that begins or ends so tells how an element looks or what it has, not what it is.
+MODIFIER_FIRST = set("has no not with without is are was js overflow show hide toggle".split())
+MODIFIER_LAST = set("active closed collapsed disabled enabled expanded fixed off on open opened ready sticky visible".split())
+HIDDEN = {"hidden", "is-hidden", "visually-hidden", "sr-only", "screen-reader-text"}
 BLOCKS = {"address", "article", "blockquote", "body", "caption", "center", "dd", "details", "div", "dl", "dt", "fieldset", "figcaption", "figure", "h1", "h2", "h3", "h4", "h5", "h6",
           "header", "hgroup", "hr", "html", "li", "main", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul", *ASIDE}
 #: A start tag of these ends an open paragraph; of these, an open one of the same kind.
@@ -45,56 +56,131 @@ HOLDERS = {"article", "main"}
 
 @dataclass
 class Run:
-    """A stretch of text: the path it stands in, its block, and whether it is in an aside or a link."""
+    """A stretch of text: the node it stands in, its block, and whether it is in a link or in prose."""
 
-    path: tuple[str, ...]
+    node: int
     block: int
     text: str
-    aside: bool
     link: bool
     prose: bool
 
 
 @dataclass
 class Page:
+    """The elements of a page in the order they open, and its text. Node 0 is the page; a node's number is above its parent's.
+
+    A token is the hash of a path of keys, made from the parent's, so a node costs the same at any depth.
+    """
+
+    parent: list[int] = field(default_factory=lambda: [0])
+    tag: list[str] = field(default_factory=lambda: [""])
+    token: list[int] = field(default_factory=lambda: [0])
+    depth: list[int] = field(default_factory=lambda: [0])
+    aside: list[int] = field(default_factory=lambda: [NOT])
     runs: list[Run] = field(default_factory=list)
-    opened: dict[tuple[str, ...], list[int]] = field(default_factory=dict)  # path: times, first place
+
+    def add(self, parent: int, tag: str, key: str, aside: int) -> int:
+        self.parent.append(parent)
+        self.tag.append(tag)
+        self.token.append(path_hash(self.token[parent], key))
+        self.depth.append(self.depth[parent] + 1)
+        self.aside.append(aside)
+        return len(self.tag) - 1
+
+    def spread(self, start: Callable[[int], object]) -> list:
+        """Per node what ``start`` gives for the outermost of the nodes around it, itself included, for which it gives anything."""
+        out: list = []
+        for node in range(len(self.tag)):
+            above = out[self.parent[node]] if node else None
+            out.append(above if above else start(node))
+        return out
+
+    def below(self, own: list[int]) -> list[int]:
+        """Sums over the subtrees."""
+        out = list(own)
+        for node in range(len(out) - 1, 0, -1):
+            out[self.parent[node]] += out[node]
+        return out
+
+    def asides(self) -> list[bool]:
+        """Nodes in no main text. A name, or a form, is no reason to leave out nearly all of a page, or for a form half of it."""
+        own, plain = [0] * len(self.tag), self.spread(lambda n: self.aside[n] == SURE)
+        for run in self.runs:
+            own[run.node] += 0 if plain[run.node] or run.link else len(run.text.strip())
+        mass = self.below(own)
+        least = {NAMED: 0.8 * mass[0], FORM: 0.5 * mass[0]}
+        return [bool(x) for x in self.spread(lambda n: self.aside[n] == SURE or self.aside[n] in least and not mass[n] > least[self.aside[n]])]
+
+
+#: How sure it is that an element is beside the main text: not at all, by a name, as a form, in any case.
+NOT, NAMED, FORM, SURE = range(4)
+
+
+def path_hash(outer: int, key: str) -> int:
+    return int.from_bytes(hashlib.blake2b(key.encode("utf-8", "replace"), digest_size=8, key=outer.to_bytes(8, "little", signed=True)).digest(), "little", signed=True) or 1
 
 
 def _attributes(text: str) -> dict[str, str]:
     return {m[1].lower(): next((g for g in m.groups()[1:] if g is not None), "") for m in ATTRIBUTE.finditer(text)} if "=" in text else {}
 
 
-def _is_aside(tag: str, attributes: dict[str, str], bare: str, held: bool) -> bool:
-    if tag in ASIDE or tag == "header" and not held:
-        return True
-    if tag in ("html", "body") or not bare.strip():
-        return False
-    if re.search(r"display\s*:\s*none", attributes.get("style", "")) or re.search(r"(?:^|\s)hidden(?:\s|$)", bare) or attributes.get("aria-hidden") == "true":
-        return True
+def marks(name: str) -> str | None:
+    """The word by which a class, id or role marks an element as an aside, if any."""
+    parts = [w.lower() for w in NAME_WORD.findall(name)]
+    if not parts or parts[0] in MODIFIER_FIRST and len(parts) > 1 or parts[-1] in MODIFIER_LAST:
+        return None
+    while len(parts) > 1 and parts[-1] in CONTAINER_WORDS:
+        parts.pop()
+    return parts[-1] if parts[-1] in ASIDE_WORDS else None
+
+
+_marks = lru_cache(100_000)(marks)
+
+
+def _aside_of(tag: str, attributes: dict[str, str], rest: str, held: bool) -> int:
+    if tag == "form":
+        return FORM
+    if tag in ASIDE:
+        return SURE
+    if tag in ("html", "body") or not rest.strip():
+        return NAMED if tag == "header" and not held else NOT
+    names = " ".join(attributes.get(a, "") for a in ("class", "id", "role")).split()
+    bare = ATTRIBUTE.sub(" ", rest) if attributes else rest
+    if (re.search(r"display\s*:\s*none", attributes.get("style", "")) or re.search(r"(?:^|\s)hidden(?:\s|$)", bare) or attributes.get("aria-hidden") == "true"
+            or any(n.lower() in HIDDEN for n in attributes.get("class", "").split())):
+        return SURE
+    found = {word for n in names if (word := _marks(n))}
+    if found & COMMENT_WORDS:
+        return SURE
     if tag in HOLDERS and not held:
-        words = attributes.get("class", "")
-        return "comment" in words.lower()
-    named = f"{attributes.get('class', '')} {attributes.get('id', '')} {attributes.get('role', '')}".lower()
-    return any(w in ASIDE_WORDS for w in WORD.findall(named))
+        return NOT
+    return NAMED if found or tag == "header" and not held else NOT
 
 
 def parse(html: str) -> Page:
-    """Text runs and opened elements of a page. Broken markup is read as far as it goes: an end tag without start is left out."""
-    page, stack, block, at, place = Page(), [], 0, 0, 0
-    # stack: (tag, key, aside, holder)
-    path: tuple[str, ...] = ()
+    """Text runs and opened elements of a page. Broken markup is read as far as it goes: an end tag without start is left out.
+
+    Places in the stack are kept by tag, so an end tag finds its start at once: the time is linear in the page, nested as it may be.
+    """
+    page, block, at = Page(), 0, 0
+    stack: list[int] = [0]  # nodes
+    places: dict[str, list[int]] = {}  # tag: places in the stack
+    prose = held = 0
+
+    def last(tag: str) -> int:
+        return places[tag][-1] if places.get(tag) else 0
 
     def say(raw: str) -> None:
-        if not raw:
-            return
-        top = stack[-1] if stack else (None, None, False, False)
-        page.runs.append(Run(path, block, entities.unescape(raw) if "&" in raw else raw, top[2], any(s[0] == "a" for s in stack), any(s[0] in PROSE for s in stack)))
+        if raw:
+            page.runs.append(Run(stack[-1], block, entities.unescape(raw) if "&" in raw else raw, bool(places.get("a")), prose > 0))
 
     def close_to(n: int) -> None:
-        nonlocal path
-        del stack[n:]
-        path = path[:n]
+        nonlocal prose, held
+        while len(stack) > n:
+            tag = page.tag[stack.pop()]
+            places[tag].pop()
+            prose -= tag in PROSE
+            held -= tag in HOLDERS
 
     while (m := MARKUP.search(html, at)) is not None:
         say(html[at:m.start()])
@@ -103,9 +189,8 @@ def parse(html: str) -> Page:
         if not tag:
             continue
         if m[1] or m[4]:
-            found = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), -1)
-            if found >= 0:
-                close_to(found)
+            if last(tag):
+                close_to(last(tag))
             if tag in BLOCKS:
                 block += 1
             continue
@@ -115,34 +200,24 @@ def parse(html: str) -> Page:
             say(" ")
         if tag in VOID:
             continue
-        if tag in ENDS_P:
-            found = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == "p"), -1)
-            if found >= 0:
-                close_to(found)
-        if tag in ENDS_SAME:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in ENDS_SAME[tag]:
-                    break
-                if stack[i][0] == tag:
-                    close_to(i)
-                    break
+        if tag in ENDS_P and last("p"):
+            close_to(last("p"))
+        if tag in ENDS_SAME and last(tag) > max(last(outer) for outer in ENDS_SAME[tag]):
+            close_to(last(tag))
         rest = m[3] or m[6] or ""
+        if rest.rstrip().endswith("/") and tag in ("svg", "path"):
+            continue
         attributes = _attributes(rest)
         key = tag
         for name, sign in (("class", "."), ("id", "#")):
             if attributes.get(name):
-                key += sign + re.sub(r"\d+", "N", ".".join(sorted(attributes[name].split()))).replace("/", "_")
-        held = any(s[3] for s in stack)
-        bare = ATTRIBUTE.sub(" ", rest) if attributes else rest
-        aside = bool(stack and stack[-1][2]) or _is_aside(tag, attributes, rest if attributes else bare, held)
-        if not rest.rstrip().endswith("/") or tag not in ("svg", "path"):
-            stack.append((tag, key, aside, tag in HOLDERS and not aside))
-            path = (*path, key)
-            seen = page.opened.setdefault(path, [0, place])
-            seen[0] += 1
-            place += 1
+                key += sign + re.sub(r"\d+", "N", ".".join(sorted(attributes[name].split())))
+        places.setdefault(tag, []).append(len(stack))
+        stack.append(page.add(stack[-1], tag, key, _aside_of(tag, attributes, rest, held > 0)))
+        prose += tag in PROSE
+        held += tag in HOLDERS
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.IGNORECASE).search(html, at)
+            end = _raw_end(tag).search(html, at)
             at = end.end() if end else len(html)
             close_to(len(stack) - 1)
             block += 1
@@ -150,98 +225,122 @@ def parse(html: str) -> Page:
     return page
 
 
-def name_of(path: tuple[str, ...]) -> str:
-    return "/".join(path)
+@lru_cache(20)
+def _raw_end(tag: str) -> re.Pattern:
+    return re.compile(rf"</{re.escape(tag)}\s*>", re.IGNORECASE)
 
 
-def tokens_of(page: Page) -> list[tuple[str, int, int, int, int, int]]:
-    """(token, times, first place, characters of main text below, of these in links, hash of all text below), and "" for the page."""
-    mass: dict[tuple[str, ...], list[int]] = {p: [0, 0, 0] for p in page.opened}
-    mass[()] = [0, 0, 0]
+def tokens_of(page: Page) -> list[dict]:
+    """A row for each token of a page, the page itself first (token 0): its parent, depth and tag, times it opens, first place, characters of main
+    text below, of these in links, and a hash of all text below."""
+    size = len(page.tag)
+    aside, mass, link, text = page.asides(), [0] * size, [0] * size, [0] * size
     for run in page.runs:
-        text = run.text.strip()
-        if not text:
-            continue
-        raw, size = text.encode("utf-8", "replace"), 0 if run.aside else len(text)
-        for n in range(len(run.path) + 1):
-            own = mass[run.path[:n]]
-            own[0] += size
-            own[1] += size if run.link else 0
-            own[2] = zlib.crc32(raw, own[2])
-    opened = {(): [1, -1], **page.opened}
-    return [(name_of(p), *opened[p], *mass[p]) for p in mass]
+        raw = run.text.strip()
+        if raw:
+            n = 0 if aside[run.node] else len(raw)
+            mass[run.node] += n
+            link[run.node] += n if run.link else 0
+            text[run.node] = zlib.crc32(raw.encode("utf-8", "replace"), text[run.node])
+    mass, link = page.below(mass), page.below(link)
+    for node in range(size - 1, 0, -1):
+        text[page.parent[node]] = zlib.crc32(text[node].to_bytes(4, "little"), text[page.parent[node]])
+    out: dict[int, dict] = {}
+    for node, token in enumerate(page.token):
+        own = out.get(token)
+        if own is None:
+            own = out[token] = {"token": token, "parent": page.token[page.parent[node]], "depth": page.depth[node], "tag": page.tag[node], "times": 0, "place": node - 1, "mass": 0, "link": 0, "hash": 0}
+        own["times"] += 1
+        own["mass"] += mass[node]
+        own["link"] += link[node]
+        own["hash"] = zlib.crc32(text[node].to_bytes(4, "little"), own["hash"])
+    return list(out.values())
 
 
 @dataclass
 class Template:
-    """The classes of a host in page order, the main container, and the tokens whose text never changes."""
+    """The classes of a host in page order, the containers of main text, the best first, and the tokens whose text never changes."""
+
+    order: list[tuple[int, int]]  # token, class
+    main: list[int]
+    constant: set[int]
 
-    order: list[tuple[str, int]]  # token, class
-    main: list[str]
-    constant: set[str]
+    def packed(self) -> str:
+        return json.dumps([self.order, self.main, sorted(self.constant)])
+
+    @classmethod
+    def unpacked(cls, text: str) -> Template:
+        order, main, constant = json.loads(text)
+        return cls([tuple(x) for x in order], main, set(constant))
 
 
 def deduce(tokens: list[dict], pages: int) -> Template:
-    """``tokens``: name, pages, times, vector, place, mass, link, same. Equal vectors form a class; the classes in which every token
-    occurs once on each of its pages are the skeleton, in which the main container is looked for."""
+    """``tokens``: token, parent, depth, tag, pages, times, vector, place, mass, link, same. Equal vectors form a class; the classes in which every
+    token occurs once on each of its pages are the skeleton, in which the main container is looked for."""
     classes: dict[tuple, list[dict]] = {}
     for t in tokens:
         classes.setdefault((t["vector"], t["pages"], t["times"]), []).append(t)
-    large = [sorted(c, key=lambda t: (t["place"], t["name"])) for c in classes.values() if len(c) > 1 or c[0]["times"] == c[0]["pages"]]
-    large.sort(key=lambda c: (-c[0]["pages"], c[0]["place"]))
-    order = sorted(((t["place"], t["name"], i) for i, c in enumerate(large) for t in c))
-    skeleton = [t for c in large for t in c if t["name"] and t["times"] == t["pages"]]
-    root_changes = any(t["name"] == "" and not t["same"] for t in tokens)
-    constant = {t["name"] for t in tokens if root_changes and t["same"] and t["pages"] >= 4 and t["name"]}
-    return Template([(n, i) for _, n, i in order if n], _containers(skeleton, tokens, constant, pages), constant)
-
-
-def _tag(name: str) -> str:
-    return re.split(r"[.#]", name.rsplit("/", 1)[-1])[0]
+    large = [sorted(c, key=lambda t: (t["place"], t["depth"], t["token"])) for c in classes.values() if len(c) > 1 or c[0]["times"] == c[0]["pages"]]
+    large.sort(key=lambda c: (-c[0]["pages"], c[0]["place"], c[0]["token"]))
+    order = sorted(((t["place"], t["depth"], t["token"], i) for i, c in enumerate(large) for t in c))
+    skeleton = [t for c in large for t in c if t["token"] and t["times"] == t["pages"]]
+    root_changes = any(t["token"] == 0 and not t["same"] for t in tokens)
+    constant = {t["token"] for t in tokens if root_changes and t["same"] and t["pages"] >= 4 and t["token"]}
+    return Template([(n, i) for _, _, n, i in order if n], _containers(skeleton, tokens, constant, pages), constant)
 
 
-def _apart(a: str, b: str) -> bool:
-    """Whether neither of two paths lies in the other."""
-    return not f"{a}/".startswith(f"{b}/") and not f"{b}/".startswith(f"{a}/")
-
-
-def _containers(skeleton: list[dict], tokens: list[dict], constant: set[str], pages: int = 1) -> list[str]:
-    """Names of containers of main text, the best first: semantic ones by the text they hold, then the lowest that holds every slot,
-    and those around it. "" is the page.
+def _containers(skeleton: list[dict], tokens: list[dict], constant: set[int], pages: int = 1) -> list[int]:
+    """Containers of main text, the best first: semantic ones by the text they hold, then the lowest that holds every slot, and those around
+    it. 0 is the page.
 
     A slot is an element with text of its own, a character a page or more, that is not constant and not mostly links.
     """
     def worth(t: dict) -> float:
         return t["mass"] - 2 * t["link"]
-    holders = sorted((t for t in skeleton if _tag(t["name"]) in HOLDERS and worth(t) > 0), key=lambda t: (-worth(t), -len(t["name"])))
-    own = {t["name"]: [t["mass"], t["link"]] for t in tokens}
-    for t in tokens:
-        outer = t["name"].rpartition("/")[0]
-        if t["name"] and outer in own:
-            own[outer][0] -= t["mass"]
-            own[outer][1] -= t["link"]
-    slots = [n.split("/") if n else [] for n, (mass, link) in own.items() if mass >= pages and mass > 2 * link and n not in constant]
-    if not slots:
-        return [t["name"] for t in holders]
-    low, high = min(slots), max(slots)
-    common = next((i for i, (x, y) in enumerate(zip(low, high)) if x != y), min(len(low), len(high)))
-    known = {t["name"] for t in skeleton if _tag(t["name"]) not in PROSE}
-    around = ["/".join(low[:i]) for i in range(common, 0, -1)]
-    return [t["name"] for t in holders] + [n for n in around if n in known] + [""]
-
-
-def _holders_beside(page: Page, main: str, constant: set[str]) -> list[str]:
+    holders = sorted((t for t in skeleton if t["tag"] in HOLDERS and worth(t) > 0), key=lambda t: (-worth(t), -t["depth"], t["token"]))
+    by_token = {t["token"]: t for t in tokens}
+    outer = {n: t["parent"] if t["parent"] in by_token else 0 for n, t in by_token.items() if n}
+    own = {n: [t["mass"], t["link"]] for n, t in by_token.items()}
+    for n, parent in outer.items():
+        if parent in own:
+            own[parent][0] -= by_token[n]["mass"]
+            own[parent][1] -= by_token[n]["link"]
+    slots = {n: int(mass >= pages and mass > 2 * link and n not in constant) for n, (mass, link) in own.items()}
+    total = sum(slots.values())
+    if not total:
+        return [t["token"] for t in holders]
+    inside = dict(slots)
+    lowest = 0
+    for n in sorted(outer, key=lambda n: -by_token[n]["depth"]):
+        if inside[n] == total:
+            lowest = n
+            break
+        if outer[n] in inside:
+            inside[outer[n]] += inside[n]
+    known, around = {t["token"] for t in skeleton if t["tag"] not in PROSE}, []
+    while lowest:
+        if lowest in known:
+            around.append(lowest)
+        lowest = outer[lowest]
+    return [t["token"] for t in holders] + around + [0]
+
+
+def _holders_beside(page: Page, main: int, constant: set[int], aside: list[bool]) -> list[int]:
     """The other holders of text on a page whose main container is a holder: an article may be split over several."""
-    if _tag(main) not in HOLDERS:
+    nodes = [n for n, t in enumerate(page.token) if t == main]
+    if not nodes or page.tag[nodes[0]] not in HOLDERS:
         return []
-    held: dict[str, int] = {}
+    around, node = {0, main}, nodes[0]
+    while node:
+        around.add(page.token[node])
+        node = page.parent[node]
+    within = page.spread(lambda n: page.token[n] == main)
+    beside = page.spread(lambda n: n if page.tag[n] in HOLDERS and page.token[n] not in around and not within[n] else None)
+    held: dict[int, int] = {}
     for run in page.runs:
-        if run.aside or not run.text.strip():
-            continue
-        first = next((i for i, key in enumerate(run.path) if _tag(key) in HOLDERS and _apart(name_of(run.path[:i + 1]), main)), None)
-        if first is not None:
-            name = name_of(run.path[:first + 1])
-            held[name] = held.get(name, 0) + len(run.text.strip()) * (-1 if run.link else 1)
+        if not aside[run.node] and beside[run.node] and run.text.strip():
+            token = page.token[beside[run.node]]
+            held[token] = held.get(token, 0) + len(run.text.strip()) * (-1 if run.link else 1)
     return [n for n, size in held.items() if size > 0 and n not in constant]
 
 
@@ -250,69 +349,86 @@ def extract(html: str | None, template: Template | None) -> str:
     if not html:
         return ""
     page = parse(html)
-    main, constant = None, set()
+    main, constant, aside = None, set(), page.asides()
     if template:
-        opened = {name_of(p): seen for p, seen in page.opened.items()}
+        opened: dict[int, int] = {}
+        for node, token in enumerate(page.token):
+            opened.setdefault(token, node)
         valid = _valid(template, opened)
         main = next((n for n in template.main if not n or n in opened and n in valid), None)
         constant = {n for n in template.constant if n in valid}
     if main is None:
-        tokens = [dict(zip(("name", "times", "place", "mass", "link", "hash"), t)) for t in tokens_of(page)]
-        best = _containers(tokens, tokens, set())
-        main = best[0] if best else ""
-    text = _slots(page, [main, *_holders_beside(page, main, constant)], constant)
-    return text or (_slots(page, [""], constant) if main else "")
+        tokens = tokens_of(page)
+        best = _containers(tokens[1:], tokens, set())
+        main = best[0] if best else 0
+    text = _slots(page, {main, *_holders_beside(page, main, constant, aside)}, main, constant, aside)
+    return text or (_slots(page, {0}, 0, constant, aside) if main else "")
 
 
-def _valid(template: Template, opened: dict[str, list[int]]) -> set[str]:
+def _valid(template: Template, opened: dict[int, int]) -> set[int]:
     """Tokens of the classes that stand on this page in the template's order."""
-    by_class: dict[int, list[tuple[str, int]]] = {}
-    for name, i in template.order:
-        if name in opened:
-            by_class.setdefault(i, []).append((name, opened[name][1]))
+    by_class: dict[int, list[tuple[int, int]]] = {}
+    for token, i in template.order:
+        if token in opened:
+            by_class.setdefault(i, []).append((token, opened[token]))
     return {n for own in by_class.values() if all(a[1] < b[1] for a, b in zip(own, own[1:])) for n, _ in own}
 
 
-def _slots(page: Page, mains: list[str], constant: set[str]) -> str:
+def _slots(page: Page, mains: set[int], main: int, constant: set[int], aside: list[bool]) -> str:
     """The text in the main containers without asides and without slots that never change, a line for each block."""
-    depths = [(main, main.count("/") + 1 if main else 0) for main in mains]
+    inside = page.spread(lambda n: page.token[n] in mains)
     blocks: dict[int, list[str]] = {}
     for run in page.runs:
-        if run.aside or not any(not depth or name_of(run.path[:depth]) == main for main, depth in depths):
+        if aside[run.node] or not inside[run.node]:
             continue
-        if constant and not (run.prose and mains[0]) and name_of(run.path) in constant:
+        if constant and not (run.prose and main) and page.token[run.node] in constant:
             continue
         blocks.setdefault(run.block, []).append(run.text)
     lines = (" ".join("".join(parts).split()) for parts in blocks.values())
     return "\n".join(x for x in lines if x)
 
 
-_TOKENS = "_host string, page long, name string, times long, place long, mass long, link long, hash long"
+_LONGS = ("token", "parent", "depth", "times", "place", "mass", "link", "hash")
+_TOKENS = "_host string, page long, tag string, " + ", ".join(f"{c} long" for c in _LONGS)
 
 
 def _page_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in slices(batches, ("_html",), 2 << 20):
-        rows = [(host, page, *t) for host, page, html in zip(*(part.column(c).to_pylist() for c in ("_host", "_page", "_html"))) if html for t in tokens_of(parse(html))]
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string() if i in (0, 2) else pa.int64()) for i in range(8)],
-                                         ["_host", "page", "name", "times", "place", "mass", "link", "hash"])
+        hosts, numbers, tags = [], [], []
+        longs: dict[str, list[int]] = {c: [] for c in _LONGS}
+        for host, page, html in zip(*(part.column(c).to_pylist() for c in ("_host", "_page", "_html"))):
+            for t in tokens_of(parse(html)) if html else ():
+                hosts.append(host)
+                numbers.append(page)
+                tags.append(t["tag"])
+                for c in _LONGS:
+                    longs[c].append(t[c])
+        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(numbers, pa.int64()), pa.array(tags, pa.string()), *(pa.array(longs[c], pa.int64()) for c in _LONGS)],
+                                         ["_host", "page", "tag", *_LONGS])
+
+
+def _deduced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        templates = [deduce(tokens.as_py(), pages.as_py()).packed() for tokens, pages in zip(batch.column("tokens"), batch.column("all"))]
+        yield pa.RecordBatch.from_arrays([batch.column("_host"), pa.array(templates, pa.string())], ["_host", "_template"])
 
 
 def templates(pages: DataFrame, support: float = 0.5) -> DataFrame:
-    """(host, pages, tokens) from ``_host``, ``_page`` (a number of the page), ``_html``.
+    """(host, template) from ``_host``, ``_page`` (a number of the page), ``_html``: deduced once for a host.
 
     An occurrence vector is not gathered: pages add a hash of their number and the token's count to an exclusive or, so equal
     vectors give equal sums, and a host with a third of all pages is aggregated before the shuffle. A token
     counts if it is on two pages and on ``support`` of the host's, so a host's row is bounded by twice the size of its pages.
     """
     found = pages.mapInArrow(_page_tokens, _TOKENS)
-    by_token = found.groupBy("_host", "name").agg(
+    by_token = found.groupBy("_host", "token", "parent", "depth", "tag").agg(
         F.count("*").alias("pages"), F.sum("times").alias("times"), F.bit_xor(F.xxhash64("page", "times")).alias("vector"), F.avg("place").alias("place"),
         F.sum("mass").alias("mass"), F.sum("link").alias("link"), (F.min("hash") == F.max("hash")).alias("same"))
     kept = stored(by_token.filter("pages > 1"), "page-tokens")
-    whole = kept.filter("name = ''").select("_host", F.col("pages").alias("all"))
+    whole = kept.filter("token = 0").select("_host", F.col("pages").alias("all"))
     frequent = kept.join(whole, "_host").filter(F.col("pages") >= F.col("all") * support)
-    token = F.struct("name", "pages", "times", "vector", "place", "mass", "link", "same")
-    return frequent.groupBy("_host").agg(F.max("all").alias("_pages"), F.collect_list(token).alias("_tokens"))
+    token = F.struct("token", "parent", "depth", "tag", "pages", "times", "vector", "place", "mass", "link", "same")
+    return frequent.groupBy("_host").agg(F.max("all").alias("all"), F.collect_list(token).alias("tokens")).mapInArrow(_deduced, "_host string, _template string")
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -321,11 +437,11 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts = []
         for i, html in enumerate(part.column("_html").to_pylist()):
             host, template = part.column("_host")[i].as_py(), None
-            if part.column("_tokens")[i].is_valid:
+            if part.column("_template")[i].is_valid:
                 if host not in known:
                     if len(known) > 1000:
                         known.clear()
-                    known[host] = deduce(part.column("_tokens")[i].as_py(), part.column("_pages")[i].as_py())
+                    known[host] = Template.unpacked(part.column("_template")[i].as_py())
                 template = known[host]
             texts.append(extract(html, template))
         yield pa.RecordBatch.from_arrays([part.column("_id"), part.column("_url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["_id", "_url", "text", "n_chars"])
@@ -345,7 +461,7 @@ def main_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     rows = pages.select(F.col(id_col).alias("_id"), F.col(url_col).cast("string").alias("_url"), F.col(html_col).cast("string").alias("_html"))
     rows = rows.withColumn("_host", F.lower(F.regexp_extract(F.coalesce("_url", F.lit("")), "://([^/?#]*)", 1)))
     found = stored(templates(rows.select("_host", F.xxhash64("_id", "_url").alias("_page"), "_html"), support), "templates")
-    joined = rows.join(found, "_host", "left").select("_id", "_url", "_html", "_host", "_pages", "_tokens")
+    joined = rows.join(found, "_host", "left").select("_id", "_url", "_html", "_host", "_template")
     kind = dict(rows.dtypes)["_id"]
     out = joined.mapInArrow(_extract, f"_id {kind}, _url string, text string, n_chars long")
     return out.select(F.col("_id").alias(id_col), F.col("_url").alias(url_col), "text", "n_chars")
