@@ -40,9 +40,34 @@ UNION ALL SELECT 'worst_historical_var_multiple', scenario, round(abs(pnl) / (SE
 UNION ALL SELECT * FROM (SELECT 'worst_hypothetical', scenario, {M('sum(pnl)')} FROM hyp_t GROUP BY scenario ORDER BY sum(pnl) LIMIT 1)
 UNION ALL SELECT 'common_top_loss', CASE WHEN count(DISTINCT instrument_id) = 1 THEN max(instrument_id) END, count(DISTINCT instrument_id)::DOUBLE FROM top1_t""")
 F4 = "printf('%.4f', {})"
-oracle("run_payload", f"""
-SELECT 'totals' AS key, '{{' || string_agg('"' || measure || '":"' || printf('%.4f', {M('value')}) || '"', ',' ORDER BY measure) || '}}' AS payload FROM totals_t WHERE method = 'hs_equal'
-UNION ALL SELECT desk, '{{"var":"' || printf('%.4f', {M('"VaR99_standalone"')}) || '","es":"' || printf('%.4f', {M('"ES975_contribution"')}) || '"}}' FROM desks_t""")
+
+
+def payload_json(**fields: str) -> str:
+    """A JSON object of texts; a null field is left out."""
+    parts = ", ".join(f"""CASE WHEN ({sql}) IS NOT NULL THEN '"{name}":"' || ({sql}) || '"' END""" for name, sql in fields.items())
+    return f"'{{{{' || concat_ws(',', {parts}) || '}}}}'".replace("{{", "{").replace("}}", "}")
+
+
+def money(x: str) -> str:
+    return f"CASE WHEN ({x}) IS NOT NULL THEN printf('%.4f', {M(x)}) END"
+
+
+def one_of(column: str, value: str, of: str = "value") -> str:
+    return f"max({of}) FILTER ({column} = '{value}')"
+
+
+PAYLOAD = (
+    f"""SELECT 'totals' AS section, 'totals' AS item, {payload_json(**{n.lower(): money(one_of('measure', n)) for n in ('VaR95', 'VaR99', 'ES975')})} AS payload FROM totals_t WHERE method = 'hs_equal'""",
+    f"""SELECT 'explain', measure, {payload_json(**{c: money(one_of('component', c)) for c in ('previous', 'positions', 'levels', 'window', 'current')})} FROM explain_t GROUP BY measure""",
+    f"""SELECT 'desk', desk, {payload_json(var=money('"VaR99_standalone"'), es=money('"ES975_contribution"'))} FROM desks_t""",
+    f"""SELECT 'stress', scenario_name, {payload_json(kind='kind', window='"window"', pnl=money('pnl_base'), worst=money('worst_point_base'), largest='largest_loss')} FROM scenario_t""",
+    f"""SELECT 'history', date::VARCHAR, {payload_json(pnl=money('pnl'), var99=money('var99'))} FROM bt_t WHERE method = 'hs_equal'""",
+    f"""SELECT 'var_history', computed_on::VARCHAR, {payload_json(**{m: money(one_of('method', m, 'var99')) for m in ('hs_equal', 'hs_weighted', 'parametric')})} FROM (
+      SELECT method, coalesce(lag(date) OVER (PARTITION BY method ORDER BY date), (SELECT min(date) FROM hold_t)) AS computed_on, var99 FROM bt_t
+      UNION ALL SELECT method, {RUN_D}, value FROM totals_t WHERE measure = 'VaR99') GROUP BY computed_on""",
+    f"""SELECT 'position', instrument_id, {payload_json(name='name', desk='desk', mv=money('mv'), share="printf('%.4f', round(share, 4))")} FROM (
+      SELECT g.instrument_id, d.name, d.desk, mv, share FROM gross_t g JOIN dim_t d USING (instrument_id) ORDER BY abs(mv) DESC, instrument_id LIMIT 10)""",
+    f"""SELECT 'control', control_label, {payload_json(status='status', affected='n_affected::VARCHAR')} FROM (SELECT *, CASE_LABEL AS control_label FROM controls_t)""")
 
 # --- landed files
 oracle("csv_named_month_dates", "SELECT ticker, date, round(level, 6) AS close FROM raw_t WHERE source = 'cb'")
@@ -202,6 +227,9 @@ MARTS = {
 for _name, _sql in MARTS.items():
     oracle(f"mart_{_name}", _sql)
 oracle("export_counts", " UNION ALL ".join(f"SELECT '{n}' AS mart, count(*) AS n FROM ({s})" for n, s in (MARTS | {"filing_lineage": "SELECT * FROM filing_t"}).items()))
+oracle("run_payload", " UNION ALL ".join(PAYLOAD).replace("CASE_LABEL", LABEL_CASE) + f"""
+UNION ALL SELECT 'backtest', method, {payload_json(zone='zone', days='last_n::VARCHAR', exceptions='last_exceptions::VARCHAR')} FROM (
+  SELECT method, zone, last_n, last_exceptions FROM zone_t)""")
 oracle("export_round_trip", f"SELECT {RUN_D} AS date, method, measure, scope, scope_id, {M('value')} AS value FROM risk_t")
 
 # --- measures

@@ -63,8 +63,12 @@ class DailyRun(StagedRun):
         return wh.instruments(self.spark, self.sf_dir)
 
     @stage()
+    def kinds(self) -> DataFrame:
+        return wh.daily_kinds(self.spark, self.sf_dir)
+
+    @stage("kinds")
     def marks(self) -> DataFrame:
-        return wh.daily_marks(self.spark, self.sf_dir)
+        return wh.daily_marks(self.kinds)
 
     @cached_property
     def raw(self) -> DataFrame:

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import datetime as dt
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators import disclosure as X
@@ -16,7 +17,7 @@ from tidemark.plans import warehouse as wh
 from tidemark.plans.daily import DailyRun
 from tidemark.plans.marts import Marts
 from tidemark.plans.measures import MEASURES, slices
-from tidemark.plans.queries import mm, query, ratio
+from tidemark.plans.queries import mm, query, ratio, var_by_computed_day
 from tidemark.plans.study import Study, study_of
 from tidemark.session import shared_folder
 from tidemark.sources import files, tables
@@ -73,14 +74,43 @@ def headline_facts(run: DailyRun) -> DataFrame:
     return rows.select("fact", "subject", F.when(money, mm("value")).otherwise(ratio("value", 4)).alias("value"))
 
 
+def _payload(rows: DataFrame, section: str, item: str, **fields: Column) -> DataFrame:
+    """(section, item, payload): the fields as one JSON object of texts, in their order; a null is left out."""
+    return rows.select(F.lit(section).alias("section"), F.col(item).cast("string").alias("item"), F.to_json(F.struct(*(f.cast("string").alias(n) for n, f in fields.items()))).alias("payload"))
+
+
+def _text(value: Column | str) -> Column:
+    """Money in millions to four decimals; null stays null."""
+    amount = mm(value)
+    return F.when(amount.isNotNull(), F.format_string("%.4f", amount))
+
+
 @query
 def run_payload(run: DailyRun) -> DataFrame:
-    """one JSON object per desk and one for the totals."""
-    totals = run.totals.filter("method = 'hs_equal'").groupBy(F.lit("totals").alias("key")).agg(
-        F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("measure", F.format_string("%.4f", mm("value"))))))).alias("payload"))
-    desks = run.desks.select(F.col("desk").alias("key"), F.to_json(F.struct(
-        F.format_string("%.4f", mm("VaR99_standalone")).alias("var"), F.format_string("%.4f", mm("ES975_contribution")).alias("es"))).alias("payload"))
-    return totals.unionByName(desks)
+    """what a page about the run shows, one JSON object per item: totals, explanation, desks, stress, history, VaR by day computed, largest positions, controls.
+
+    Sections are rows, so nothing is gathered to build the whole; a page joins them as it needs them.
+    """
+    primary = run.cfg.risk.primary
+    totals = run.totals.filter(F.col("method") == primary).groupBy(F.lit("totals").alias("item")).pivot("measure", ["VaR95", "VaR99", "ES975"]).agg(F.first("value"))
+    parts = ("previous", "positions", "levels", "window", "current")
+    explain = run.var_explain.groupBy("measure").pivot("component", list(parts)).agg(F.first("value"))
+    scenarios = _marts(run).dim_scenario
+    summary = run.backtest_summary.select("method", "zone", "last_n", "last_exceptions")
+    shares = exposure.position_table(run.today, run.instruments).orderBy(F.abs("mv").desc(), "instrument_id").limit(10)
+    computed = var_by_computed_day(run).groupBy("computed_on").pivot("method", [m.name for m in run.cfg.risk.methods]).agg(F.first("var99"))
+    number = lambda c: F.when(F.col(c).isNotNull(), F.format_string("%.4f", F.col(c)))
+    sections = [
+        _payload(totals, "totals", "item", var95=_text("VaR95"), var99=_text("VaR99"), es975=_text("ES975")),
+        _payload(explain, "explain", "measure", **{c: _text(c) for c in parts}),
+        _payload(run.desks, "desk", "desk", var=_text("VaR99_standalone"), es=_text("ES975_contribution")),
+        _payload(scenarios, "stress", "scenario_name", kind=F.col("kind"), window=F.col("window"), pnl=_text("pnl_base"), worst=_text("worst_point_base"), largest=F.col("largest_loss")),
+        _payload(run.backtest.filter(F.col("method") == primary), "history", "date", pnl=_text("pnl"), var99=_text("var99")),
+        _payload(computed, "var_history", "computed_on", **{m.name: number(m.name) for m in run.cfg.risk.methods}),
+        _payload(summary, "backtest", "method", zone=F.col("zone"), days=F.col("last_n"), exceptions=F.col("last_exceptions")),
+        _payload(shares, "position", "instrument_id", name=F.col("name"), desk=F.col("desk"), mv=_text("mv"), share=F.format_string("%.4f", ratio("share_of_gross", 4))),
+        _payload(_marts(run).fact_controls, "control", "control_label", status=F.col("status"), affected=F.col("n_affected"))]
+    return reduce(DataFrame.unionByName, sections)
 
 
 # --- Landed files (S1-S6, S16-S20, F13, F15, F16) ----------------------------------------------------

@@ -13,6 +13,7 @@ from tidemark.functions import dates as D
 from tidemark.operators import disclosure as X
 from tidemark.operators import volstudy as V
 from tidemark.plans import warehouse as wh
+from tidemark.plans.daily import daily_run
 from tidemark.plans.stages import StagedRun, stage
 from tidemark.sources import files
 
@@ -71,11 +72,11 @@ SINCE = "1990-01-01"  # filings before this day are not asked for
 
 
 class Study(StagedRun):
-    """Stages of the study, stored like those of the daily run."""
+    """Stages of the study, stored like those of the daily run, whose one scan of the line items it shares."""
 
     def __init__(self, spark: SparkSession, sf_dir: str, cfg: RunConfig, store: str | None = None):
         super().__init__(spark, "study", store)
-        self.sf_dir, self.rules = sf_dir, cfg.study
+        self.sf_dir, self.cfg, self.rules = sf_dir, cfg, cfg.study
 
     @stage()
     def disclosed(self) -> DataFrame:
@@ -123,7 +124,7 @@ class Study(StagedRun):
 
     @stage()
     def levels(self) -> DataFrame:
-        return V.benchmark_panel(wh.benchmarks(self.spark, self.sf_dir), wh.BENCHMARK_CATEGORY)
+        return V.benchmark_panel(wh.benchmarks(daily_run(self.spark, self.sf_dir, self.cfg).kinds), wh.BENCHMARK_CATEGORY)
 
     @stage("levels")
     def vol(self) -> DataFrame:

@@ -1,8 +1,8 @@
 """The domain tables, derived from the given order tables.
 
 Line items become quotes: brands are instruments, ship dates are quote dates. One scan of the line
-items and one partial aggregation per (brand, date) feed market data, references, dividends, trades
-and revisions; everything after it works on that daily table.
+items and one partial aggregation feed market data, references, dividends, trades, revisions and the benchmarks of the
+study; everything after it works on that daily table.
 """
 
 from __future__ import annotations
@@ -25,10 +25,6 @@ def _units(x: Column, digits: int) -> Column:
     return F.floor(x * 10.0 ** digits + 0.5)
 
 
-def _mean(units: Column, digits: int) -> Column:
-    return F.sum(units) / F.count(units) / 10.0 ** digits
-
-
 def instruments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fixed mapping of brand number to desk, currency, quote and proxies."""
     n = F.col("n")
@@ -59,23 +55,25 @@ def instruments(spark: SparkSession, sf_dir: str) -> DataFrame:
         by_number((23, None), (24, "fed:S24"), (25, "fed:S25")).alias("stress_proxy"))
 
 
-def daily_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(instrument_id, date, ...) from one scan of the line items.
+def daily_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(instrument_id, ticker, date, status, kept, sums...): the only scan of the line items; marks and benchmarks are sums of it.
 
-    The join shuffles by part key (AQE splits a hot part). The first aggregation has few buffers per row
-    and is combined map-side into brands x dates x four kinds of line; the second one spreads the kinds
-    into columns and works on that small table only.
+    The join shuffles by part key (AQE splits a hot part). The aggregation has few buffers per row and is combined map-side into
+    brands x part types x dates x four kinds of line.
     """
     li = table(spark, sf_dir, "lineitem").select(
         "l_partkey", F.to_date("l_shipdate").alias("date"), F.col("l_linestatus").alias("status"), (F.col("l_returnflag") != "A").alias("kept"),
         F.when(F.col("l_returnflag") == "R", -F.col("l_quantity")).otherwise(F.col("l_quantity")).alias("traded"), "l_discount",
         _units(F.col("l_extendedprice") / F.col("l_quantity"), 4).alias("unit"), _units(F.col("l_tax"), 2).alias("tax"),
         _units(F.col("l_discount"), 2).alias("disc"))
-    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("instrument_id"))
-    kinds = (li.join(part, "l_partkey").groupBy("instrument_id", "date", "status", "kept")
-             .agg(F.count(F.lit(1)).alias("n"), F.sum("unit").alias("unit"), F.sum("tax").alias("tax"), F.sum("disc").alias("disc"),
-                  F.max("l_discount").alias("disc_max"), F.sum("traded").alias("traded")))
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("instrument_id"), F.col("p_type").alias("ticker"))
+    return (li.join(part, "l_partkey").groupBy("instrument_id", "ticker", "date", "status", "kept")
+            .agg(F.count(F.lit(1)).alias("n"), F.sum("unit").alias("unit"), F.count("unit").alias("units"), F.sum("tax").alias("tax"), F.sum("disc").alias("disc"),
+                 F.max("l_discount").alias("disc_max"), F.sum("traded").alias("traded")))
+
 
+def daily_marks(kinds: DataFrame) -> DataFrame:
+    """(instrument_id, date, ...): the kinds of line of each brand and day spread into columns."""
     def means(tag: str, keep: Column) -> list[Column]:
         total = lambda c: F.sum(F.when(keep, F.col(c)))
         return [(total(c) / total("n") / 10.0 ** digits).alias(f"{c}_{tag}") for c, digits in (("unit", 4), ("tax", 2), ("disc", 2))]
@@ -171,13 +169,7 @@ def disclosed(spark: SparkSession, sf_dir: str) -> DataFrame:
 BENCHMARK_CATEGORY = {"STANDARD": "interest_rates", "ECONOMY": "equity_prices", "MEDIUM": "currency_rates", "PROMO": "commodity_prices"}
 
 
-def benchmarks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(date, ticker, close): daily average unit price of four part types, the benchmark of each category.
-
-    Same shape as the daily marks: one scan, a join on the part key and a map-side combined average.
-    """
-    li = table(spark, sf_dir, "lineitem").select(
-        "l_partkey", F.to_date("l_shipdate").alias("date"), _units(F.col("l_extendedprice") / F.col("l_quantity"), 4).alias("unit"))
-    part = (table(spark, sf_dir, "part").filter(F.col("p_type").isin(*BENCHMARK_CATEGORY))
-            .select(F.col("p_partkey").alias("l_partkey"), F.col("p_type").alias("ticker")))
-    return (li.join(part, "l_partkey").groupBy("date", "ticker").agg(half_up(_mean(F.col("unit"), 4), 6).alias("close")))
+def benchmarks(kinds: DataFrame) -> DataFrame:
+    """(date, ticker, close): daily average unit price of four part types, the benchmark of each category. Sums of :func:`daily_kinds`, which are whole units, so exact."""
+    mean = F.sum("unit") / F.sum("units") / 10.0 ** 4
+    return kinds.filter(F.col("ticker").isin(*BENCHMARK_CATEGORY)).groupBy("date", "ticker").agg(half_up(mean, 6).alias("close"))
