@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import slices, stored
-from tidemark.llm.packing import encoder
+from tidemark.llm.packing import closed, encoder
 
 END = 2  # closes every document
 WINDOW = 4096
@@ -41,13 +41,15 @@ def _tokenize(path: str, width: str):
         own = encoder(path)
         met: dict[str | None, int] = {}
         for part in slices(batches, ("_text",)):
-            ids = [np.append(i, np.uint32(END)).astype(width) for i in own.encode(part.column("_text").to_pylist())]
-            before = []
-            for source, own_ids in zip(part.column("_source").to_pylist(), ids):
+            every, bounds = closed(*own.encode_flat(part.column("_text").to_pylist()), END)
+            lengths, before = np.diff(bounds), []
+            for source, n in zip(part.column("_source").to_pylist(), lengths.tolist()):
                 before.append(met.get(source, 0))
-                met[source] = before[-1] + len(own_ids)
-            yield pa.RecordBatch.from_arrays([part.column("_id"), part.column("_source"), pa.array([i.tobytes() for i in ids], pa.binary()), pa.array([len(i) for i in ids], pa.int64()),
-                                              pa.array(before, pa.int64())], ["_id", "_source", "ids", "n", "_before"])
+                met[source] = before[-1] + n
+            data = every.astype(width)
+            ids = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(bounds.astype("<i8") * data.itemsize), pa.py_buffer(data)])
+            yield pa.RecordBatch.from_arrays([part.column("_id"), part.column("_source"), ids.cast(pa.binary()), pa.array(lengths), pa.array(before, pa.int64())],
+                                             ["_id", "_source", "ids", "n", "_before"])
     return run
 
 
@@ -56,7 +58,7 @@ def token_rows(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", tex
     from tokenizers import Tokenizer
 
     width = "<u2" if Tokenizer.from_file(tokenizer_path).get_vocab_size() <= 1 << 16 else "<u4"
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(source_col).cast("string").alias("_source"), F.col(text_col).cast("string").alias("_text"))
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(source_col).cast("string").alias("_source"), F.col(text_col).cast("string").cast("binary").alias("_text"))
     schema = f"_id {dict(rows.dtypes)['_id']}, _source string, ids binary, n long, _before long"
     return stored(rows.mapInArrow(_tokenize(tokenizer_path, width), schema).withColumn("_part", F.spark_partition_id()), "mixture-tokens"), width
 
@@ -100,8 +102,10 @@ def _placed(tokens: DataFrame, targets: Mapping[str, float] | None, block_tokens
     ways = rest.select(F.col("_source").alias("_w"), F.lit(phase).alias("_phase"), F.lit(0).cast("long").alias("_from"), F.col("_all").alias("_to"), (F.col("_all") / F.lit(float(whole))).alias("_rate"))
     if course:
         ways = ways.unionByName(tokens.sparkSession.createDataFrame([(s, p, a, b, r) for s, p, a, b, _, r in course], "_w string, _phase int, _from long, _to long, _rate double"))
-    own = (tokens.join(offsets, (F.col("_part") == F.col("_p")) & F.col("_source").eqNullSafe(F.col("_s"))).withColumn("_lo", F.col("_offset") + F.col("_before"))
-           .join(stored(ways, "mixture-courses"), F.col("_source").eqNullSafe(F.col("_w")) & (F.col("_lo") < F.col("_to")) & (F.col("_lo") + F.col("n") > F.col("_from"))))
+    # a row for each stored part and source, written first: its real size decides whether the ids have to be shuffled for it
+    queues = stored(offsets.join(ways, F.col("_s").eqNullSafe(F.col("_w"))).drop("_w"), "mixture-queues")
+    own = (tokens.join(queues, (F.col("_part") == F.col("_p")) & F.col("_source").eqNullSafe(F.col("_s"))).withColumn("_lo", F.col("_offset") + F.col("_before"))
+           .filter((F.col("_lo") < F.col("_to")) & (F.col("_lo") + F.col("n") > F.col("_from"))))
     first, last = F.greatest("_lo", "_from"), F.least(F.col("_lo") + F.col("n"), F.col("_to"))
     block = lambda x: F.floor((x - F.col("_from")) / F.col("_rate") / F.lit(block_tokens))
     exact = lambda b: b * F.lit(float(block_tokens)) * F.col("_rate")
@@ -148,8 +152,9 @@ def round_robin(totals: np.ndarray, weights: np.ndarray, owed: np.ndarray, windo
                 owed[s] -= count
                 left[s] -= count
                 room -= count
-        taking = np.isin(turn, list(served))
-        for s in turn[np.lexsort((-owed[turn], ~taking))]:
+        taking = np.zeros(sources, dtype=bool)
+        taking[list(served)] = True
+        for s in turn[np.lexsort((-owed[turn], ~taking[turn]))]:
             if not room:
                 break
             count = int(min(left[s], room, max(min_piece, np.ceil(owed[s]))))
@@ -200,7 +205,7 @@ def _pack_block(window: int, min_piece: int, width: str):
         taken = [piece for served in round_robin(totals, totals.astype(np.float64), owed[first], window, min_piece) for s, count in served for piece in queues[s].take(count)]
         pieces = lay_out(taken, window)
         size, ids = np.dtype(width).itemsize, rows.column("ids").to_pylist()
-        crc = [zlib.crc32(np.frombuffer(ids[d], width, length, start * size).astype("<u4").tobytes()) for d, start, length, _, _ in pieces]
+        crc = [zlib.crc32(np.frombuffer(ids[d], width, length, start * size).astype("<u4")) for d, start, length, _, _ in pieces]
         doc, start, length, sequence, offset = (np.array(c, dtype=np.int64) for c in zip(*pieces))
         number = rows.column("_phase")[0].as_py() << 48 | rows.column("_block")[0].as_py() << 20
         return pa.table({"_id": rows.column("_id").take(pa.array(doc)), "_source": rows.column("_source").take(pa.array(doc)), "start": starts[doc] + start, "length": length,

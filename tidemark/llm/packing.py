@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import re
-import struct
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -26,46 +26,78 @@ _PRINTS = [*range(33, 127), *range(161, 173), *range(174, 256)]
 BYTE_NAME = {b: b for b in _PRINTS} | {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - set(_PRINTS)))}
 
 
+class _Codes(dict):
+    """Chunk to its number; an unknown one is encoded as it is met."""
+
+    def __init__(self, encode):
+        super().__init__()
+        self.encode, self.fresh = encode, []
+
+    def __missing__(self, chunk: bytes) -> int:
+        self[chunk] = code = len(self)
+        self.fresh.append(self.encode(chunk))
+        return code
+
+
 class ChunkEncoder:
     """Ids of white-space separated chunks. No token spans white space, so a text's ids are its chunks' ids in turn.
 
-    Texts repeat their chunks: each distinct one is encoded once and remembered, up to ``remember`` of them.
+    Texts repeat their chunks: each distinct one is encoded once and remembered, as are its parts, which chunks that differ in case or
+    punctuation share. Of more than ``remember`` chunks those met once only are forgotten, of what is left the half met least.
     """
 
-    def __init__(self, path: str, remember: int = 400_000):
+    def __init__(self, path: str, remember: int = 500_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.model, self.remember, self.known = self.tokenizer.model, remember, {}
-
-    def encode_chunk(self, chunk: bytes) -> bytes:
-        text = chunk.decode()
+        self.model, self.remember, self.parts = self.tokenizer.model, remember, {}
+        self.codes, self.sizes, self.starts, self.hits, self.pool = _Codes(self.encode_chunk), *(np.zeros(0, dtype=t) for t in (np.int64, np.int64, np.int64, "<u4"))
+
+    def _forget(self) -> None:
+        keep = self.hits > 1
+        if keep.sum() > self.remember // 2:
+            keep &= self.hits > np.median(self.hits[keep])
+        kept = np.flatnonzero(keep)
+        names = list(self.codes)
+        self.codes = _Codes(self.encode_chunk)
+        self.codes.update((names[k], i) for i, k in enumerate(kept.tolist()))
+        sizes, starts = self.sizes[kept], self.starts[kept]
+        ends = np.cumsum(sizes)
+        self.pool = self.pool[np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
+        self.sizes, self.starts, self.hits = sizes, ends - sizes, self.hits[kept] // 2
+
+    def _encode_part(self, part: str) -> list[int]:
+        if len(self.parts) > self.remember:
+            self.parts.clear()
+        ids = self.parts[part] = [t.id for t in self.model.tokenize(part.encode().decode("latin-1").translate(BYTE_NAME))]
+        return ids
+
+    def encode_chunk(self, chunk: bytes) -> list[int]:
+        text = chunk.decode(errors="replace")
         if PLAIN.fullmatch(text) and "<|" not in text:
-            ids = [t.id for part in PRETOKEN.findall(text.lower()) for t in self.model.tokenize(part.encode().decode("latin-1").translate(BYTE_NAME))]
-        else:
-            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-        return struct.pack(f"<{len(ids)}I", *ids)
-
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        """Each text's ids."""
-        chunks = [t.encode().split() if t else [] for t in texts]
-        flat = np.array([c for own in chunks for c in own], dtype=object)
-        codes, distinct = pd.factorize(flat) if len(flat) else (np.zeros(0, dtype=np.int64), [])
-        if len(self.known) > self.remember:
-            self.known.clear()
-        ids = []
-        for chunk in distinct:
-            if (own := self.known.get(chunk)) is None:
-                own = self.known[chunk] = self.encode_chunk(chunk)
-            ids.append(own)
-        sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
-        pool = np.frombuffer(b"".join(ids), dtype="<u4")
-        starts = np.cumsum(sizes) - sizes
-        each = sizes[codes]
+            known = self.parts.get
+            return [i for part in PRETOKEN.findall(text.lower()) for i in known(part) or self._encode_part(part)]
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def encode_flat(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in turn, and where each text begins; the last bound is the end."""
+        if len(self.codes) > self.remember:
+            self._forget()
+        chunks = [t.split() if t else [] for t in texts]
+        counts = np.fromiter(map(len, chunks), dtype=np.int64, count=len(chunks))
+        codes = np.fromiter(map(self.codes.__getitem__, chain.from_iterable(chunks)), dtype=np.int64, count=int(counts.sum()))
+        if fresh := self.codes.fresh:
+            sizes = np.fromiter(map(len, fresh), dtype=np.int64, count=len(fresh))
+            self.starts = np.concatenate([self.starts, len(self.pool) + np.cumsum(sizes) - sizes])
+            self.sizes = np.concatenate([self.sizes, sizes])
+            self.hits = np.concatenate([self.hits, np.zeros(len(fresh), dtype=np.int64)])
+            self.pool = np.concatenate([self.pool, np.fromiter(chain.from_iterable(fresh), dtype="<u4", count=int(sizes.sum()))])
+            self.codes.fresh = []
+        self.hits += np.bincount(codes, minlength=len(self.hits))
+        each = self.sizes[codes]
         ends = np.cumsum(each)
-        every = pool[np.repeat(starts[codes] - (ends - each), each) + np.arange(ends[-1] if len(ends) else 0)]
-        bounds = np.concatenate([[0], ends])[np.cumsum([0, *map(len, chunks)])]
-        return [every[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
+        every = self.pool[np.repeat(self.starts[codes] - (ends - each), each) + np.arange(ends[-1] if len(ends) else 0)]
+        return every, np.concatenate([[0], ends])[np.cumsum(np.concatenate([[0], counts]))]
 
 
 _ENCODERS: dict[str, ChunkEncoder] = {}
@@ -78,13 +110,19 @@ def encoder(path: str) -> ChunkEncoder:
     return _ENCODERS[path]
 
 
+def closed(ids: np.ndarray, bounds: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same with ``end`` after each text."""
+    return np.insert(ids, bounds[1:], np.uint32(end)), bounds + np.arange(len(bounds))
+
+
 def _cut(path: str, limit: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path)
         for part in slices(batches, ("_text",)):
             at, piece, start, length, crc = [], [], [], [], []
-            for i, ids in enumerate(own.encode(part.column("_text").to_pylist())):
-                ids = np.append(ids, np.uint32(END)).astype("<u4")
+            every, bounds = closed(*own.encode_flat(part.column("_text").to_pylist()), END)
+            for i, (first, last) in enumerate(zip(bounds[:-1], bounds[1:])):
+                ids = every[first:last]
                 for k, a in enumerate(range(0, len(ids), limit)):
                     cut = ids[a:a + limit]
                     at.append(i)
@@ -99,7 +137,7 @@ def _cut(path: str, limit: int):
 
 def cut_documents(docs: DataFrame, tokenizer_path: str, limit: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pieces of at most ``limit`` tokens: only documents longer than that are cut."""
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").cast("binary").alias("_text"))
     schema = f"_id {dict(rows.dtypes)['_id']}, piece int, start long, length long, ids_crc32 long"
     return rows.mapInArrow(_cut(tokenizer_path, limit), schema).withColumnRenamed("_id", id_col)
 

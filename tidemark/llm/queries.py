@@ -97,4 +97,4 @@ def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = whitening.whiten(table(spark, sf_dir, "embeddings"))
-    return found.withColumn("deviation", F.col("deviation").cast("long"))
+    return found.withColumn("deviation", F.col("deviation").try_cast("long"))  # null where a long cannot hold it
