@@ -1,6 +1,5 @@
 """Stored tables in parts: digests, replaced ranges, empty reruns, failed loads; the backtest carried from day to day."""
 
-import datetime as dt
 import os
 
 import pytest
