@@ -278,7 +278,7 @@ def _in_order(rows: DataFrame, decisions: DataFrame) -> DataFrame:
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[object, object, object]]:
-    """(id, row, None) for each row after the edits, (id, None, turn) never; (id, None, None) where a conversation ends."""
+    """(id, row, turn) for each row after the edits, the turn null where it was inserted; (id, None, None) where a conversation ends."""
     reading, current = None, None
     for batch in batches:
         for conv, kind, turn, role, text, audit in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "kind", "turn", "role", "text", "audit"))):
