@@ -13,6 +13,7 @@ from tidemark.config import StudyRules
 from tidemark.operators import controls as C
 from tidemark.operators import risk
 from tidemark.operators import volstudy as V
+from tidemark.plans.queries import ratio
 from tidemark.sources import files
 
 
@@ -137,3 +138,30 @@ def test_files_over_the_limit_are_hashed_as_they_stream(spark, tmp_path):
     assert got == {(stamp, n): hashlib.sha256(c + (b"more\n" if stamp == "s1" else b"")).hexdigest() for stamp in ("s1", "s 2") for n, c in contents.items()}
     whole = {r.path: r.sha256 for r in files.fingerprints(spark, str(tmp_path)).collect()}
     assert sorted(whole.values()) == sorted(got.values())
+
+
+def _quarter_ends(n):
+    return [d.date() for d in pd.date_range("1995-03-31", periods=n, freq="QE")]
+
+
+def test_a_disclosed_var_that_never_changes_has_no_correlation(spark):
+    """Large tables have equal means in every quarter after rounding; ``corr`` divided by their zero variance."""
+    ends = _quarter_ends(12)
+    quarters = spark.createDataFrame([(d, 25.0, 24.0 + i % 3, 25.0, 25.0) for i, d in enumerate(ends)],
+                                     "period_end date, interest_rates double, equity_prices double, currency_rates double, commodity_prices double")
+    vols = spark.createDataFrame([(w, d, c, 0.1 + 0.01 * (i * k % 5)) for k, w in ((2, "1y"), (3, "2y")) for c in StudyRules().categories for i, d in enumerate(ends)],
+                                 "window string, period_end date, category string, vol double")
+    fit = V.with_interval(V.vol_fit(quarters, vols, StudyRules()), StudyRules())
+    rows = {(r.category, r.window): r for r in fit.collect()}
+    assert len(rows) == 8
+    flat = rows["interest_rates", "1y"]
+    assert flat.quarters == 11 and flat.elasticity == 0.0
+    assert all(np.isnan(flat[c]) for c in ("corr_changes", "corr_levels", "ci_lo", "ci_hi"))
+    v, s = (np.log([x(i) for i in range(12)]) for x in (lambda i: 24.0 + i % 3, lambda i: 0.1 + 0.01 * (i * 3 % 5)))
+    assert rows["equity_prices", "2y"].corr_changes == pytest.approx(np.corrcoef(np.diff(v), np.diff(s))[0, 1], abs=1e-12)
+    assert rows["equity_prices", "2y"].corr_levels == pytest.approx(np.corrcoef(v, s)[0, 1], abs=1e-12)
+    best = {r.category: r for r in V.best_windows(fit).collect()}
+    assert np.isnan(best["interest_rates"].corr_changes) and best["interest_rates"].overlap
+    assert not np.isnan(best["equity_prices"].corr_changes)
+    shown = fit.select("category", ratio("corr_changes").alias("c")).filter("category = 'interest_rates'").collect()
+    assert all(np.isnan(r.c) for r in shown)  # not 0

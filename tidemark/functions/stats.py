@@ -9,9 +9,32 @@ from pyspark.sql import functions as F
 
 
 def half_up(x: Column, digits: int) -> Column:
-    """Round half up in plain double arithmetic, so that every engine breaks exact ties alike."""
+    """Round half up in plain double arithmetic, so that every engine breaks exact ties alike. NaN stays: as a whole number it would be 0."""
     scale = float(10 ** digits)
-    return F.floor(x * scale + 0.5) / scale
+    return F.when(F.isnan(x), F.lit(float("nan"))).otherwise(F.floor(x * scale + 0.5) / scale)
+
+
+def _pairs(x: Column, y: Column) -> tuple[Column, Column]:
+    both = x.isNotNull() & y.isNotNull()
+    return F.when(both, x), F.when(both, y)
+
+
+def _constant(x: Column) -> Column:
+    """By extremes: a variance put together from partial means can miss zero by an error of rounding."""
+    return F.min(x) == F.max(x)
+
+
+def correlation(x: Column, y: Column) -> Column:
+    """Correlation of the pairs without nulls: NaN where a side is constant, which ``corr`` fails on or answers with noise; null without pairs."""
+    x, y = _pairs(x, y)
+    spread = F.stddev_pop(x) * F.stddev_pop(y)
+    return F.when(_constant(x) | _constant(y), F.lit(float("nan"))).otherwise(F.try_divide(F.covar_pop(x, y), spread))
+
+
+def slope(y: Column, x: Column) -> Column:
+    """Slope of the pairs without nulls on ``x``: NaN where ``x`` is constant, null without pairs."""
+    x, y = _pairs(x, y)
+    return F.when(_constant(x), F.lit(float("nan"))).otherwise(F.regr_slope(y, x))
 
 
 def x_log_y(x: Column, y: Column) -> Column:

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from tidemark.config import StudyRules, normal_quantile
 from tidemark.functions import dates as D
-from tidemark.functions.stats import fisher_bound
+from tidemark.functions.stats import correlation as correlate
+from tidemark.functions.stats import fisher_bound, slope
 
 EXACT = "decimal(38,20)"  # of running sums
 
@@ -78,7 +79,7 @@ def long_var(quarters: DataFrame, rules: StudyRules) -> DataFrame:
 def vol_fit(quarters: DataFrame, vols: DataFrame, rules: StudyRules) -> DataFrame:
     """Correlation of changes and of levels, and elasticity, per category and window (X11; J10, W14, W15, A17, A18).
 
-    Changes count only between consecutive quarters.
+    Changes count only between consecutive quarters. Where the disclosed VaR never changes, its correlations are NaN.
     """
     both = (long_var(quarters, rules).join(vols, ["period_end", "category"])
             .select("category", "window", "period_end", F.ln("var").alias("v"), F.ln("vol").alias("s"))
@@ -89,8 +90,8 @@ def vol_fit(quarters: DataFrame, vols: DataFrame, rules: StudyRules) -> DataFram
     changes = steps.withColumn("dv", F.when(near, F.col("v") - F.lag("v").over(order))).withColumn(
         "ds", F.when(near, F.col("s") - F.lag("s").over(order)))
     return (changes.groupBy("category", "window")
-            .agg(F.count("dv").alias("quarters"), F.corr("dv", "ds").alias("corr_changes"), F.corr("v", "s").alias("corr_levels"),
-                 F.regr_slope("dv", "ds").alias("elasticity"))
+            .agg(F.count("dv").alias("quarters"), correlate(F.col("dv"), F.col("ds")).alias("corr_changes"),
+                 correlate(F.col("v"), F.col("s")).alias("corr_levels"), slope(F.col("dv"), F.col("ds")).alias("elasticity"))
             .filter(F.col("quarters") >= rules.min_quarters))
 
 
@@ -102,7 +103,10 @@ def with_interval(fit: DataFrame, rules: StudyRules) -> DataFrame:
 
 
 def best_windows(fit: DataFrame) -> DataFrame:
-    """(category, window, corr_changes, overlap): best window, and whether all windows' intervals overlap."""
+    """(category, window, corr_changes, overlap): best window, and whether all windows' intervals overlap.
+
+    NaN counts as the largest; of equal correlations the window whose name sorts last is best.
+    """
     return (fit.groupBy("category").agg(F.max(F.struct("corr_changes", "window")).alias("b"),
                                         (F.max("ci_lo") <= F.min("ci_hi")).alias("overlap"))
             .select("category", F.col("b.window").alias("window"), F.col("b.corr_changes").alias("corr_changes"), "overlap"))
