@@ -165,3 +165,16 @@ def test_a_disclosed_var_that_never_changes_has_no_correlation(spark):
     assert not np.isnan(best["equity_prices"].corr_changes)
     shown = fit.select("category", ratio("corr_changes").alias("c")).filter("category = 'interest_rates'").collect()
     assert all(np.isnan(r.c) for r in shown)  # not 0
+
+
+def test_a_constant_share_has_no_correlation_however_it_is_split(spark):
+    """Merging means of equal values leaves an error of rounding, so ``corr`` gave noise, or failed, by the number of tasks."""
+    for rows, parts in ((22, 2), (33, 3), (22, 1)):  # 0.4 / 11 * 11 is not 0.4
+        flat = spark.range(0, rows, 1, parts).select((F.col("id") * 0 + 0.4).cast("double").alias("share"), (F.col("id") * 7 % 5 * 0.01).cast("double").alias("corr"))
+        row = V.diversification_summary(flat).first()
+        assert (row.lowest, row.highest, row.quarters) == (0.4, 0.4, rows) and np.isnan(row["corr"])
+    frame = spark.createDataFrame([(d, 0.4, 0.01 * (i * 7 % 5)) for i, d in enumerate(_quarter_ends(25))] + [(dt.date(2010, 3, 31), 0.9, None)], "period_end date, share double, corr double")
+    varied = frame.withColumn("share", F.col("share") + F.when(F.month("period_end") == 3, 0.01).otherwise(0.0))
+    kept = varied.filter("corr is not null").toPandas()
+    assert V.diversification_summary(varied).first()["corr"] == pytest.approx(np.corrcoef(kept["share"], kept["corr"])[0, 1], abs=1e-12)
+    assert V.diversification_summary(frame.filter("corr is null")).first()["corr"] is None

@@ -148,7 +148,7 @@ def diversification(quarters: DataFrame, correlation: DataFrame, rules: StudyRul
 
 def diversification_summary(div: DataFrame) -> DataFrame:
     both = div.filter("share is not null and corr is not null")
-    return both.agg(F.min("share").alias("lowest"), F.max("share").alias("highest"), F.corr("share", "corr").alias("corr"),
+    return both.agg(F.min("share").alias("lowest"), F.max("share").alias("highest"), correlate(F.col("share"), F.col("corr")).alias("corr"),
                     F.count(F.lit(1)).alias("quarters"))
 
 
