@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 from itertools import chain
@@ -44,6 +45,7 @@ class ChunkEncoder:
 
     Texts repeat their chunks: each distinct one is encoded once and remembered, as are its parts, which chunks that differ in case or
     punctuation share. Of more than ``remember`` chunks those met once only are forgotten, of what is left the half met least.
+    Ids are kept as bytes, four each: hundreds of thousands of lists would be walked by every full garbage collection.
     """
 
     def __init__(self, path: str, remember: int = 500_000):
@@ -66,18 +68,25 @@ class ChunkEncoder:
         self.pool = self.pool[np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
         self.sizes, self.starts, self.hits = sizes, ends - sizes, self.hits[kept] // 2
 
-    def _encode_part(self, part: str) -> list[int]:
+    def _encode_part(self, part: str) -> bytes:
         if len(self.parts) > self.remember:
             self.parts.clear()
-        ids = self.parts[part] = [t.id for t in self.model.tokenize(part.encode().decode("latin-1").translate(BYTE_NAME))]
-        return ids
+        name = part if part.isascii() else part.encode().decode("latin-1").translate(BYTE_NAME)
+        ids = [t.id for t in self.model.tokenize(name)]
+        self.parts[part] = packed = struct.pack(f"<{len(ids)}I", *ids)
+        return packed
 
-    def encode_chunk(self, chunk: bytes) -> list[int]:
+    def encode_chunk(self, chunk: bytes) -> bytes:
+        """Ids as unsigned 32-bit little-endian integers."""
         text = chunk.decode(errors="replace")
+        known = self.parts.get
+        if chunk.isalpha():  # of ASCII letters only: one part
+            part = text.lower()
+            return known(part) or self._encode_part(part)
         if PLAIN.fullmatch(text) and "<|" not in text:
-            known = self.parts.get
-            return [i for part in PRETOKEN.findall(text.lower()) for i in known(part) or self._encode_part(part)]
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
+            return b"".join([known(part) or self._encode_part(part) for part in PRETOKEN.findall(text.lower())])
+        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def encode_flat(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in turn, and where each text begins; the last bound is the end."""
@@ -87,11 +96,11 @@ class ChunkEncoder:
         counts = np.fromiter(map(len, chunks), dtype=np.int64, count=len(chunks))
         codes = np.fromiter(map(self.codes.__getitem__, chain.from_iterable(chunks)), dtype=np.int64, count=int(counts.sum()))
         if fresh := self.codes.fresh:
-            sizes = np.fromiter(map(len, fresh), dtype=np.int64, count=len(fresh))
+            sizes = np.fromiter(map(len, fresh), dtype=np.int64, count=len(fresh)) // 4
             self.starts = np.concatenate([self.starts, len(self.pool) + np.cumsum(sizes) - sizes])
             self.sizes = np.concatenate([self.sizes, sizes])
             self.hits = np.concatenate([self.hits, np.zeros(len(fresh), dtype=np.int64)])
-            self.pool = np.concatenate([self.pool, np.fromiter(chain.from_iterable(fresh), dtype="<u4", count=int(sizes.sum()))])
+            self.pool = np.concatenate([self.pool, np.frombuffer(b"".join(fresh), dtype="<u4")])
             self.codes.fresh = []
         self.hits += np.bincount(codes, minlength=len(self.hits))
         each = self.sizes[codes]
