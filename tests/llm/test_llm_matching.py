@@ -145,3 +145,15 @@ def test_decontamination_edges(spark):
     assert all(r.n_hit == 0 and r["items"] == [] for r in decontaminate.find_items(docs, nothing).collect())
     twice = decontaminate.find_items(docs, bench, block_bytes=10).collect()  # repeated rows stay as many
     assert sorted(map(str, twice)) == sorted(map(str, got))
+
+
+def test_doubtful_pairs_within_a_crowd_are_few_for_each_component(spark):
+    """``crowd_pairs`` looks at these anyway: their number went with the size of a group times its neighbours in all orders."""
+    low, strong = lsh_forest.MAYBE, lsh_forest.STRONG
+    rows = [(a, b, low + (a + b) % 20, a, b) for a in range(40) for b in range(a + 1, 40)] + [(1, 99, low, 1, 99), (98, 99, low, 98, 99)] + [(2, 39, strong, 2, 39)]
+    pairs = spark.createDataFrame(rows, "a long, b long, same long, ra long, rb long")
+    kept = [tuple(r) for r in lsh_forest.without_crowds(pairs, spark.range(40).withColumnRenamed("id", "rep")).collect()]
+    assert {(1, 99, low, 1, 99), (98, 99, low, 98, 99), (2, 39, strong, 2, 39)} <= set(kept) <= set(rows)
+    for hi in range(1, 40):
+        of = sorted((r[2] for r in kept if r[4] == hi and r[2] < strong), reverse=True)
+        assert of == sorted((r[2] for r in rows if r[4] == hi and r[2] < strong), reverse=True)[:lsh_forest.NEIGHBOURS]

@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import slices, stored
@@ -250,6 +251,21 @@ def candidates(reps: DataFrame, trees: int = TREES, width: int = NEIGHBOURS) ->
     return pairs, both.filter("a = b").select(F.col("a").alias("rep")).distinct()
 
 
+def without_crowds(pairs: DataFrame, crowd: DataFrame) -> DataFrame:
+    """``pairs``, but of the doubtful ones of two rows of ``crowd`` (rep) only the ``NEIGHBOURS`` likeliest of each component.
+
+    ``crowd_pairs`` looks at all pairs there by an exact bound, so no link depends on these: they bring stray members of a large group
+    into it, so that few of its pairs are left to that join. Documents that share a passage and little else stand in crowds, where each
+    has up to ``NEIGHBOURS`` such pairs to a side in every order.
+    """
+    side = lambda c: crowd.select(F.col("rep").alias(c), F.lit(True).alias(f"{c}_in")).hint("merge")
+    doubtful = (F.col("same") < STRONG) & F.col("a_in").isNotNull() & F.col("b_in").isNotNull()
+    marked = stored(pairs.join(side("a"), "a", "left").join(side("b"), "b", "left").withColumn("doubtful", doubtful).drop("a_in", "b_in"), "crowd-marks")
+    likeliest = W.partitionBy(F.greatest("ra", "rb")).orderBy(F.desc("same"), F.least("ra", "rb"), "a", "b")
+    some = marked.filter("doubtful").withColumn("place", F.row_number().over(likeliest)).filter(F.col("place") <= NEIGHBOURS).drop("place")
+    return marked.filter("not doubtful").unionByName(some).select(*_PAIR)
+
+
 def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in slices(batches, ("text",), 4 << 20):
         sets = [shingle_set(t) for t in part.column("text").to_pylist()]
@@ -403,7 +419,8 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
     labels = link_components(candidates(reps.withColumn("root", F.col("rep")), FIRST, 1)[0], every, percent)
     reps = stored(_move(reps.withColumn("root", F.col("rep")), "root", labels.select(F.col("node").alias("hi"), F.col("root").alias("lo"))), "linked-sets")
     pairs, crowd = candidates(reps)
-    labels = link_components(pairs, every, percent)
+    crowd = stored(crowd, "crowd-ids")
+    labels = link_components(without_crowds(pairs, crowd), every, percent)
     reps = stored(_move(reps, "root", labels.select(F.col("node").alias("hi"), F.col("root").alias("lo"))).drop(*SKETCH, "keys"), "searched-sets")
     crowd = stored(reps.join(crowd, "rep", "left_semi").select("rep", "root").distinct(), "crowd")
     labels = link_components(crowd_pairs(crowd, every, percent), every, percent)
