@@ -8,6 +8,7 @@ import re
 import numpy as np
 import pytest
 from llm_cases import docs_of, edge_docs, empty_docs
+from pyspark.sql import functions as F
 
 from tidemark.llm import pii_boost, quality_gam, secret_crf
 from tidemark.llm.common import table
@@ -111,6 +112,19 @@ def test_spans_in_other_forms_are_added(spark):
     assert added == [[(8, 0, 36)], [(13, 2, 32)], [], []]
 
 
+def test_trees_and_thresholds_count_every_candidate(spark):
+    """Of 45,400 candidates the cards are those of the greatest hashes, which the 20,000 of the least hash left out: nothing was known of cards."""
+    base = lambda k, value, before, is_base: [F.lit(0).alias("start"), F.lit(k).alias("kind"), F.char_length(value).alias("end"), value.alias("value"),
+                                              F.lit(before).alias("before"), F.lit(is_base).alias("is_base"), F.lit(is_base).alias("over_base")]
+    phones = spark.range(45_000).select("id", F.col("id").alias("row"), *base(3, F.format_string("%03d %03d %04d", F.col("id") % 900 + 100, F.lit(555), F.col("id") % 10_000), "was ", False))
+    cards = spark.range(100_000, 102_000).select("id", F.col("id").alias("row"), *base(2, F.lit("4111 1111 1111 1111"), "card ", True))
+    cards = cards.withColumn("_h", F.xxhash64("id", "row", "start", "kind", "value")).filter("_h > 0").orderBy("_h").limit(400).drop("_h")
+    loose = phones.unionByName(cards)
+    counted = {(r.kind, r.label): r.n for r in pii_boost.taught_rows(loose).groupBy("kind", "label").agg(F.sum("n").alias("n")).collect()}
+    assert counted == {(3, 0.0): 45_000, (2, 1.0): 2 * 400}  # a base span is there in another form too
+    assert set(pii_boost.learn(loose).least) == {2}
+
+
 def test_personal_edges(spark):
     docs = edge_docs(spark)
     got = pii_boost.find_personal(docs).collect()

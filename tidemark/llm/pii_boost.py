@@ -38,7 +38,6 @@ _PART = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 BEFORE = 24  # characters of context on the left of a candidate
 FEATURES = ("kind", "length", "digits", "letters", "dots", "blanks", "dashes", "brackets", "groups", "plus", "at", "first_group", "last_group", "edge", "context")
 CONTEXT = r"(?i)(mail|contact|write|call|phone|tel|fax|mobile|card|visa|credit|pay|ip|host|server|address|from|login)\W{0,12}$"
-MAX_ROWS = 20_000
 PRECISION = 0.98
 
 
@@ -177,25 +176,36 @@ class Selector:
     least: dict[int, float] = field(default_factory=dict)
 
 
-def learn(loose: DataFrame, max_rows: int = MAX_ROWS, precision: float = PRECISION, seed: int = 17) -> Selector:
-    """Trees that tell likely spans from other candidates by format and context, and thresholds calibrated on a fourth of the sample.
+def taught_rows(loose: DataFrame) -> DataFrame:
+    """(kind, f_*, label, held, n): how often each row of features occurs among all candidates, base spans counted once more in a loose form.
 
-    At most ``max_rows`` candidates are learned from, those of least hash, and the base spans among them once more in a loose form.
-    The label is ``likely``, which holds for base spans: not whether the given format matches, so a candidate in another form can
-    be taught as a span. A kind's threshold is the least score from which the share of likely spans, one failure added,
-    reaches ``precision``; a kind without calibration rows is not added. Without both classes nothing is learned.
+    The label is :func:`likely`, which holds for base spans: not whether the given format matches, so a candidate in another form can
+    be taught as a span. Every fourth candidate, by hash, is held out.
     """
-    real = stored(loose.withColumn("_h", F.xxhash64("id", "row", "start", "kind", "value")).orderBy("_h").limit(max_rows)
-                  .select("kind", "value", "before", "is_base", "_h"), "candidates")
+    real = loose.withColumn("_h", F.xxhash64("id", "row", "start", "kind", "value")).select("kind", "value", "before", "is_base", "_h")
     label = F.col("is_base") | _by_kind(lambda kind: likely(kind, F.col("value"), F.col("before")))
     both = real.withColumn("label", label).unionByName(altered(real.filter("is_base")).withColumn("label", F.lit(True)))
-    sample = stored(vectors(both).select("kind", "features", F.col("label").cast("double").alias("label"), (F.pmod("_h", F.lit(4)) == 0).alias("held")), "candidate-sample")
-    taught = sample.filter("not held")
+    rows = features(both).withColumns({"label": F.col("label").cast("double"), "held": F.pmod("_h", F.lit(4)) == 0})
+    return rows.groupBy("kind", *(f"f_{n}" for n in FEATURES), "label", "held").agg(F.count(F.lit(1)).alias("n"))
+
+
+def learn(loose: DataFrame, precision: float = PRECISION, seed: int = 17) -> Selector:
+    """Trees that tell likely spans from other candidates by format and context, and thresholds calibrated on the fourth held out.
+
+    All candidates count: equal rows of features are one row with their number as weight, so what the trees go over grows with the
+    different rows. (Beyond 10,000 of these Spark ML proposes split points from a part; the splits are chosen on all.) A kind's threshold is
+    the least score from which the share of likely spans, one failure added, reaches ``precision``; a kind without calibration rows is not
+    added. Without both classes nothing is learned.
+    """
+    counted = stored(taught_rows(loose), "candidate-counts")
+    assembled = VectorAssembler(inputCols=[f"f_{n}" for n in FEATURES], outputCol="features").transform(counted)
+    taught = assembled.filter("not held")
     if taught.select("label").distinct().count() < 2:
         return Selector()
-    trees = GBTClassifier(maxIter=12, maxDepth=3, stepSize=0.3, seed=seed, maxBins=32).fit(taught)
-    scored = trees.transform(sample.filter("held")).select("kind", "label", F.floor(vector_to_array("probability")[1] * 100).alias("bin"))
-    table = scored.groupBy("kind", "bin").agg(F.sum("label").alias("good"), F.count("*").alias("all")).orderBy("kind", F.desc("bin")).collect()  # at most 4 x 101 rows
+    trees = GBTClassifier(maxIter=12, maxDepth=3, stepSize=0.3, seed=seed, maxBins=32, weightCol="n").fit(taught)
+    scored = trees.transform(assembled.filter("held")).select("kind", "label", "n", F.floor(vector_to_array("probability")[1] * 100).alias("bin"))
+    table = (scored.groupBy("kind", "bin").agg(F.sum(F.col("label") * F.col("n")).alias("good"), F.sum("n").alias("all"))
+             .orderBy("kind", F.desc("bin")).collect())  # at most 4 x 101 rows
     least: dict[int, float] = {}
     for kind in {r.kind for r in table}:
         good = every = 0
@@ -230,7 +240,7 @@ def joined(found: Column) -> Column:
     return F.array_join(F.transform(found, lambda x: F.concat_ws(":", F.element_at(names, x["kind"] + 1), x["start"].cast("string"), x["end"].cast("string"))), ",")
 
 
-def find_personal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_rows: int = MAX_ROWS) -> DataFrame:
+def find_personal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, base, spans) of every row: the given formats, and all spans with those that the trees add.
 
     Both are arrays of struct<start, kind, end> by start, then kind (its number in KINDS), in code points.
@@ -239,11 +249,11 @@ def find_personal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     an empty table gives an empty one and teaches nothing; other columns are not read.
 
     Scale: texts are searched where they lie and never shuffled; a text without a digit or an at sign is passed over.
-    What is stored is the spans; what is joined back is the few that are added.
+    What is stored is the spans and the counts of equal candidates; what is joined back is the few that are added.
     """
     found = stored(candidates(docs, id_col, text_col), "personal-spans")
     loose = found.filter(F.size("loose") > 0).select("id", "row", F.explode("loose").alias("x")).select("id", "row", "x.*")
-    added = select(loose, learn(loose, max_rows))
+    added = select(loose, learn(loose))
     f, a = found.alias("f"), added.alias("a")
     both = f.join(a, F.col("f.id").eqNullSafe(F.col("a.id")) & (F.col("f.row") == F.col("a.row")), "left")
     plain = F.transform("base", lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end")))
