@@ -10,6 +10,7 @@ from conftest import day
 from pyspark.sql import functions as F
 
 from tidemark.config import StudyRules
+from tidemark.functions.stats import fisher_bound
 from tidemark.operators import controls as C
 from tidemark.operators import risk
 from tidemark.operators import volstudy as V
@@ -178,3 +179,13 @@ def test_a_constant_share_has_no_correlation_however_it_is_split(spark):
     kept = varied.filter("corr is not null").toPandas()
     assert V.diversification_summary(varied).first()["corr"] == pytest.approx(np.corrcoef(kept["share"], kept["corr"])[0, 1], abs=1e-12)
     assert V.diversification_summary(frame.filter("corr is null")).first()["corr"] is None
+
+
+def test_the_interval_of_three_pairs_is_open(spark):
+    """z / sqrt(n - 3) divided by zero; a constant series has NaN, and neither is rounded to a number."""
+    rows = spark.createDataFrame([(0.5, 3), (0.5, 4), (float("nan"), 3), (float("nan"), 9), (1.0, 9), (None, 9)], "r double, n long")
+    got = rows.select(*(ratio(fisher_bound(F.col("r"), F.col("n"), z)).alias(f"z{i}") for i, z in enumerate((-1.96, 1.96)))).collect()
+    assert tuple(got[0]) == (-1.0, 1.0)
+    assert tuple(got[1]) == tuple(np.round(np.tanh(np.arctanh(0.5) + np.array([-1.96, 1.96])), 6))
+    assert all(np.isnan(x) for row in got[2:4] for x in row)
+    assert tuple(got[4]) == (1.0, 1.0) and tuple(got[5]) == (None, None)
