@@ -189,3 +189,20 @@ def test_the_interval_of_three_pairs_is_open(spark):
     assert tuple(got[1]) == tuple(np.round(np.tanh(np.arctanh(0.5) + np.array([-1.96, 1.96])), 6))
     assert all(np.isnan(x) for row in got[2:4] for x in row)
     assert tuple(got[4]) == (1.0, 1.0) and tuple(got[5]) == (None, None)
+
+
+def test_an_index_over_quarters_without_volatility(spark):
+    """VaR / 0 failed. As in the SQL, it is infinite, and an index that starts there is NaN; a category without any correlation has its index too."""
+    ends = _quarter_ends(12)
+    quarters = spark.createDataFrame([(d, 25.0, 24.0 + i % 3, 25.0, 25.0) for i, d in enumerate(ends)],
+                                     "period_end date, interest_rates double, equity_prices double, currency_rates double, commodity_prices double")
+    still = {("interest_rates", 5), ("currency_rates", 0)}
+    vols = spark.createDataFrame([("1y", d, c, 0.0 if (c, i) in still else 0.1 + 0.01 * (i * 3 % 5)) for c in StudyRules().categories for i, d in enumerate(ends)],
+                                 "window string, period_end date, category string, vol double")
+    fit = V.with_interval(V.vol_fit(quarters, vols, StudyRules()), StudyRules())
+    rows = V.implied_index(quarters, vols, V.best_windows(fit), StudyRules()).select("category", "period_end", ratio("implied", 4).alias("implied"))
+    got = {c: [r.implied for r in rows.filter(F.col("category") == c).orderBy("period_end").collect()] for c in StudyRules().categories}
+    assert [len(v) for v in got.values()] == [12] * 4
+    assert got["interest_rates"][:5] == pytest.approx([10.0 / (0.1 + 0.01 * (i * 3 % 5)) for i in range(5)], abs=1e-4) and got["interest_rates"][5] == np.inf
+    assert np.isnan(got["currency_rates"][0]) and got["currency_rates"][1:] == [0.0] * 11
+    assert got["commodity_prices"][0] == 100.0 and all(np.isfinite(got["commodity_prices"] + got["equity_prices"]))

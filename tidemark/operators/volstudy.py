@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tidemark.config import StudyRules, normal_quantile
 from tidemark.functions import dates as D
 from tidemark.functions.stats import correlation as correlate
-from tidemark.functions.stats import fisher_bound, slope
+from tidemark.functions.stats import divide, fisher_bound, slope
 
 EXACT = "decimal(38,20)"  # of running sums
 
@@ -113,11 +113,11 @@ def best_windows(fit: DataFrame) -> DataFrame:
 
 
 def implied_index(quarters: DataFrame, vols: DataFrame, best: DataFrame, rules: StudyRules) -> DataFrame:
-    """VaR / vol of the best window, rebased to 100 at its first quarter."""
+    """VaR / vol of the best window, rebased to 100 at its first quarter (X14, W16). Infinite in a quarter without volatility, NaN if that is the first."""
     ratio = (long_var(quarters, rules).join(best.select("category", "window"), "category").join(vols, ["category", "window", "period_end"])
-             .select("category", "period_end", (F.col("var") / F.col("vol")).alias("e")).filter("e is not null"))
+             .select("category", "period_end", divide(F.col("var"), F.col("vol")).alias("e")).filter("e is not null"))
     first = F.first("e").over(W.partitionBy("category").orderBy("period_end").rowsBetween(W.unboundedPreceding, W.currentRow))
-    return ratio.select("category", "period_end", (100 * F.col("e") / first).alias("implied"))
+    return ratio.select("category", "period_end", divide(100 * F.col("e"), first).alias("implied"))
 
 
 def rolling_correlation(levels: DataFrame, a: str, b: str, rules: StudyRules) -> DataFrame:
