@@ -28,6 +28,7 @@ SEPARATORS = "\"'`,;()<>{}[]"  # besides white space
 OUT, BEGIN, INSIDE = 0, 1, 2
 SIGN = 1  # the shape of a sign
 MAX_DOCS = 2_000  # texts learned from: half with a base match, half any
+LOOK = 200  # rows looked at first for each text to learn from
 MAX_WINDOWS = 20  # of one text
 REACH = 6  # tokens to each side of a telling token that a learning window holds
 VOCABULARY = 400
@@ -114,15 +115,14 @@ def viterbi(emissions: np.ndarray, step: np.ndarray) -> list[int]:
     """The best tags; inside never follows outside or begins a text."""
     e = emissions.tolist()
     lost = -1e9
-    score, back = [e[0][OUT], e[0][BEGIN], lost], []
     (oo, ob, _), (bo, bb, bi), (io, ib, ii) = step.tolist()  # from and to outside, begin, inside
-    for row in e[1:]:
-        o, b, i = score
-        ways = (o + oo, b + bo, i + io), (o + ob, b + bb, i + ib), (lost, b + bi, i + ii)
-        best = [max(w) for w in ways]
-        back.append([w.index(m) for w, m in zip(ways, best)])
-        score = [m + x for m, x in zip(best, row)]
-    tags = [score.index(max(score))]
+    o, b, i, back = e[0][OUT], e[0][BEGIN], lost, []
+    for out, begin, inside in e[1:]:
+        to_out, to_begin, to_inside = (o + oo, b + bo, i + io), (o + ob, b + bb, i + ib), (lost, b + bi, i + ii)
+        o, b, i = max(to_out), max(to_begin), max(to_inside)
+        back.append((to_out.index(o), to_begin.index(b), to_inside.index(i)))
+        o, b, i = o + out, b + begin, i + inside
+    tags = [(o, b, i).index(max(o, b, i))]
     for came in reversed(back):
         tags.append(came[tags[-1]])
     return tags[::-1]
@@ -159,12 +159,13 @@ def suspects(model: Crf, texts: list[str | None], numbers: Numbers) -> np.ndarra
     """
     if not model.trained or not texts:
         return np.zeros(len(texts), dtype=bool)
-    ids, starts = [0, 0], []  # two ends of a text between any two
+    ids, sizes = [np.zeros(2, dtype=np.int64)], []  # two ends of a text between any two
     for text in texts:
-        starts.append(len(ids))
-        ids += map(numbers.__getitem__, tokens_of(text or ""))
-        ids += (0, 0)
-    at, sorts = np.array(ids), np.array(list(numbers.sorts), dtype=np.int64)
+        tokens = tokens_of(text or "")
+        ids += np.fromiter(map(numbers.__getitem__, tokens), np.int64, len(tokens)), ids[0]
+        sizes.append(len(tokens))
+    at, sizes, sorts = np.concatenate(ids), np.array(sizes), np.array(list(numbers.sorts), dtype=np.int64)
+    starts = 2 + np.cumsum(sizes + 2) - (sizes + 2)
     own, (before, two, after) = gain(model.shape)[sorts[:, 0]], gain(model.near)[:, sorts[:, 1]]
     own[0] = -np.inf  # an end has no tag
     score = own[at]
@@ -172,14 +173,13 @@ def suspects(model: Crf, texts: list[str | None], numbers: Numbers) -> np.ndarra
     score[2:] += two[at[:-2]]
     score[:-1] += after[at[1:]]
     signs, digits = (np.add.reduceat(x[at].astype(np.int64), starts) for x in (sorts[:, 0] == SIGN, sorts[:, 2]))
-    sizes = np.diff([*starts, len(ids)]) - 2
     best = np.maximum.reduceat(score, starts) + gain(model.file)[file_feature(signs, digits, sizes)]
     return best.max(axis=1) + steps_gain(model) > -1e-9  # as sums of another order are rounded otherwise
 
 
 def decode(model: Crf, text: str, shapes: dict[str, int]) -> list[tuple[int, int]]:
     """Spans that the model tags. ``shapes`` remembers the shapes of tokens seen before. What :func:`suspects` leaves out has none."""
-    tokens = TOKEN.findall(text)
+    tokens = tokens_of(text)
     if not tokens or not model.trained:
         return []
     for t in tokens:
@@ -279,14 +279,26 @@ def telling(text: Column) -> Column:
     return assigns | text.rlike("(?i)AKIA[A-Z0-9]{16}") | text.rlike("[0-9a-fA-F]{24}")
 
 
+def least_ids(rows: DataFrame, kept: Column, n: int, total: int) -> DataFrame:
+    """The ``n`` ids of least hash among the kept ones of ``total`` rows.
+
+    They are looked for among ``LOOK`` times as many rows of low hash first, so that a large table is not matched with patterns
+    throughout; only where these hold too few ids, among all.
+    """
+    share = LOOK * n / max(1, total)
+    low = F.xxhash64("_id") < int(share * 2**64) - 2**63 if share < 1 else F.lit(True)
+    ids = rows.filter(low).filter(kept).select("_id").distinct().orderBy(F.xxhash64("_id"), "_id").limit(n)
+    found = ids.collect()
+    return least_ids(rows, kept, n, 0) if share < 1 and len(found) < n else rows.sparkSession.createDataFrame(found, ids.schema)
+
+
 def learn(docs: DataFrame, max_docs: int = MAX_DOCS) -> Crf:
     """The model, from windows of at most ``max_docs`` texts: those of least hash, half of them with a base match.
 
     The ids sampled are what is broadcast, and bounded by ``max_docs``. Rows without id are not learned from.
     """
-    rows = docs.select("_id", "_text").filter("_id is not null and _text is not null")
-    pick = lambda part: part.select("_id").distinct().orderBy(F.xxhash64("_id"), "_id").limit(max_docs // 2)
-    ids = pick(rows.filter(telling(F.col("_text")))).union(pick(rows)).distinct()
+    rows, total = docs.select("_id", "_text").filter("_id is not null and _text is not null"), docs.count()
+    ids = least_ids(rows, telling(F.col("_text")), max_docs // 2, total).union(least_ids(rows, F.lit(True), max_docs // 2, total)).distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, ("_text",)):
