@@ -237,3 +237,12 @@ def test_ids_of_least_hash_however_many_rows_are_looked_at_first(spark, monkeypa
         got = secret_crf.least_ids(rows, secret_crf.telling(F.col("_text")), n, 600)
         assert sorted(r._id for r in got.collect()) == sorted([i for i in every if i in kept][:n]) and got.schema["_id"].dataType == rows.schema["_id"].dataType
     assert secret_crf.least_ids(rows.limit(0), F.lit(True), 5, 0).count() == 0
+
+
+def test_hex_digits_are_found_wherever_they_begin():
+    for length in range(20, 32):
+        for before in range(7):
+            for after in ("", "g", "zz z"):
+                text = "x" * before + "0123456789abcdef"[before:] + "c" * (length - 16 + before) + after
+                want = [("hex", before, before + length)] if length >= 24 else []
+                assert secret_crf.base_spans(text) == want and secret_crf.base_spans(text + " é" + text)[:len(want)] == want

@@ -20,6 +20,7 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 NAMES = ("passw", "secret", "token", "api")  # one of these is in any match of ASSIGN, in any case of letters
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
+HEX_THIRD = re.compile(r"[0-9a-f]{8}")  # what every third character of a text with a match of HEX has
 KINDS = ("assign", "access", "hex")
 
 #: Words, and the signs that assign a value; quotes, brackets and white space only separate.
@@ -46,7 +47,7 @@ def base_spans(text: str) -> list[Span]:
     """Leftmost matches of each kind that keep its length, by start, then kind."""
     found = [("assign", *m.span()) for m in assigned(text)]
     found += [("access", *m.span()) for m in ACCESS.finditer(text)]
-    found += [("hex", *m.span()) for m in HEX.finditer(text)]
+    found += [("hex", *m.span()) for m in HEX.finditer(text)] if HEX_THIRD.search(text[::3]) else []
     return sorted(found, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
